@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limber.llm import exact_dedup, quality
+from limber.llm import exact_dedup, mixing, near_dedup, packing, quality
 from limber.llm.common import table, written
 
 
@@ -22,9 +22,30 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("quality rules", clean), ("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group stays."""
+    return near_dedup.drop_near_duplicates(docs)
 
-#: Later stages cannot be said in SQL; the tests compare them with brute force.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents are sampled so that sources, languages and topics meet their target weights."""
+    return mixing.sample_mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: spans of all documents in batches of like length."""
+    return packing.pack(packing.token_lengths(docs))
+
+
+STAGES = [
+    ("quality rules", clean),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Near-dedup, mixing and packing cannot be said in SQL; the tests compare them with brute force.
 ORACLE_SQL = None
 
 

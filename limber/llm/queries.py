@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limber.llm import exact_dedup, quality
+from limber.llm import exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 from limber.llm.common import table
 
 
@@ -18,9 +18,116 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents")))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_weights(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_substrings(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_exact_dedup,
+    op2_quality_rules,
+    op3_packing,
+    op4_token_counts,
+    op5_mixing,
+    op6_toxicity,
+    op7_near_dedup,
+    op8_html_extraction,
+    op9_substring_dedup,
+    op10_license_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules)}
+    return {f.__name__: f for f in ALL}
+
+
+SPACE = r"[\x20\x09-\x0D]+"
+WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), x -> x <> '')"
+
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g') AS norm FROM documents
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM ranked
+"""
+
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
+windows AS (SELECT starts.doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM starts JOIN d USING (doc_id)),
+hit AS (SELECT doc_id, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM hit),
+lost AS (SELECT doc_id, list(i) AS at, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+    CASE WHEN n IS NULL THEN w ELSE (SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) AS e WHERE NOT list_contains(at, i)) END AS k
+  FROM d LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+def _line_fails(line: str) -> str:
+    count = lambda pattern: f"len(regexp_extract_all({line}, '{pattern}'))"
+    n, bars, noise, shouts = count(r"[^\x20\x09-\x0D]+"), count("[|»•]"), count("[#*$%&]{2,}"), count("!{2,}")
+    furniture = f"regexp_matches(lower({line}), '{'|'.join(quality.BOILERPLATE)}')"
+    return (
+        f"(({bars} >= 2 AND {bars} * 5 >= {n}) OR ({noise} >= 1 AND {noise} * 10 >= {n} * 3) OR ({shouts} >= 1 AND {shouts} * 10 >= {n} * 3)"
+        f" OR ({n} BETWEEN 1 AND 12 AND {furniture}) OR ({n} >= 40 AND NOT regexp_matches({line}, '[.!?:;]')))"
+    )
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (
+    SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))
+),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c >= 2) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+    len(list_filter(l, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words,
+    length(regexp_replace(array_to_string(list_filter(l, x -> NOT {_line_fails("x")}), ''), '{SPACE}', '', 'g')) AS clean_chars
+  FROM d LEFT JOIN rep USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, clean_chars::BIGINT AS clean_chars,
+  (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AS base_failed,
+  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)
+    AND 100 * (word_chars - clean_chars) <= {quality.MAX_LOST_PERCENT} * word_chars AS kept
+FROM m
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op9_substring_dedup": OP9_SQL}
