@@ -69,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SPACE = r"[\x20\x09-\x0D]+"
-WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), x -> x <> '')"
+WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')"
 
 OP1_SQL = rf"""
 WITH d AS (
@@ -86,10 +86,10 @@ starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w)
 windows AS (SELECT starts.doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM starts JOIN d USING (doc_id)),
 hit AS (SELECT doc_id, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM windows) WHERE least < doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM hit),
-lost AS (SELECT doc_id, list(i) AS at, count(*) AS n FROM gone GROUP BY doc_id),
+lost AS (SELECT doc_id, list(i) AS places, count(*) AS n FROM gone GROUP BY doc_id),
 kept AS (
   SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
-    CASE WHEN n IS NULL THEN w ELSE (SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) AS e WHERE NOT list_contains(at, i)) END AS k
+    CASE WHEN n IS NULL THEN w ELSE (SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) AS e WHERE NOT list_contains(places, i)) END AS k
   FROM d LEFT JOIN lost USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
@@ -115,9 +115,9 @@ win AS (
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c >= 2) GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-    len(list_filter(l, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words,
-    length(regexp_replace(array_to_string(list_filter(l, x -> NOT {_line_fails("x")}), ''), '{SPACE}', '', 'g')) AS clean_chars
+    length(regexp_replace(array_to_string(list_filter(l, lambda x: NOT {_line_fails("x")}), ''), '{SPACE}', '', 'g')) AS clean_chars
   FROM d LEFT JOIN rep USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
