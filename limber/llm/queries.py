@@ -82,17 +82,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
-windows AS (SELECT starts.doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM starts JOIN d USING (doc_id)),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
+windows AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM starts),
 hit AS (SELECT doc_id, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM windows) WHERE least < doc_id),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM hit),
-lost AS (SELECT doc_id, list(i) AS places, count(*) AS n FROM gone GROUP BY doc_id),
-kept AS (
-  SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
-    CASE WHEN n IS NULL THEN w ELSE (SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) AS e WHERE NOT list_contains(places, i)) END AS k
-  FROM d LEFT JOIN lost USING (doc_id)
-)
-SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+listed AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM listed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
