@@ -98,7 +98,7 @@ def cell_factors(cells: DataFrame, targets: dict[str, dict[str, float]]) -> Data
         shares = []
         for axis, d in enumerate(dims):
             margin = actual.sum(axis=tuple(a for a in range(actual.ndim) if a != axis)) / total
-            share = np.array([*targets[d].values(), 0.0])
+            share = np.where(margin > 0, [*targets[d].values(), 0.0], 0.0)
             share = share / (share.sum() or 1) * (1 - margin[-1])
             share[-1] = margin[-1]
             shares.append(share)
