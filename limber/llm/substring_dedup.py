@@ -9,9 +9,9 @@ by a window that also starts in a document with a smaller id is removed.
    in 21 is an anchor. Anchors found in two documents or more are the seeds.
 2. Extend. Around each seed the windows that have it as their anchor reach
    ``window - k`` words to either side. An occurrence is compared, window by
-   window in both directions, with the occurrence in the smallest id, the hub.
-   Windows that match none of the hub's and whose seed a third row holds are
-   compared with the rest of the group by their digest.
+   window in both directions, with the occurrence in the smallest id, the hub;
+   if windows are left and a third row holds the seed, also with the smallest
+   id of those that have some left. What is left then is matched by digest.
 3. Neighbouring windows that match join up into the maximal repeats, whose
    words are removed.
 
@@ -162,9 +162,8 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     hashed = F.transform("w", lambda x: F.xxhash64(x)).alias("wh")
     windowed = split.where(F.col("id").isNotNull() & (F.size("w") >= window)).select("id", hashed)
     found = written(windowed.mapInArrow(lambda it: _seeds(it, window, k), f"anchor long, id {id_type}, pos int"), "anchors")
-    dealt = found.repartition("anchor")
-    groups = dealt.groupBy("anchor").agg(F.min(F.struct("id", "pos")).alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub.id < last")
-    seeds = dealt.join(groups, "anchor").select("id", F.struct("pos", ((F.col("hub.id") == F.col("id")) & (F.col("hub.pos") == F.col("pos"))).alias("hub"), (F.col("n") > 2).alias("several")).alias("mark"))
+    groups = found.groupBy("anchor").agg(F.min(F.struct("id", "pos")).alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub.id < last")
+    seeds = found.join(groups, "anchor").select("id", F.struct("pos", ((F.col("hub.id") == F.col("id")) & (F.col("hub.pos") == F.col("pos"))).alias("hub"), (F.col("n") > 2).alias("several")).alias("mark"))
     marks = seeds.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("mark").alias("marks"))
 
     # The one shuffle of all texts. Texts without seeds are done here and not carried on.
@@ -185,12 +184,18 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     hubs = contexts.where("hub").select("anchor", F.col("id").alias("hub_id"), (F.col("pos") - F.col("lo")).alias("hub_reach"), F.col("digests").alias("hub_digests"))
     shift = F.col("hub_reach") - (F.col("pos") - F.col("lo"))
     same_window = lambda d, i: (F.col("hub_id") < F.col("id")) & F.coalesce(F.get("hub_digests", i + F.col("shift")) == d, F.lit(False))
-    compared = contexts.where("not hub").join(hubs, "anchor").withColumn("shift", shift).select("id", "anchor", "lo", "several", "digests", F.transform("digests", same_window).alias("same"))
+    compared = contexts.where("not hub").join(hubs, "anchor").withColumn("shift", shift).select("id", "anchor", "pos", "lo", "several", "digests", F.transform("digests", same_window).alias("same"))
     compared = written(compared, "compared")
+    # Once more with the smallest id that is still open, for groups whose hub is the odd one out.
+    open_again = compared.where(F.col("several") & F.exists("same", lambda x: ~x))
+    second = open_again.groupBy("anchor").agg(F.min(F.struct("id", (F.col("pos") - F.col("lo")).alias("reach"), "digests")).alias("hub"))
+    second = second.select("anchor", F.col("hub.id").alias("hub_id"), F.col("hub.reach").alias("hub_reach"), F.col("hub.digests").alias("hub_digests"))
+    again = open_again.join(second, "anchor").withColumn("shift", shift).select("id", "anchor", "pos", "lo", "several", "digests", F.zip_with("same", F.transform("digests", same_window), lambda x, y: x | y).alias("same"))
+    compared = written(compared.where(~(F.col("several") & F.exists("same", lambda x: ~x))).unionByName(again), "compared_again")
     by_hub = compared.select("id", F.filter(F.transform("same", lambda x, i: F.when(x, F.col("lo") + i)), lambda s: s.isNotNull()).alias("starts")).where(F.size("starts") > 0)
 
     pending = compared.where("several").select("id", "anchor", "lo", F.posexplode(F.arrays_zip("digests", "same")).alias("i", "w")).where("not w.same")
-    keyed = pending.select(F.xxhash64("anchor", "w.digests").alias("key"), "id", (F.col("lo") + F.col("i")).alias("start")).repartition("key")
+    keyed = pending.select(F.xxhash64("anchor", "w.digests").alias("key"), "id", (F.col("lo") + F.col("i")).alias("start"))
     least = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("key", "least")
     by_rest = keyed.join(least, "key").where("id > least").select("id", F.array("start").alias("starts"))
     removed = by_hub.unionByName(by_rest).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
