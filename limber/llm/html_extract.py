@@ -249,7 +249,8 @@ def main_text(page: str | None) -> str:
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text, n_chars, n_blocks, n_content."""
-    thin = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    id_type = df.schema[id_col].dataType.simpleString()
+    thin = df.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -260,6 +261,5 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 "n_blocks": list(map(len, found)), "n_content": [sum(c for _, c in page) for page in found],
             })
 
-    types = {c: df.schema[c].dataType.simpleString() for c in (id_col, url_col)}
-    out = thin.mapInPandas(extracted, f"id {types[id_col]}, url {types[url_col]}, text string, n_chars long, n_blocks long, n_content long")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_blocks", "n_content")
+    out = thin.mapInPandas(extracted, "id string, url string, text string, n_chars long, n_blocks long, n_content long")
+    return out.select(F.col("id").cast(id_type).alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_blocks", "n_content")

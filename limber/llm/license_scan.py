@@ -150,7 +150,8 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] | None = None,
     templates = TEMPLATES if templates is None else templates
     wanted = frozenset(w for _, t in templates for w in license_words(t))
     known = df.sparkSession.sparkContext.broadcast(Templates(templates, _word_counts(df, text_col, wanted), containment))
-    thin = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    id_type = df.schema[id_col].dataType.simpleString()
+    thin = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))  # pandas would round large ids beside nulls
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search = known.value
@@ -162,13 +163,11 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] | None = None,
                 blocks = [{"label": x, "from": a, "to": b, "containment": c} for x, a, b, c in search.blocks(ws)]
                 rows.append((len(ws), places, blocks))
             out = pd.DataFrame(rows, columns=["n_words", "places", "blocks"])
-            out.insert(0, id_col, batch[id_col].to_numpy())
+            out.insert(0, "id", batch["id"].to_numpy())
             yield out
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return thin.mapInPandas(
-        scanned, f"`{id_col}` {id_type}, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,`from`:long,`to`:long,containment:double>>"
-    )
+    schema = "id string, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,`from`:long,`to`:long,containment:double>>"
+    return thin.mapInPandas(scanned, schema).select(F.col("id").cast(id_type).alias(id_col), "n_words", "places", "blocks")
 
 
 def license_report(df: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:

@@ -107,7 +107,8 @@ def word_lists(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
 def token_counts(df: DataFrame, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = MAX_NODES) -> DataFrame:
     """One row per input row: the id, n_words and n_tokens (long)."""
     vocabulary = df.sparkSession.sparkContext.broadcast(scores if scores is not None else unigram_scores())
-    thin = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    id_type = df.schema[id_col].dataType.simpleString()
+    thin = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))  # pandas would round large ids beside nulls
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = ForwardTrie(vocabulary.value)
@@ -124,6 +125,7 @@ def token_counts(df: DataFrame, scores: dict[str, float] | None = None, id_col:
                         terminal.clear()
                 n_words.append(found)
                 n_tokens.append(tokens)
-            yield pd.DataFrame({id_col: batch[id_col], "n_words": n_words, "n_tokens": n_tokens})
+            yield pd.DataFrame({"id": batch["id"], "n_words": n_words, "n_tokens": n_tokens})
 
-    return thin.mapInPandas(counted, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_words long, n_tokens long")
+    out = thin.mapInPandas(counted, "id string, n_words long, n_tokens long")
+    return out.select(F.col("id").cast(id_type).alias(id_col), "n_words", "n_tokens")
