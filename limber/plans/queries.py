@@ -40,16 +40,16 @@ def _single(metric: str) -> Query:
 
 
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 25 asks for its five nearest."""
+    """Every vector whose id is divisible by 100 asks for its five nearest."""
     f = features(spark, sf_dir)
-    asked = f.where("pose_id % 25 = 0").withColumnRenamed("pose_id", "query_id")
+    asked = f.where("pose_id % 100 = 0").withColumnRenamed("pose_id", "query_id")
     found = knn.search_similar_batch(f, asked, K, "dot")
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "pose_id", F.round("similarity_score", 9).alias("similarity_score"))
 
 
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     poses = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("image_id"), F.col("value").alias("overall_confidence"), F.col("ts").alias("created_at"))
-    images = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_path"))
+    images = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_path"))
     rows = index.in_build_order(index.index_rows(features(spark, sf_dir), poses, images))
     return rows.select("pose_id", "overall_confidence", "file_path", F.size("feature_vector").cast("long").alias("dim"))
 
@@ -195,11 +195,11 @@ def oracle_sql() -> dict[str, str]:
         "knn_single": _knn_sql("list_cosine_similarity(v, qv)", "DESC"),
         "knn_dot": _knn_sql("list_inner_product(v, qv)", "DESC"),
         "knn_l2": _knn_sql("list_distance(v, qv)", "ASC"),
-        "knn_batch": f"""WITH {_FEATURES}, s AS (SELECT q.pose_id AS query_id, f.pose_id, list_inner_product(q.v, f.v) AS score FROM f, f AS q WHERE q.pose_id % 25 = 0),
+        "knn_batch": f"""WITH {_FEATURES}, s AS (SELECT q.pose_id AS query_id, f.pose_id, list_inner_product(q.v, f.v) AS score FROM f, f AS q WHERE q.pose_id % 100 = 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pose_id) AS rank FROM s)
             SELECT query_id, rank, pose_id, round(score, 9) AS similarity_score FROM r WHERE rank <= {K}""",
         "index_build": """SELECT vec_id AS pose_id, value AS overall_confidence, c_name AS file_path, len(embedding) AS dim FROM embeddings JOIN events ON vec_id = event_id JOIN customer ON user_id = c_custkey
-            WHERE c_custkey < 100 ORDER BY ts, vec_id""",
+            WHERE c_acctbal > 0 ORDER BY ts, vec_id""",
         "index_stats": "SELECT count(*) AS n_total, min(len(embedding))::INT AS dim_min, max(len(embedding))::INT AS dim_max FROM embeddings",
         "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("events", "part", "embeddings")),
         "l2_normalize": f"""WITH {_FEATURES}, g AS (SELECT pose_id, list_transform(v, lambda x: x * 3) AS v FROM f), n AS (SELECT pose_id, v, sqrt(list_inner_product(v, v)) AS n FROM g)
