@@ -163,6 +163,7 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     windowed = split.where(F.col("id").isNotNull() & (F.size("w") >= window)).select("id", hashed)
     found = written(windowed.mapInArrow(lambda it: _seeds(it, window, k), f"anchor long, id {id_type}, pos int"), "anchors")
     groups = found.groupBy("anchor").agg(F.min(F.struct("id", "pos")).alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub.id < last")
+    groups = written(groups, "groups")  # written, so that a join of its own can split a hot seed
     seeds = found.join(groups, "anchor").select("id", F.struct("pos", ((F.col("hub.id") == F.col("id")) & (F.col("hub.pos") == F.col("pos"))).alias("hub"), (F.col("n") > 2).alias("several")).alias("mark"))
     marks = seeds.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("mark").alias("marks"))
 
@@ -197,6 +198,7 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     pending = compared.where("several").select("id", "anchor", "lo", F.posexplode(F.arrays_zip("digests", "same")).alias("i", "w")).where("not w.same")
     keyed = pending.select(F.xxhash64("anchor", "w.digests").alias("key"), "id", (F.col("lo") + F.col("i")).alias("start"))
     least = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("key", "least")
+    least = written(least, "least")
     by_rest = keyed.join(least, "key").where("id > least").select("id", F.array("start").alias("starts"))
     removed = by_hub.unionByName(by_rest).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
