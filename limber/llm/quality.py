@@ -127,6 +127,10 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def clean_documents(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """The rows that are kept, their failing lines removed, with the columns of ``df``; ``chars_col`` is set to the new length."""
-    m = _measured(df, [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")], text_col).where(_kept(max_lost_percent))
+    m = _measured(df, [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")], text_col)
+    # A plain filter would be pushed below the measures, which would then be computed for each word.
+    judged = m.select("doc", "clean_text", _kept(max_lost_percent).alias("kept"))
+    one = F.explode_outer(F.filter(F.array(F.struct("doc", "clean_text", "kept")), lambda x: x["kept"])).alias("x")
+    left = judged.select(one).where("x is not null").select("x.doc", "x.clean_text")
     new = {text_col: F.col("clean_text"), chars_col: F.length("clean_text").cast("long")}
-    return m.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in df.columns])
+    return left.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in df.columns])
