@@ -18,6 +18,7 @@ an empty result; repeated rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 #: The mark of a word's start in the vocabulary's pieces.
 WORD_START = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_NODES = 200_000
+MAX_NODES = 1_000_000
 
 
 def unigram_scores(model_file: str = TOKENIZER) -> dict[str, float]:
@@ -42,42 +43,48 @@ def unigram_scores(model_file: str = TOKENIZER) -> dict[str, float]:
 
 
 class ForwardTrie:
-    """Nodes are prefixes; each holds the best score of its prefix and the tokens of that segmentation."""
+    """Nodes are prefixes; each holds the best score of its prefix and the tokens of that segmentation.
+
+    A new node looks only at the pieces that end where it ends: their suffixes
+    are known, so the search stops at the first suffix that no piece has.
+    """
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0
+        self.suffixes: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))} | scores
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.best = [0.0]
-        self.tokens = [0]
+        self.edges: dict[int, int] = {}  # (node, letter) in one number
+        self.best = array("d", [0.0])
+        self.tokens = array("q", [0])
 
     def tokens_of(self, word: str) -> int:
-        path, node = [0], 0
+        path, node, edges = [0], 0, self.edges
         for end, letter in enumerate(word, 1):
-            nxt = self.children[node].get(letter)
+            edge = node << 21 | ord(letter)
+            nxt = edges.get(edge)
             if nxt is None:
-                nxt = self._grow(node, letter, word, end, path)
+                edges[edge] = nxt = self._grow(word, end, path)
             node = nxt
             path.append(node)
         return self.tokens[node]
 
-    def _grow(self, node: int, letter: str, word: str, end: int, path: list[int]) -> int:
-        best, tokens = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            score = self.scores.get(word[start:end])
-            if score is not None and (total := self.best[path[start]] + score) > best:
+    def _grow(self, word: str, end: int, path: list[int]) -> int:
+        best, tokens, suffixes = -math.inf, 0, self.suffixes
+        for start in range(end - 1, -1, -1):
+            piece = word[start:end]
+            if piece not in suffixes:
+                break
+            score = suffixes[piece]
+            if score is not None and (total := self.best[path[start]] + score) >= best:
                 best, tokens = total, self.tokens[path[start]] + 1
-        if letter not in self.scores and (total := self.best[node] + self.unknown) > best:
-            best, tokens = total, self.tokens[node] + len(letter.encode())
-        self.children[node][letter] = made = len(self.best)
-        self.children.append({})
+        letter = word[end - 1]
+        if suffixes.get(letter) is None and (total := self.best[path[end - 1]] + self.unknown) > best:
+            best, tokens = total, self.tokens[path[end - 1]] + len(letter.encode())
         self.best.append(best)
         self.tokens.append(tokens)
-        return made
+        return len(self.best) - 1
 
 
 class TerminalCounts(dict):
