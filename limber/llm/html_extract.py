@@ -46,6 +46,8 @@ GOOD_WORDS = frozenset("article articlebody body content entry main post story t
 BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising alert banner bar breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Beside one of these a bad word tells of the page's layout: "with-sidebar".
+LAYOUT_WORDS = frozenset("fixed has layout no with without".split())
 COMMENT_WORDS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
 LINK_WEIGHT, LENGTH_WEIGHT, SENTENCE_WEIGHT, HEADING_WEIGHT = -4.0, 0.5, 0.5, 0.5
 NEIGHBOUR, SAME_PARENT, SIBLING = 0.3, 0.7, 0.4
@@ -94,7 +96,7 @@ def _element(tag: str, attributes: str, above: _Element, number: int) -> _Elemen
                 parts |= {p.lower() for p in _PART.findall(value)} | {value.lower()}
         if parts & COMMENT_WORDS:
             weight += COMMENT_WORD
-        elif parts & BAD_WORDS and not (tag in ("article", "body", "html", "main")):
+        elif parts & BAD_WORDS and not parts & LAYOUT_WORDS and tag not in ("article", "body", "html", "main"):
             weight += BAD_WORD
         elif parts & GOOD_WORDS:
             weight += GOOD_WORD
