@@ -191,6 +191,7 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     open_again = compared.where(F.col("several") & F.exists("same", lambda x: ~x))
     second = open_again.groupBy("anchor").agg(F.min(F.struct("id", (F.col("pos") - F.col("lo")).alias("reach"), "digests")).alias("hub"))
     second = second.select("anchor", F.col("hub.id").alias("hub_id"), F.col("hub.reach").alias("hub_reach"), F.col("hub.digests").alias("hub_digests"))
+    second = written(second, "second")
     again = open_again.join(second, "anchor").withColumn("shift", shift).select("id", "anchor", "pos", "lo", "several", "digests", F.zip_with("same", F.transform("digests", same_window), lambda x, y: x | y).alias("same"))
     compared = written(compared.where(~(F.col("several") & F.exists("same", lambda x: ~x))).unionByName(again), "compared_again")
     by_hub = compared.select("id", F.filter(F.transform("same", lambda x, i: F.when(x, F.col("lo") + i)), lambda s: s.isNotNull()).alias("starts")).where(F.size("starts") > 0)
