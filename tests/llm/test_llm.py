@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
@@ -301,6 +302,35 @@ def test_near_duplicates_of_a_shared_passage_stay(spark):
     assert got == {i: i for i, _ in rows[:-1]} | {1000: 40}
 
 
+def test_near_duplicates_at_the_threshold_and_of_short_texts(spark):
+    rng = np.random.default_rng(33)
+    rows, want = [], {}
+    for i, (n, changed) in enumerate([(300, 60), (60, 12), (20, 4), (11, 2), (10, 2), (10, 1), (8, 1), (5, 1)] * 12):
+        a = [f"w{x}" for x in rng.integers(10**6, size=n)]
+        b = list(a)
+        for at in [n // 2] if changed == 1 else rng.choice(n, changed, replace=False):
+            b[at] = f"x{rng.integers(10**6)}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_all_members_of_a_bucket_are_compared(spark):
+    """One bucket: 0 links with nothing, 1 and 2 with each other, and 9 with 8, which is linked to 1."""
+    rng = np.random.default_rng(34)
+    text = lambda: [f"w{x}" for x in rng.integers(10**6, size=40)]
+    change = lambda w, places: ["x" + v if i in places else v for i, v in enumerate(w)]
+    one = text()
+    eight = change(one, range(8))
+    words_ = {0: text(), 1: one, 2: change(one, range(30, 34)), 8: eight, 9: change(eight, range(30, 38))} | {i: text() for i in range(20, 60)} | {60: text()}
+    words_[61] = change(words_[60], (3, 20))
+    texts = spark.createDataFrame([(i, [zlib.crc32(v.encode()) >> 1 for v in w]) for i, w in words_.items()], "id long, wh array<int>")
+    shared = texts.select(F.lit(5).cast("long").alias("key"), "id", F.size("wh").alias("n"), F.struct(F.lit(0).cast("long").alias("id"), F.lit(40).alias("n")).alias("hub"))
+    got = {r["node"]: r["label"] for r in near_dedup._compared(shared, texts, 0.8).collect()}
+    assert got == {1: 1, 2: 1, 8: 1, 9: 1, 60: 60, 61: 60}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(129, 200), (300, 301), (301, 300)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
