@@ -30,16 +30,19 @@ from pyspark.sql import functions as F
 
 #: Elements of the HTML standard by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select option button canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that are blocks of their own but leave an open paragraph open.
+EMBEDDED = frozenset("audio button canvas datalist noscript object optgroup option select template video".split())
+BLOCKS = BLOCK | EMBEDDED
 #: Elements that end an open paragraph, and those that end a sibling of their own kind.
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
 
 #: The classifier's weights, positive for content.
 BIAS = -1.0
-TAG_WEIGHT = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -6.0, "menu": -6.0, "dialog": -7.0, "header": -4.5, "search": -6.0, "article": 4.0, "main": 3.5, "figcaption": -0.5, "fieldset": -4.0}
+TAG_WEIGHT = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -6.0, "menu": -6.0, "dialog": -7.0, "header": -4.5, "search": -6.0, "article": 4.0, "main": 3.5, "figcaption": -0.5, "fieldset": -4.0, "button": -6.0, "select": -6.0, "datalist": -6.0, "option": -6.0, "audio": -4.0, "canvas": -4.0, "video": -4.0, "noscript": -3.0}
 HEADER_IN_ARTICLE = -1.0
 GOOD_WORD, BAD_WORD, COMMENT_WORD = 2.5, -7.0, -12.0
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
@@ -53,7 +56,9 @@ LINK_WEIGHT, LENGTH_WEIGHT, SENTENCE_WEIGHT, HEADING_WEIGHT = -4.0, 0.5, 0.5, 0.
 NEIGHBOUR, SAME_PARENT, SIBLING = 0.3, 0.7, 0.4
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-hidden|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that a value is never read as a name; a quote left open reaches to the tag's end.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
+_NAMES = frozenset("class id role itemprop aria-hidden style hidden".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -80,12 +85,14 @@ def _element(tag: str, attributes: str, above: _Element, number: int) -> _Elemen
     weight = TAG_WEIGHT.get(tag, 0.0)
     if tag == "header" and above.in_article:
         weight = HEADER_IN_ARTICLE
-    hidden = above.hidden
+    hidden = above.hidden or tag == "template"
     if attributes:
         parts: set[str] = set()
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next(filter(None, values), "")
             name = name.lower()
+            if name not in _NAMES:
+                continue
             if name == "style":
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif name == "hidden":
@@ -116,8 +123,8 @@ def page_blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(t for t, _ in pieces))).strip()
             top = stack[-1]
             if text and not top.hidden:
-                own = next((e for e in reversed(stack) if e.tag in BLOCK), top)
-                parent = next((e.number for e in reversed(stack) if e.tag in BLOCK and e is not own), 0)
+                own = next((e for e in reversed(stack) if e.tag in BLOCKS), top)
+                parent = next((e.number for e in reversed(stack) if e.tag in BLOCKS and e is not own), 0)
                 linked = sum(len(t) for t, a in pieces if a) / max(1, sum(len(t) for t, _ in pieces))
                 blocks.append(Block(text, own.tag, own.weight, parent, min(1.0, linked)))
             pieces.clear()
@@ -138,7 +145,7 @@ def page_blocks(page: str) -> list[Block]:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BLOCK:
+            if tag in BLOCKS:
                 flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -159,8 +166,17 @@ def page_blocks(page: str) -> list[Block]:
             elif tag == "hr":
                 flush()
             continue
-        if tag in BLOCK:
+        if tag in EMBEDDED:
+            flush()
+        if tag in BLOCK or tag in ("option", "optgroup"):  # these end an open option, whose end tag may be left out
             flush()
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "option":
+                    del stack[i:]
+                    break
+                if stack[i].tag in BLOCKS:
+                    break
+        if tag in BLOCK:
             links = 0
             for kind in SELF_CLOSING.get(tag, ()) if tag != "p" else ():
                 for i in range(len(stack) - 1, 0, -1):
@@ -180,7 +196,7 @@ def page_blocks(page: str) -> list[Block]:
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        if tag in BLOCK or attributes:
+        if tag in BLOCKS or attributes:
             stack.append(_element(tag, attributes, stack[-1], number))
         else:
             above = stack[-1]

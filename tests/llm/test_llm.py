@@ -451,6 +451,25 @@ def test_html(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "start",
+    ['<article data-title="The Hidden valley">', '<article><section title="hidden gems">', '<article><div data-hidden="false">', '<article><div data-overflow="hidden">', '<article><a href="/hidden-lakes">', '<article data-role="menu" data-id=sidebar>', '<article><div title=a.hidden>'],
+)
+def test_only_attributes_of_their_own_name_count(start):
+    text = "A long sentence that belongs to the article of this page, as all can see."
+    assert text in html_extract.main_text(f"<body>{start}<p>{text}</p></article></body>".replace("</p></article>", f"</p><p>{text}</p></article>"))
+    assert html_extract._element("div", " title='x' HIDDEN", html_extract._Element("", -1.0, 0, False, False), 1).hidden
+
+
+def test_text_after_open_options_and_inside_embedded_elements_stays():
+    one, two = "The first paragraph of the article has enough words to be kept.", "The second paragraph of the article has enough words as well."
+    assert html_extract.main_text(f"<article><p>{one}</p><datalist><option>red<option>green</datalist><p>{two}</p></article>") == f"{one} {two}"
+    assert html_extract.main_text(f"<article><p>{one}</p><option>red<p>{two}</p></article>") == f"{one} {two}"
+    assert html_extract.main_text(f"<article><p>{one} <math><mi>x</mi></math></p><object><p>{two}</p></object></article>") == f"{one} x {two}"
+    assert html_extract.main_text(f"<article><p>{one}</p><noscript><p>{two}</p></noscript></article>") == f"{one} {two}"
+    assert html_extract.main_text(f"<article><p>{one} <button>Like this</button></p><template><p>{two}</p></template></article>") == one
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in toxicity.initial(5, rng).items() if k not in ("words", "letters")}
