@@ -2,7 +2,9 @@
 
 A word enters the network as the sum of what is known of it whole (a vector, if
 it occurs in enough labelled documents) and of its letters (the mean of the
-vectors of its hashed letter n-grams). The network reads windows of ``WINDOW``
+vectors of all its hashed letter n-grams). A run without white space of more
+than ``PIECE`` letters enters as several words, pieces that overlap so that each
+n-gram lies in one of them. The network reads windows of ``WINDOW``
 words that overlap by half; all windows of a text are scored, and a logistic
 layer over the largest, second largest and mean window score gives the text's.
 
@@ -40,7 +42,11 @@ from limber.llm.gru import gru, loss_gradient, pooled_logits, sigmoid
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, LETTER_DIM, ATTENTION = 8, 8, 8, 8
-LETTER_ROWS, MAX_GRAMS, GRAM_SIZES = 8192, 24, (3, 4, 5)
+LETTER_ROWS, GRAM_SIZES = 8192, (3, 4, 5)
+#: Longest word, and the letters that pieces of a longer one share.
+PIECE, OVERLAP = 32, max(GRAM_SIZES) - 1
+#: N-grams whose vectors are summed at once; bounds the arrays.
+CHUNK_GRAMS = 1 << 19
 MAX_WORDS, MIN_DOCUMENTS = 20_000, 4
 #: Most documents of each label that the model is fitted on, and most windows of each of them.
 SAMPLE, TRAIN_WINDOWS = 1500, 24
@@ -52,8 +58,26 @@ MAX_CACHED = 300_000
 FOLDS = 5
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or its overlapping pieces if it is long."""
+    if len(word) <= PIECE:
+        return [word]
+    return [word[i : i + PIECE] for i in range(0, len(word) - OVERLAP, PIECE - OVERLAP)]
+
+
 def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    words = (text or "").lower().split()
+    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > PIECE else words
+
+
+def word_of_token(text: str | None, place: int) -> int:
+    """The number of the word that the token at ``place`` is of, 0 in a text without words."""
+    at = 0
+    for i, w in enumerate((text or "").lower().split()):
+        at += len(pieces(w))
+        if place < at:
+            return i
+    return 0
 
 
 def bare(token: str) -> str:
@@ -64,7 +88,11 @@ def grams(word: str) -> list[int]:
     """Rows of the letter n-grams of a word, its ends marked."""
     marked = f"<{word}>"
     found = [zlib.crc32(marked[i : i + n].encode()) % LETTER_ROWS for n in GRAM_SIZES for i in range(len(marked) - n + 1)]
-    return found[:MAX_GRAMS] or [zlib.crc32(marked.encode()) % LETTER_ROWS]
+    return found or [zlib.crc32(marked.encode()) % LETTER_ROWS]
+
+
+#: Of distinct tokens: the row of the whole word, the rows of all their n-grams in a row, and where each token's end (the first from 0).
+Features = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Vocabulary:
@@ -73,22 +101,32 @@ class Vocabulary:
     def __init__(self, known: dict[str, int]) -> None:
         self.known = known
 
-    def rows(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        whole = np.zeros(len(distinct), dtype=np.int64)
-        letters = np.zeros((len(distinct), MAX_GRAMS), dtype=np.int32)
-        share = np.zeros((len(distinct), MAX_GRAMS), dtype=np.float32)
-        for i, t in enumerate(distinct):
-            w = bare(t)
-            whole[i] = self.known.get(w, 0)
-            g = grams(w)
-            letters[i, : len(g)] = g
-            share[i, : len(g)] = 1 / len(g)
-        return whole, letters, share
-
-
-def inputs(p: dict[str, np.ndarray], whole: np.ndarray, letters: np.ndarray, share: np.ndarray) -> np.ndarray:
-    parts = [slice(i, i + 20_000) for i in range(0, max(1, len(whole)), 20_000)]
-    return np.concatenate([np.concatenate([p["words"][whole[x]], np.einsum("ngd,ng->nd", p["letters"][letters[x]], share[x])], axis=1) for x in parts])
+    def rows(self, distinct: list[str]) -> Features:
+        words = [bare(t) for t in distinct]
+        whole = np.array([self.known.get(w, 0) for w in words], dtype=np.int64)
+        found = [np.array(grams(w), dtype=np.int32) for w in words]
+        return whole, np.concatenate([np.empty(0, dtype=np.int32), *found]), np.r_[0, np.cumsum([len(g) for g in found], dtype=np.int64)]
+
+
+def features_of(features: Features, rows: np.ndarray) -> Features:
+    """The features of the tokens at ``rows``."""
+    whole, letters, ends = features
+    counts = (ends[1:] - ends[:-1])[rows]
+    new = np.r_[0, np.cumsum(counts)]
+    return whole[rows], letters[np.repeat(ends[rows] - new[:-1], counts) + np.arange(new[-1])], new
+
+
+def inputs(p: dict[str, np.ndarray], whole: np.ndarray, letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What is known of each token whole, beside the mean over all its n-grams."""
+    out = np.zeros((len(whole), WORD_DIM + LETTER_DIM), dtype=p["words"].dtype)
+    out[:, :WORD_DIM] = p["words"][whole]
+    at = 0
+    while at < len(whole):  # a token is a piece at most, so a chunk always holds one
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_GRAMS, side="right")) - 1)
+        sums = np.add.reduceat(p["letters"][letters[ends[at] : ends[to]]], ends[at:to] - ends[at], axis=0)
+        out[at:to, WORD_DIM:] = sums / np.diff(ends[at : to + 1])[:, None]
+        at = to
+    return out
 
 
 def initial(n_words: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -228,14 +266,15 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
             at = start_[w, None] + np.arange(WINDOW)
             mask = (at < end_[w, None]).astype(np.float32)
             used, inverse = np.unique(ids[np.minimum(at, len(ids) - 1)], return_inverse=True)
-            part = tuple(f[used] for f in features)
+            part = features_of(features, used)
             x = inputs(p, *part)
             _, grads, dx = loss_gradient(x, inverse.reshape(at.shape), mask, y[doc_[w]], weight[b].astype(np.float32), p)
             grads["words"] = np.zeros_like(p["words"])
             np.add.at(grads["words"], part[0], dx[:, :WORD_DIM])
             grads["words"][0] = 0
             grads["letters"] = np.zeros_like(p["letters"])
-            np.add.at(grads["letters"], part[1].ravel(), (dx[:, None, WORD_DIM:] * part[2][:, :, None]).reshape(-1, LETTER_DIM))
+            counts = np.diff(part[2])
+            np.add.at(grads["letters"], part[1], np.repeat(dx[:, WORD_DIM:] / counts[:, None].astype(dx.dtype), counts, axis=0))
             norm = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
             adam.step({k: g / max(1.0, norm) for k, g in grads.items()})
     for k in ("words", "letters"):
@@ -249,20 +288,20 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
     return Model(p, known, logistic((x[use] - mean) / scale, y[use], weight), mean, scale)
 
 
-def token_evidence(rows: list[np.ndarray], features: tuple[np.ndarray, np.ndarray, np.ndarray], n_words: int, y: np.ndarray) -> np.ndarray:
+def token_evidence(rows: list[np.ndarray], features: Features, n_words: int, y: np.ndarray) -> np.ndarray:
     """For each distinct token how much oftener it, or one of its letter n-grams, occurs in texts labelled 1 than in those labelled 0: the largest z of its features. Other labels are left out."""
-    whole, letters, share = features
+    whole, letters, ends = features
     seen = np.zeros((2, n_words + 1 + LETTER_ROWS))
     for r, label in zip(rows, y, strict=True):
         if label in (0, 1):
             u = np.unique(r)
             seen[int(label), np.unique(whole[u])] += 1
-            seen[int(label), n_words + 1 + np.unique(letters[u][share[u] > 0])] += 1
+            seen[int(label), n_words + 1 + np.unique(features_of(features, u)[1])] += 1
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     both = (seen[0] + seen[1] + 0.5) / (n0 + n1 + 1)
     z = (seen[1] / n1 - seen[0] / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1))
     z[0] = -99
-    return np.maximum(z[whole], np.where(share > 0, z[n_words + 1 + letters], -99).max(axis=1))
+    return np.maximum(z[whole], np.maximum.reduceat(z[n_words + 1 + letters], ends[:-1]))
 
 
 def held_out(id_: Column, folds: int = FOLDS) -> Column:
@@ -299,10 +338,11 @@ def score_texts(docs: DataFrame, model: Model | float, id_col: str = "doc_id", t
         for batch in batches:
             if len(cache) > MAX_CACHED:
                 cache, projected = {}, (projected[0][:0], projected[1][:0])
-            rows, sizes, before = [], [], len(cache)
+            rows, sizes, cut, before = [], [], [], len(cache)
             for text in batch["text"]:
                 ws = tokens(text)
                 sizes.append(len(ws))
+                cut.append(max(map(len, ws), default=0) == PIECE)  # some word may have been cut
                 for w in ws:
                     if w not in cache:
                         cache[w] = len(cache)
@@ -325,6 +365,7 @@ def score_texts(docs: DataFrame, model: Model | float, id_col: str = "doc_id", t
             logits = window_logits(m.p, projected, np.concatenate(rows), starts, np.repeat(base[1:], counts))
             first = np.cumsum(counts) - counts
             top = [int(local[i][int(np.argmax(logits[f : f + n]))]) for i, (f, n) in enumerate(zip(first, counts, strict=True))]
+            top = [word_of_token(text, t) if long else t for text, t, long in zip(batch["text"], top, cut, strict=True)]
             yield pd.DataFrame({"id": batch["id"], "score": m.scores(text_features(logits, first)), "n_windows": counts, "top_window": top})
 
     out = thin.mapInPandas(scored, "id string, score double, n_windows long, top_window long")

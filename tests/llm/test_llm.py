@@ -521,3 +521,21 @@ def test_window_starts_cover():
         s = toxicity.window_starts(n)
         covered = {i for x in s for i in range(x, x + toxicity.WINDOW)}
         assert set(range(n)) <= covered and len(s) >= 1 and (n <= 32 or s[-1] < n)
+
+
+def test_all_letters_of_long_words_count():
+    model = {"words": np.zeros((1, toxicity.WORD_DIM)), "letters": np.random.default_rng(3).normal(size=(toxicity.LETTER_ROWS, toxicity.LETTER_DIM))}
+    words_ = ["donaudampfschifffahrt", "a", "unproblematisch", "ab" * 16]
+    x = toxicity.inputs(model, *toxicity.Vocabulary({}).rows(words_))
+    for w, got in zip(words_, x, strict=True):
+        marked = f"<{w}>"
+        all_ = [zlib.crc32(marked[i : i + n].encode()) % toxicity.LETTER_ROWS for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        assert np.allclose(got[toxicity.WORD_DIM :], model["letters"][all_].mean(axis=0))
+    word = "".join(string.ascii_lowercase[i] for i in np.random.default_rng(4).integers(26, size=500))
+    found = {toxicity.bare(p)[i : i + n] for p in toxicity.tokens(word) for n in (3, 4, 5) for i in range(len(p) - n + 1)}
+    assert found >= {word[i : i + n] for n in (3, 4, 5) for i in range(len(word) - n + 1)}
+    assert "".join([toxicity.tokens(word)[0], *(p[toxicity.OVERLAP :] for p in toxicity.tokens(word)[1:])]) == word
+    assert len(toxicity.window_starts(len(toxicity.tokens(word * 10)))) > 1
+    text = f"one {word} three"
+    n = len(toxicity.tokens(word))
+    assert [toxicity.word_of_token(text, i) for i in (0, 1, n, n + 1)] == [0, 1, 1, 2] and toxicity.word_of_token(None, 0) == 0
