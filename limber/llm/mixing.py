@@ -7,9 +7,11 @@ the largest factor being sampled whole, so the expected token shares are the
 targets. The draw is a hash of the document's id and a seed: it needs no state,
 and a lost task repeats it exactly.
 
-The table is only aggregated (map-side combine) and joined with the cells, and
-the cells are bounded by the targets: values that no target lists are one
-further value, whose target is its actual share. No text is shuffled.
+The table is only aggregated (map-side combine) and joined with the cells, of
+which there are as many as source, lang and topic combinations occur; they are
+raked on the driver as a sparse table. Tempered targets list every value that
+has tokens; values that no target lists are one further value, whose target is
+its actual share. Up to ``BROADCAST`` cells no text is shuffled.
 
 Edge cases: null values of a dimension are unlisted values; documents without
 tokens count for nothing and get their cell's probability (1 when the cell has
@@ -21,17 +23,16 @@ empty result; other columns are ignored by :func:`mixing_weights` and kept by
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limber.llm.common import text_of, words, written
 
 OTHER = "\u0000other"
-#: Most values of one dimension that tempered targets list; the rest share the unlisted value.
-MAX_VALUES = 200
+#: Up to so many cells the documents are joined with a broadcast of them.
+BROADCAST = 200_000
 TEMPERATURE = 0.7
 SEED = 17
 TOPICS = ("licence", "contact", "list", "prose")
@@ -48,10 +49,10 @@ def topic_of(text: Column) -> Column:
 
 
 def tempered_targets(cells: DataFrame, dims: dict[str, float]) -> dict[str, dict[str, float]]:
-    """For each dimension the shares of its MAX_VALUES heaviest values, raised to the power given and normalised."""
+    """For each dimension the shares of its values with tokens, raised to the power given and normalised."""
     found = {}
     for dim, power in dims.items():
-        heaviest = cells.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").orderBy(F.desc("tokens"), dim).limit(MAX_VALUES).collect()
+        heaviest = cells.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").orderBy(F.desc("tokens"), dim).collect()
         scaled = {r[dim]: float(r["tokens"]) ** power for r in heaviest}
         total = sum(scaled.values())
         found[dim] = {k: v / total for k, v in scaled.items()}
@@ -60,19 +61,23 @@ def tempered_targets(cells: DataFrame, dims: dict[str, float]) -> dict[str, dict
 
 def rake(actual: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-10, max_rounds: int = 1000) -> np.ndarray:
     """The weights nearest ``actual`` (n-way array) with the target shares as margins; targets of empty slices are left out."""
+    codes = [c.ravel() for c in np.indices(actual.shape)]
+    return rake_cells(actual.ravel(), codes, targets, tolerance, max_rounds).reshape(actual.shape)
+
+
+def rake_cells(actual: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], tolerance: float = 1e-10, max_rounds: int = 1000) -> np.ndarray:
+    """:func:`rake` of the cells that occur, each with its place along every axis."""
     fitted = actual / actual.sum()
     for _ in range(max_rounds):
         off = 0.0
-        for axis, share in enumerate(targets):
-            others = tuple(a for a in range(actual.ndim) if a != axis)
-            margin = fitted.sum(axis=others)
+        for code, share in zip(codes, targets, strict=True):
+            margin = np.bincount(code, weights=fitted, minlength=len(share))
             want = np.where(margin > 0, share, 0)
             if want.sum() == 0:
                 continue
             want = want / want.sum()
             off = max(off, float(np.abs(margin - want).max()))
-            scale = np.divide(want, margin, out=np.zeros_like(margin), where=margin > 0)
-            fitted = fitted * scale.reshape([-1 if a == axis else 1 for a in range(actual.ndim)])
+            fitted = fitted * np.divide(want, margin, out=np.zeros_like(margin), where=margin > 0)[code]
         if off < tolerance:
             break
     return fitted
@@ -82,34 +87,31 @@ def _thin(df: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str) -
     return df.select(F.col(id_col).alias("id"), *[c.cast("string").alias(d) for d, c in dims.items()], tokens.cast("long").alias("tokens"))
 
 
-def cell_factors(cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
-    """The cells of ``targets`` with columns factor and probability; at most the product of their values plus one each."""
-    spark, dims = cells.sparkSession, list(targets)
-    listed = [F.when(F.col(d).isin(list(targets[d])), F.col(d)).otherwise(F.lit(OTHER)).alias(d) for d in dims]
-    rows = cells.select(*listed, "tokens").groupBy(*dims).agg(F.sum("tokens").alias("tokens")).collect()
+def cell_factors(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, int]:
+    """The cells with columns factor and probability, and how many there are."""
+    dims = list(targets)
+    rows = cells.select(*dims, F.coalesce("tokens", F.lit(0)).cast("double").alias("tokens")).collect()
     values = {d: [*targets[d], OTHER] for d in dims}
-    at = {d: {v: i for i, v in enumerate(values[d])} for d in dims}
-    actual = np.zeros([len(values[d]) for d in dims])
-    for r in rows:
-        actual[tuple(at[d][r[d]] for d in dims)] += float(r["tokens"] or 0)
+    at = {d: {v: i for i, v in enumerate(targets[d])} for d in dims}
+    codes = np.array([[at[d].get(r[d], len(at[d])) for d in dims] for r in rows], dtype=np.int64).reshape(len(rows), len(dims))
+    merged, cell = np.unique(codes, axis=0, return_inverse=True)
+    cell = cell.ravel()
+    actual = np.bincount(cell, weights=[r["tokens"] for r in rows], minlength=len(merged)) if rows else np.zeros(0)
     total = actual.sum()
-    factor = np.ones_like(actual)
+    factor = probability = np.ones(len(merged))
     if total > 0:
-        shares = []
-        for axis, d in enumerate(dims):
-            margin = actual.sum(axis=tuple(a for a in range(actual.ndim) if a != axis)) / total
+        places, shares = list(merged.T), []
+        for code, d in zip(places, dims, strict=True):
+            margin = np.bincount(code, weights=actual, minlength=len(values[d])) / total
             share = np.where(margin > 0, [*targets[d].values(), 0.0], 0.0)
             share = share / (share.sum() or 1) * (1 - margin[-1])
             share[-1] = margin[-1]
             shares.append(share)
-        fitted = rake(actual, shares) * total
+        fitted = rake_cells(actual, places, shares) * total
         factor = np.divide(fitted, actual, out=np.ones_like(actual), where=actual > 0)
-        largest = factor[actual > 0].max()
-        probability = np.where(actual > 0, factor / largest, 1.0)
-    else:
-        probability = factor
-    made = [(*(values[d][i] for d, i in zip(dims, ix, strict=True)), float(factor[ix]), float(probability[ix])) for ix in product(*(range(n) for n in actual.shape))]
-    return spark.createDataFrame(made, ", ".join(f"{d} string" for d in dims) + ", factor double, probability double")
+        probability = np.where(actual > 0, factor / factor[actual > 0].max(), 1.0)
+    made = pd.DataFrame({d: pd.Series([r[d] for r in rows], dtype=object) for d in dims} | {"factor": factor[cell], "probability": probability[cell]})
+    return cells.sparkSession.createDataFrame(made, ", ".join(f"{d} string" for d in dims) + ", factor double, probability double"), len(rows)
 
 
 def draw(id_: Column, seed: int = SEED) -> Column:
@@ -122,9 +124,10 @@ def _decide(rows: DataFrame, thin: DataFrame, dims: list[str], powers: dict[str,
     """``rows`` (with id and dims) joined with factor, probability and sampled."""
     cells = written(thin.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     targets = targets or tempered_targets(cells, powers or {})
-    factors = cell_factors(cells, targets).select(*[F.col(d).alias(f"cell_{d}") for d in dims], "factor", "probability")
-    match = [F.when(F.col(d).isin(list(targets[d])), F.col(d)).otherwise(F.lit(OTHER)) == F.col(f"cell_{d}") for d in dims]
-    joined = rows.join(F.broadcast(factors), match, "left").drop(*[f"cell_{d}" for d in dims])
+    factors, n = cell_factors(cells, targets)
+    factors = factors.select(*[F.col(d).alias(f"cell_{d}") for d in dims], "factor", "probability")
+    match = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in dims]
+    joined = rows.join(F.broadcast(factors) if n <= BROADCAST else factors, match, "left").drop(*[f"cell_{d}" for d in dims])
     return joined.withColumn("sampled", draw(F.col("id"), seed) < F.col("probability"))
 
 

@@ -539,3 +539,15 @@ def test_all_letters_of_long_words_count():
     text = f"one {word} three"
     n = len(toxicity.tokens(word))
     assert [toxicity.word_of_token(text, i) for i in (0, 1, n, n + 1)] == [0, 1, 1, 2] and toxicity.word_of_token(None, 0) == 0
+
+
+def test_every_source_is_tempered(spark):
+    n = 260
+    rows = [(i * 10 + j, "w " * (5 + i % 7 + (j == 0) * i), "en" if j % 2 else "de", f"site{i}") for i in range(n) for j in range(3)] + [(9000, "w w", None, None)]
+    out = mixing.mixing_weights(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    assert len(out) == len(rows) and out["factor"].notna().all()
+    listed = out[out["source"].notna()]
+    actual = listed.groupby("source")["n_tokens"].sum()
+    fitted = (listed["factor"] * listed["n_tokens"]).groupby(listed["source"]).sum()
+    want = actual**mixing.TEMPERATURE
+    assert np.allclose(fitted / fitted.sum(), want / want.sum(), atol=1e-6)
