@@ -47,6 +47,7 @@ LETTER_ROWS, GRAM_SIZES = 8192, (3, 4, 5)
 PIECE, OVERLAP = 32, max(GRAM_SIZES) - 1
 #: N-grams whose vectors are summed at once; bounds the arrays.
 CHUNK_GRAMS = 1 << 19
+#: A word gets a vector of its own if it is in so many sampled documents; of more such words than MAX_WORDS the most frequent. All others are known by their letters.
 MAX_WORDS, MIN_DOCUMENTS = 20_000, 4
 #: Most documents of each label that the model is fitted on, and most windows of each of them.
 SAMPLE, TRAIN_WINDOWS = 1500, 24
@@ -354,15 +355,15 @@ def score_texts(docs: DataFrame, model: Model | float, id_col: str = "doc_id", t
             if new:
                 parts = [inputs(m.p, *Vocabulary(m.known).rows(new[i : i + 20_000])) for i in range(0, len(new), 20_000)]
                 projected = tuple(np.concatenate([projected[i], *(x @ m.p[f"w{d}"] + m.p[f"c{d}"] for x in parts)]) for i, d in enumerate("fb"))
-            elif not len(projected[0]):
-                projected = (np.zeros((1, 3 * HIDDEN), dtype=np.float32),) * 2
+            # The padded places of a window read a row, though it counts for nothing; that row is no part of the cache.
+            table = projected if len(projected[0]) else (np.zeros((1, 3 * HIDDEN), dtype=np.float32),) * 2
             base = np.r_[0, np.cumsum(sizes)]
             local = [window_starts(n) for n in sizes]
             counts = np.array([len(s) for s in local])
             starts = np.concatenate([b + s for b, s in zip(base, local, strict=False)]) if local else np.empty(0, dtype=np.int64)
             if not len(starts):
                 continue
-            logits = window_logits(m.p, projected, np.concatenate(rows), starts, np.repeat(base[1:], counts))
+            logits = window_logits(m.p, table, np.concatenate(rows), starts, np.repeat(base[1:], counts))
             first = np.cumsum(counts) - counts
             top = [int(local[i][int(np.argmax(logits[f : f + n]))]) for i, (f, n) in enumerate(zip(first, counts, strict=True))]
             top = [word_of_token(text, t) if long else t for text, t, long in zip(batch["text"], top, cut, strict=True)]
