@@ -6,9 +6,12 @@ program over it chooses the ``n_buckets`` bucket lengths with the least total
 padding. Inside each bucket the spans are numbered and every
 ``token_budget // bucket_len`` of them form a batch.
 
-The numbering never gathers a bucket: spans are dealt to shards by a hash, are
-numbered inside a shard, and the shards' counts (at most ``MAX_SHARDS`` a
-bucket) give each shard its first number. Only ids and lengths are shuffled.
+The numbering never gathers a bucket: spans are dealt to shards by a hash of
+their row, not of the id, so that no id is hot; they are numbered inside a
+shard, and the running sum of the shards' counts gives each shard its first
+number. There are as many shards as ``SHARD_ROWS`` asks for, so which documents
+share a batch depends on the size of the table; how much is padded does not.
+Only ids and lengths are shuffled.
 
 Edge cases: a document without tokens (null or empty text) gives one row with
 null bucket, batch and slot; a null id is an id like any other; repeated rows
@@ -27,8 +30,9 @@ from limber.llm.common import text_of, words, written
 MAX_LEN = 2048
 N_BUCKETS = 8
 TOKEN_BUDGET = 65_536
+#: Spans of a shard, about; and up to so many shards their counts are broadcast.
 SHARD_ROWS = 50_000
-MAX_SHARDS = 4096
+BROADCAST_SHARDS = 4096
 
 
 def best_boundaries(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
@@ -69,10 +73,12 @@ def pack(
     token_budget: int = TOKEN_BUDGET,
 ) -> DataFrame:
     """One row per span: id, span, start, n_tokens, bucket, bucket_len, batch_id, slot."""
-    docs = written(lengths.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("total")), "lengths")
+    total = F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("total")
+    docs = written(lengths.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), total), "lengths")
     n_spans = F.greatest(F.lit(1), F.ceil(F.col("total") / max_len)).cast("int")
-    spans = docs.select("id", "total", F.explode(F.sequence(F.lit(0), n_spans - 1)).alias("span")).select(
+    spans = docs.select("id", "row", "total", F.explode(F.sequence(F.lit(0), n_spans - 1)).alias("span")).select(
         "id",
+        "row",
         "span",
         (F.col("span").cast("long") * max_len).alias("start"),
         F.least(F.lit(max_len), F.col("total") - F.col("span").cast("long") * max_len).cast("long").alias("length"),
@@ -80,7 +86,7 @@ def pack(
     # At most max_len rows come to the driver.
     histogram = sorted((r["length"], r["count"]) for r in spans.where(F.col("length") > 0).groupBy("length").count().collect())
     bounds = best_boundaries([x for x, _ in histogram], [n for _, n in histogram], n_buckets)
-    n_shards = min(MAX_SHARDS, 1 + sum(n for _, n in histogram) // SHARD_ROWS)
+    n_shards = 1 + sum(n for _, n in histogram) // SHARD_ROWS
 
     bucket, bucket_len, capacity, first_batch = (F.lit(None).cast(t) for t in ("int", "long", "long", "long"))
     done = batches = 0
@@ -98,14 +104,15 @@ def pack(
         first_batch = F.when(fits, F.lit(starts[i]).cast("long")).otherwise(first_batch)
     placed = spans.where(F.col("length") > 0).select(
         "*", bucket.alias("bucket"), bucket_len.alias("bucket_len"), capacity.alias("capacity"), first_batch.alias("first_batch"),
-        F.pmod(F.xxhash64("id", "span"), F.lit(n_shards)).alias("shard"),
+        F.pmod(F.xxhash64("row", "span"), F.lit(n_shards)).alias("shard"),
     )
-    # At most n_buckets * MAX_SHARDS rows, so the broadcast is bounded.
+    # n_buckets * n_shards rows: one for many thousand spans.
     counts = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "span")) - 1
-    numbered = placed.withColumn("local", local).join(F.broadcast(offsets), ["bucket", "shard"]).withColumn("number", F.col("offset") + F.col("local"))
+    local = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "span", "row")) - 1
+    offsets = F.broadcast(offsets) if n_shards <= BROADCAST_SHARDS else offsets
+    numbered = placed.withColumn("local", local).join(offsets, ["bucket", "shard"]).withColumn("number", F.col("offset") + F.col("local"))
     packed = numbered.select(
         F.col("id").alias(id_col), "span", "start", F.col("length").alias("n_tokens"), "bucket", "bucket_len",
         (F.col("first_batch") + F.expr("number div capacity")).alias("batch_id"), (F.col("number") % F.col("capacity")).cast("int").alias("slot"),
