@@ -71,7 +71,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heavy = written(heavy_winners(digests, support), "heavy")
     hot = digests.join(F.broadcast(heavy), "digest")
     rest = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    settled = hot.unionByName(rest.join(_winners(rest), "digest"))
+    winners = written(_winners(rest), "winners")  # written, so that a join of its own can split a digest just below the support
+    settled = hot.unionByName(rest.join(winners, "digest"))
     return settled.select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),

@@ -157,6 +157,7 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = written(split.select("id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("same")).where("id is not null"), "whole")
     long = whole.where(F.col("n_words") >= window)
     first = long.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("same", "first")
+    first = written(first, "first")  # written, so that a join of its own can split a hot text
     copies = written(long.join(first, "same").where("id > first").select("id").distinct(), "copies")
 
     hashed = F.transform("w", lambda x: F.xxhash64(x)).alias("wh")
