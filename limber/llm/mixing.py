@@ -1,21 +1,25 @@
 """Mixing to target weights by iterative proportional fitting.
 
 The token weights of the cells source x language x topic are raked until their
-margins meet the targets. A cell's factor is its fitted over its actual weight;
-a document is sampled with a probability proportional to its cell's factor,
-the largest factor being sampled whole, so the expected token shares are the
-targets. The draw is a hash of the document's id and a seed: it needs no state,
-and a lost task repeats it exactly.
+margins meet the targets. A cell's factor is its fitted over its actual weight.
+With a ``budget`` (a share of all tokens) the sample is to hold so many tokens:
+no cell can give more than it has, so the cells are raked once more under that
+cap, where a cell that is sampled whole leaves the rest to the others of its
+slices. Without one, probabilities are proportional to the factors and the cell
+of the largest is sampled whole: the expected shares are the targets to the
+last, but one rare cell decides how little is kept. The draw is a hash of the
+document's id and a seed: it needs no state, and a lost task repeats it exactly.
 
 The table is only aggregated (map-side combine) and joined with the cells, of
 which there are as many as source, lang and topic combinations occur; they are
-raked on the driver as a sparse table. Tempered targets list every value that
+raked on the driver as a sparse table, some hundred bytes a cell. Tempered targets list every value that
 has tokens; values that no target lists are one further value, whose target is
 its actual share. Up to ``BROADCAST`` cells no text is shuffled.
 
 Edge cases: null values of a dimension are unlisted values; documents without
 tokens count for nothing and get their cell's probability (1 when the cell has
-no tokens at all); a null id draws like any other value, repeated rows draw
+no tokens at all); targets that the cells that occur cannot meet are met as
+nearly as raking comes, with a warning; a null id draws like any other value, repeated rows draw
 alike; target values that do not occur are left out; an empty table gives an
 empty result; other columns are ignored by :func:`mixing_weights` and kept by
 :func:`sample_mixture`.
@@ -23,6 +27,8 @@ empty result; other columns are ignored by :func:`mixing_weights` and kept by
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +40,10 @@ OTHER = "\u0000other"
 #: Up to so many cells the documents are joined with a broadcast of them.
 BROADCAST = 200_000
 TEMPERATURE = 0.7
+#: Share of all tokens that the production mixture is to hold.
+BUDGET = 0.6
+#: Distance of a margin from its target above which a warning is given.
+REPORTED = 1e-3
 SEED = 17
 TOPICS = ("licence", "contact", "list", "prose")
 
@@ -62,41 +72,78 @@ def tempered_targets(cells: DataFrame, dims: dict[str, float]) -> dict[str, dict
 def rake(actual: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-10, max_rounds: int = 1000) -> np.ndarray:
     """The weights nearest ``actual`` (n-way array) with the target shares as margins; targets of empty slices are left out."""
     codes = [c.ravel() for c in np.indices(actual.shape)]
-    return rake_cells(actual.ravel(), codes, targets, tolerance, max_rounds).reshape(actual.shape)
-
-
-def rake_cells(actual: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], tolerance: float = 1e-10, max_rounds: int = 1000) -> np.ndarray:
-    """:func:`rake` of the cells that occur, each with its place along every axis."""
-    fitted = actual / actual.sum()
+    return rake_cells(actual.ravel(), codes, targets, None, tolerance, max_rounds)[0].reshape(actual.shape)
+
+
+def _scales(weight: np.ndarray, cap: np.ndarray, code: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each slice the factor by which its weights, none beyond its cap, sum to what is wanted; the least that caps them all if they cannot."""
+    use = np.flatnonzero(weight > 0)
+    at = np.divide(cap[use], weight[use])  # the factor at which a cell meets its cap
+    order = use[np.lexsort((at, code[use]))]
+    at = cap[order] / weight[order]
+    c, u, w = code[order], np.where(np.isinf(cap[order]), 0.0, cap[order]), weight[order]
+    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, dtype=np.int64)
+    size = np.diff(np.r_[first, len(c)])
+    capped = np.cumsum(u) - u  # what the cells before this one have at their caps
+    capped -= np.repeat(capped[first], size)
+    before = np.cumsum(w) - w
+    left = np.repeat(np.add.reduceat(w, first), size) - (before - np.repeat(before[first], size)) if len(c) else w
+    scale = np.maximum(want[c] - capped, 0) / np.maximum(left, w)
+    fits = np.where(scale <= at, np.arange(len(c)), len(c))
+    out = np.ones(len(want))
+    if len(c):
+        best = np.minimum.reduceat(fits, first)
+        last = first + size - 1
+        out[c[first]] = np.where(best <= last, scale[np.minimum(best, last)], at[last])
+    return out
+
+
+def rake_cells(
+    actual: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], caps: np.ndarray | None = None, tolerance: float = 1e-10, max_rounds: int = 1000
+) -> tuple[np.ndarray, float]:
+    """:func:`rake` of the cells that occur, each with its place along every axis; also the largest distance of a margin from its target.
+
+    With ``caps`` no fitted share is beyond its cap; what a capped cell cannot
+    give the other cells of its slice do. A margin that all caps of its slice
+    together do not reach stays below its target.
+    """
+    weight = actual / actual.sum()
+    cap = np.full(len(actual), np.inf) if caps is None else caps
+    wants = []
+    for code, share in zip(codes, targets, strict=True):
+        want = np.where(np.bincount(code, weights=weight, minlength=len(share)) > 0, share, 0)
+        wants.append(want / want.sum() if want.sum() else None)
+    residual = 0.0
     for _ in range(max_rounds):
-        off = 0.0
-        for code, share in zip(codes, targets, strict=True):
-            margin = np.bincount(code, weights=fitted, minlength=len(share))
-            want = np.where(margin > 0, share, 0)
-            if want.sum() == 0:
-                continue
-            want = want / want.sum()
-            off = max(off, float(np.abs(margin - want).max()))
-            fitted = fitted * np.divide(want, margin, out=np.zeros_like(margin), where=margin > 0)[code]
-        if off < tolerance:
+        fitted = np.minimum(weight, cap)
+        residual = max([0.0, *(float(np.abs(np.bincount(c, weights=fitted, minlength=len(w)) - w).max()) for c, w in zip(codes, wants, strict=True) if w is not None)])
+        if residual < tolerance:
             break
-    return fitted
+        old = fitted
+        for code, want in zip(codes, wants, strict=True):
+            if want is not None:
+                weight = weight * _scales(weight, cap, code, want)[code]
+        if float(np.abs(np.minimum(weight, cap) - old).max()) < tolerance / 100:
+            break  # nothing moves: some margin cannot be met
+    return np.minimum(weight, cap), residual
 
 
 def _thin(df: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), *[c.cast("string").alias(d) for d, c in dims.items()], tokens.cast("long").alias("tokens"))
 
 
-def cell_factors(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, int]:
-    """The cells with columns factor and probability, and how many there are."""
+def cell_factors(cells: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None) -> tuple[DataFrame, int]:
+    """The cells with columns factor and probability, and how many there are; a warning tells how far margins stay from their targets."""
     dims = list(targets)
-    rows = cells.select(*dims, F.coalesce("tokens", F.lit(0)).cast("double").alias("tokens")).collect()
+    rows = cells.select(*dims, F.coalesce("tokens", F.lit(0)).cast("double").alias("tokens")).toPandas()
     values = {d: [*targets[d], OTHER] for d in dims}
-    at = {d: {v: i for i, v in enumerate(targets[d])} for d in dims}
-    codes = np.array([[at[d].get(r[d], len(at[d])) for d in dims] for r in rows], dtype=np.int64).reshape(len(rows), len(dims))
+    codes = np.empty((len(rows), len(dims)), dtype=np.int64)
+    for i, d in enumerate(dims):
+        at = {v: j for j, v in enumerate(targets[d])}
+        codes[:, i] = [at.get(v, len(at)) for v in rows[d]]
     merged, cell = np.unique(codes, axis=0, return_inverse=True)
     cell = cell.ravel()
-    actual = np.bincount(cell, weights=[r["tokens"] for r in rows], minlength=len(merged)) if rows else np.zeros(0)
+    actual = np.bincount(cell, weights=rows["tokens"], minlength=len(merged)) if len(rows) else np.zeros(0)
     total = actual.sum()
     factor = probability = np.ones(len(merged))
     if total > 0:
@@ -107,10 +154,18 @@ def cell_factors(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tupl
             share = share / (share.sum() or 1) * (1 - margin[-1])
             share[-1] = margin[-1]
             shares.append(share)
-        fitted = rake_cells(actual, places, shares) * total
-        factor = np.divide(fitted, actual, out=np.ones_like(actual), where=actual > 0)
-        probability = np.where(actual > 0, factor / factor[actual > 0].max(), 1.0)
-    made = pd.DataFrame({d: pd.Series([r[d] for r in rows], dtype=object) for d in dims} | {"factor": factor[cell], "probability": probability[cell]})
+        has = actual > 0
+        fitted, residual = rake_cells(actual, places, shares)
+        factor = np.divide(fitted * total, actual, out=np.ones_like(actual), where=has)
+        if budget is None:
+            probability = np.where(has, factor / factor[has].max(), 1.0)
+        else:
+            fitted, residual = rake_cells(actual, places, shares, actual / (total * budget))
+            probability = np.divide(fitted * total * budget, actual, out=np.ones_like(actual), where=has).clip(0, 1)
+        if residual > REPORTED:
+            warnings.warn(f"the targets cannot be met: a share of tokens is off by {residual:.2g}", stacklevel=2)
+    made = pd.DataFrame({d: rows[d].astype(object) for d in dims} | {"factor": factor[cell], "probability": probability[cell]})
+    made = made.where(made.notna(), None)
     return cells.sparkSession.createDataFrame(made, ", ".join(f"{d} string" for d in dims) + ", factor double, probability double"), len(rows)
 
 
@@ -120,11 +175,12 @@ def draw(id_: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def _decide(rows: DataFrame, thin: DataFrame, dims: list[str], powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, seed: int) -> DataFrame:
+def _decide(rows: DataFrame, thin: DataFrame, dims: list[str], powers: dict[str, float] | None, targets: dict[str, dict[str, float]] | None, budget: float | None, seed: int) -> DataFrame:
     """``rows`` (with id and dims) joined with factor, probability and sampled."""
     cells = written(thin.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
-    targets = targets or tempered_targets(cells, powers or {})
-    factors, n = cell_factors(cells, targets)
+    if targets is None:
+        targets, budget = tempered_targets(cells, powers or {}), BUDGET if budget is None else budget
+    factors, n = cell_factors(cells, targets, budget)
     factors = factors.select(*[F.col(d).alias(f"cell_{d}") for d in dims], "factor", "probability")
     match = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in dims]
     joined = rows.join(F.broadcast(factors) if n <= BROADCAST else factors, match, "left").drop(*[f"cell_{d}" for d in dims])
@@ -148,21 +204,23 @@ def mixing_weights(
     source_col: str = "source",
     lang_col: str = "lang",
     topic_col: str | None = None,
+    budget: float | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """One row per input row: id, source, lang, topic, n_tokens, factor, probability, sampled.
 
-    ``targets`` maps source, lang and topic to {value: share}; without it they are tempered by POWERS.
+    ``targets`` maps source, lang and topic to {value: share}; without it they
+    are tempered by POWERS, and the budget is BUDGET unless given.
     """
     dims = _dims(source_col, lang_col, text_col, topic_col)
     thin = written(_thin(df, dims, F.size(words(text_of(text_col))), id_col), "mixing")
-    decided = _decide(thin, thin, list(dims), POWERS, targets, seed)
+    decided = _decide(thin, thin, list(dims), POWERS, targets, budget, seed)
     return decided.select(F.col("id").alias(id_col), *dims, F.col("tokens").alias("n_tokens"), "factor", "probability", "sampled")
 
 
-def sample_mixture(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, seed: int = SEED) -> DataFrame:
+def sample_mixture(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """The sampled rows of ``df`` with all their columns; documents are read twice and never shuffled."""
     dims = _dims(source_col, lang_col, text_col, topic_col)
     thin = _thin(df, dims, F.size(words(text_of(text_col))), id_col)
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(id_col).alias("id"), *[c.cast("string").alias(d) for d, c in dims.items()])
-    return _decide(whole, thin, list(dims), POWERS, targets, seed).where("sampled").select("doc.*")
+    return _decide(whole, thin, list(dims), POWERS, targets, budget, seed).where("sampled").select("doc.*")
