@@ -56,5 +56,7 @@ def exponential_score(distance: Column, scale: float = 1.0) -> Column:
     return F.exp(-distance / F.lit(float(scale)))
 
 
+#: Score mappings of a distance and a scale.
+MAPPINGS = {"inverse": inverse_distance_score, "exponential": exponential_score}
 #: Name to (expression, whether larger is nearer).
 METRICS = {"cosine": (cosine, True), "dot": (dot, True), "l2": (l2_distance, False)}

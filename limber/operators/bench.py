@@ -1,4 +1,9 @@
-"""Summaries of detector runs."""
+"""Summaries of detector runs.
+
+Edge cases: a null ``detected`` counts as not detected; null times and
+confidences count for nothing; a repeated run counts again; a null group is a
+group; no runs give no groups, or one row of zeros and nulls without a group.
+"""
 
 from __future__ import annotations
 

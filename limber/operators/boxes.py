@@ -12,7 +12,7 @@ PERSON = 0
 
 
 def number_boxes(boxes: DataFrame, image_col: str, *order: str) -> DataFrame:
-    """Add box_idx, the place (from 0) in the detector's own output. Number before filtering: the numbers are person ids and keep their gaps."""
+    """Add box_idx, the place (from 0) in the detector's own output. Number before filtering: the numbers are person ids and keep their gaps. Rows that tie in ``order`` are numbered in any order; boxes of null images are numbered together."""
     return boxes.withColumn("box_idx", F.row_number().over(Window.partitionBy(image_col).orderBy(*order)) - 1)
 
 
@@ -37,12 +37,12 @@ def crop_bounds(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, h
 
 def shift_keypoints(keypoints: Column, dx: Column, dy: Column) -> Column:
     """Keypoints (x, y, ...) moved by an offset; what follows x and y stays."""
-    return F.transform(keypoints, lambda p: F.concat(F.array(p[0] + dx, p[1] + dy), F.slice(p, 3, 1_000_000)))
+    return F.transform(keypoints, lambda p: F.concat(F.array(p[0] + dx, p[1] + dy), F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0)))))
 
 
 def shift_bbox(bbox: Column, dx: Column, dy: Column) -> Column:
     """A box (x, y, w, h) moved by an offset: its size stays."""
-    return F.concat(F.array(bbox[0] + dx, bbox[1] + dy), F.slice(bbox, 3, 1_000_000))
+    return F.concat(F.array(bbox[0] + dx, bbox[1] + dy), F.slice(bbox, 3, F.greatest(F.size(bbox) - 2, F.lit(0))))
 
 
 def map_back(poses: DataFrame, dx_col: str = "x_offset", dy_col: str = "y_offset", person_col: str = "box_idx") -> DataFrame:

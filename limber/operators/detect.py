@@ -4,10 +4,18 @@ No model weights are part of this library. A detector is a factory that
 returns a function from an RGB array to a list of poses (dicts with keypoints,
 visibility, bbox (x, y, w, h) and overall_confidence); a person model's
 function returns boxes (dicts with x1, y1, x2, y2, conf, cls).
+
+Edge cases: an image in which nothing is found gives no rows; a box without
+confidence, or one whose crop is empty, is passed over; an image that is there
+twice gives its rows twice (an ensemble fuses all rows of a path); no images
+give no rows.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limber.functions.pixels import bgr_to_rgb
-from limber.operators.boxes import CROP_PADDING, MIN_PERSON_CONF, crop_bounds, map_back, person_boxes
+from limber.operators.boxes import CROP_PADDING, MIN_PERSON_CONF, PERSON, map_back
 from limber.operators.ensemble import EnsembleConfig, fuse_poses
 from limber.sources.images import as_array
 
@@ -27,75 +35,140 @@ POSE_FIELDS = "keypoints array<array<double>>, visibility array<double>, bbox ar
 BOX_FIELDS = "x1 double, y1 double, x2 double, y2 double, conf double, cls int"
 
 
-def brightness_detector() -> Callable[[np.ndarray], list[Pose]]:
-    """A deterministic stand-in for tests: one pose whose five keypoints follow from the image's size and mean brightness."""
+def brightness_detector(least: float = 0.0, shift: float = 0.0) -> Callable[[np.ndarray], list[Pose]]:
+    """A deterministic stand-in for tests: one pose whose five keypoints follow from the image's size, moved right by ``shift``; none where the mean brightness (0 to 1) is below ``least``."""
 
     def detect(rgb: np.ndarray) -> list[Pose]:
         if rgb.size == 0:
             return []
         h, w = rgb.shape[:2]
         light = float(rgb.mean()) / 255
-        points = [[w * f, h * f] for f in (0.1, 0.3, 0.5, 0.7, 0.9)]
+        if light < least:
+            return []
+        points = [[w * f + shift, h * f] for f in (0.1, 0.3, 0.5, 0.7, 0.9)]
         return [{"keypoints": points, "visibility": [light] * 5, "bbox": [0.0, 0.0, float(w), float(h)], "overall_confidence": light}]
 
     return detect
 
 
-def _run(images: DataFrame, factory: Factory, fields: str, index: str, extra: list[str], crop: bool) -> DataFrame:
-    carried = images.select("path", *extra)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema) + f", {index} int, {fields}"
-    names = [f.split()[0] for f in schema.split(f"{index} int, ")[1].replace("array<array<double>>", "a").replace("array<double>", "a").split(", ")]
-    bounds = ["x1_pad", "y1_pad", "x2_pad", "y2_pad"] if crop else []
+def padded_box(box: dict, width: int, height: int, padding: float = CROP_PADDING) -> tuple[int, int, int, int]:
+    """x1, y1, x2, y2 of the crop, as :func:`boxes.crop_bounds` has them."""
+    x1, y1, x2, y2 = (float(box[c]) for c in ("x1", "y1", "x2", "y2"))
+    pad_x, pad_y = (x2 - x1) * padding, (y2 - y1) * padding
+    low = lambda v: 0 if math.isnan(v) else int(max(0.0, v))
+    high = lambda v, most: most if math.isnan(v) else int(min(float(most), v))
+    return low(x1 - pad_x), low(y1 - pad_y), high(x2 + pad_x, width), high(y2 + pad_y, height)
+
+
+def thirds_detector() -> Callable[[np.ndarray], list[dict]]:
+    """A deterministic stand-in for a person model: three boxes of half the width, of growing confidence; the last is no person where the width is odd."""
+
+    def detect(rgb: np.ndarray) -> list[dict]:
+        h, w = rgb.shape[:2]
+        return [{"x1": i * w / 4, "y1": 0.0, "x2": i * w / 4 + w / 2, "y2": float(h), "conf": conf, "cls": int(i == 2 and w % 2)} for i, conf in enumerate((0.2, 0.3, 0.9))]
+
+    return detect
+
+
+#: From an image (RGB) to rows of the columns that follow the path and the time.
+Work = Callable[[np.ndarray], list[tuple]]
+
+
+def _run(images: DataFrame, make: Callable[[], Work], fields: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One map over the images, each decoded once: path, the carried columns, elapsed_s (of the image, alike in its rows) and ``fields``."""
+    kept = ["path", *carry]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*kept).schema) + f", elapsed_s double, {fields}"
+    names = [*kept, "elapsed_s", *re.findall(r"(\w+) (?:int|double|array)", fields)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
+        work = None
         for batch in batches:
-            model = model or factory()
+            work = work or make()
             rows = []
             for r in batch.to_dict("records"):
-                rgb = bgr_to_rgb(as_array(r["data"], r["height"], r["width"], r["n_channels"]))
-                if crop:
-                    rgb = rgb[r["y1_pad"] : r["y2_pad"], r["x1_pad"] : r["x2_pad"]]
-                rows += [(r["path"], *(r[c] for c in extra), i, *(found[n] for n in names)) for i, found in enumerate(model(rgb))]
-            yield pd.DataFrame(rows, columns=["path", *extra, index, *names])
+                began = time.perf_counter()
+                found = work(bgr_to_rgb(as_array(r["data"], r["height"], r["width"], r["n_channels"])))
+                took = time.perf_counter() - began
+                rows += [(*(r[c] for c in kept), took, *x) for x in found]
+            yield pd.DataFrame(rows, columns=names)
+
+    return images.select(*dict.fromkeys([*kept, "height", "width", "n_channels", "data"])).mapInPandas(run, schema)
+
 
-    columns = ["path", "height", "width", "n_channels", "data", *dict.fromkeys([*extra, *bounds])]
-    return images.select(*dict.fromkeys(columns)).mapInPandas(run, schema)
+_POSE = ("keypoints", "visibility", "bbox", "overall_confidence")
+_BOX = ("x1", "y1", "x2", "y2", "conf", "cls")
 
 
-def detect_poses(images: DataFrame, factory: Factory) -> DataFrame:
+def detect_poses(images: DataFrame, factory: Factory, carry: tuple[str, ...] = ()) -> DataFrame:
     """path, det_idx, the pose's fields and person_id (null: there are no boxes)."""
-    return _run(images, factory, POSE_FIELDS, "det_idx", [], False).withColumn("person_id", F.lit(None).cast("int"))
 
+    def make() -> Work:
+        model = factory()
+        return lambda rgb: [(i, *(pose[c] for c in _POSE)) for i, pose in enumerate(model(rgb))]
 
-def detect_persons(images: DataFrame, factory: Factory) -> DataFrame:
+    return _run(images, make, f"det_idx int, {POSE_FIELDS}", carry).withColumn("person_id", F.lit(None).cast("int"))
+
+
+def detect_persons(images: DataFrame, factory: Factory, carry: tuple[str, ...] = ()) -> DataFrame:
     """path, box_idx (the place in the model's output) and the box's fields."""
-    return _run(images, factory, BOX_FIELDS, "box_idx", [], False)
 
+    def make() -> Work:
+        model = factory()
+        return lambda rgb: [(i, *(box[c] for c in _BOX)) for i, box in enumerate(model(rgb))]
+
+    return _run(images, make, f"box_idx int, {BOX_FIELDS}", carry)
+
+
+def two_stage(images: DataFrame, persons: Factory, poses: Factory, min_conf: float = MIN_PERSON_CONF, padding: float = CROP_PADDING, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Poses found in the padded crops of persons, in the image's coordinates.
+
+    The crops are taken in the task that has the image, so no pixels are
+    shuffled; boxes of other classes or of less confidence are passed over
+    before the pose model sees them. person_id is the box's number.
+    """
+
+    def make() -> Work:
+        find, model = persons(), poses()
+
+        def work(rgb: np.ndarray) -> list[tuple]:
+            found = []
+            for number, box in enumerate(find(rgb)):
+                if box["cls"] != PERSON or box["conf"] is None or not box["conf"] >= min_conf:
+                    continue
+                x1, y1, x2, y2 = padded_box(box, rgb.shape[1], rgb.shape[0], padding)
+                if x2 > x1 and y2 > y1:
+                    found += [(i, number, x1, y1, *(pose[c] for c in _POSE)) for i, pose in enumerate(model(rgb[y1:y2, x1:x2]))]
+            return found
+
+        return work
+
+    found = _run(images, make, f"det_idx int, box_idx int, x_offset int, y_offset int, {POSE_FIELDS}", carry)
+    return map_back(found).select("path", *carry, "elapsed_s", "det_idx", *_POSE, "person_id")
+
+
+def model_poses(images: DataFrame, models: list[Factory], weights: tuple[float | None, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """The poses of each model, in one map: path, model_idx, weight (null where none is given), det_idx, the pose's fields and person_id (null)."""
+    known = [weights[i] if i < len(weights) else None for i in range(len(models))]
+
+    def make() -> Work:
+        made = [factory() for factory in models]
+        return lambda rgb: [(m, known[m], i, *(pose[c] for c in _POSE)) for m, model in enumerate(made) for i, pose in enumerate(model(rgb))]
 
-def two_stage(images: DataFrame, persons: Factory, poses: Factory, min_conf: float = MIN_PERSON_CONF, padding: float = CROP_PADDING) -> DataFrame:
-    """Poses found in the padded crops of persons, in the image's coordinates; the filter stands before the crops are read."""
-    kept = person_boxes(detect_persons(images, persons), min_conf)
-    crops = images.join(kept, "path").select("*", *crop_bounds(*map(F.col, ("x1", "y1", "x2", "y2", "width", "height")), padding=padding))
-    found = _run(crops.where("x2_pad > x1_pad and y2_pad > y1_pad"), poses, POSE_FIELDS, "det_idx", ["box_idx", "x1_pad", "y1_pad"], True)
-    return map_back(found, "x1_pad", "y1_pad").select("path", "det_idx", "keypoints", "visibility", "bbox", "overall_confidence", "person_id")
+    return _run(images, make, f"model_idx int, weight double, det_idx int, {POSE_FIELDS}", carry).withColumn("person_id", F.lit(None).cast("int"))
 
 
-def ensemble(images: DataFrame, models: list[Factory], config: EnsembleConfig | None = None) -> DataFrame:
+def ensemble(images: DataFrame, models: list[Factory], config: EnsembleConfig | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """At most one fused pose per image."""
     config = config or EnsembleConfig()
-    found = None
-    for i, factory in enumerate(models):
-        weight = config.weights[i] if i < len(config.weights) else 1.0
-        one = detect_poses(images, factory).withColumns({"model_idx": F.lit(i), "weight": F.lit(float(weight))})
-        found = one if found is None else found.unionByName(one)
-    return fuse_poses(found, config.fusion_method, "path")
+    found = model_poses(images, models, config.weights, carry)
+    kept = {c: F.min(c) for c in (*carry, "elapsed_s")}
+    return fuse_poses(found, config.fusion_method, "path", kept).withColumn("det_idx", F.lit(0))
 
 
-def detect(images: DataFrame, poses: Factory, persons: Factory | None = None, models: list[Factory] | None = None, config: EnsembleConfig | None = None) -> DataFrame:
-    """Plain, two-stage (``persons`` given) or ensemble (``models`` given) detection; the two exclude each other."""
+def detect(images: DataFrame, poses: Factory, persons: Factory | None = None, models: list[Factory] | None = None, config: EnsembleConfig | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Plain, two-stage (``persons`` given) or ensemble (``models`` given) detection; the two exclude each other. ``carry`` names columns of the images to keep."""
     if persons and models:
         raise ValueError("two-stage and ensemble detection exclude each other")
     if models:
-        return ensemble(images, models, config)
-    return two_stage(images, persons, poses) if persons else detect_poses(images, poses)
+        return ensemble(images, models, config, carry)
+    return two_stage(images, persons, poses, carry=carry) if persons else detect_poses(images, poses, carry)

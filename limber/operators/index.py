@@ -1,10 +1,17 @@
-"""The vector index: the fused features joined with their poses and images, kept as a table."""
+"""The vector index: the fused features joined with their poses and images, kept as a table.
+
+Edge cases: rows with a null key drop out of the joins; a repeated feature, pose
+or image row repeats the index row; null vectors are kept, have no dimension
+(null) and are no neighbours; an index of no rows has null dimensions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limber.session import delete_path
+
 
 def index_rows(features: DataFrame, poses: DataFrame, images: DataFrame) -> DataFrame:
     """pose_id, feature_vector, overall_confidence, file_path, created_at. Inner joins: poses without a feature row, or features without a pose or image, drop out. ``features`` may be any of the feature tables."""
@@ -41,5 +48,4 @@ def build_index(rows: DataFrame, path: str, force_rebuild: bool = False) -> Data
 
 def clear_index(spark: SparkSession, path: str) -> None:
     """Delete the index's files."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    delete_path(spark, path)

@@ -1,100 +1,143 @@
 """Exact nearest neighbours over a table of vectors.
 
 One query is an expression and a top-k (``TakeOrderedAndProject``: no shuffle
-of the index). Many queries are taken in blocks of bounded size; a block is
-broadcast, each task multiplies its part of the index with it and keeps k
-rows a query, and a window ranks what the tasks kept.
+of the index). Many queries meet the index in a grid: index rows are dealt to
+chunks and queries to blocks of bounded size, every cell of the grid is one
+matrix product whose k nearest rows a query are kept, and a window ranks what
+the cells kept. Neither side passes through the driver, and a cell's memory
+does not grow with either table.
 
 Vectors that have no score (null, wrong length, zero under cosine, NaN) are not
-neighbours. Ties are broken by the smaller index id.
+neighbours. Ties are broken by the smaller index id; a row that is in the index
+twice can be found twice. Of several queries with one id the smallest vector
+asks; queries with a null id, or without a score, find nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limber.functions.vectors import METRICS
+from limber.functions.vectors import MAPPINGS, METRICS
 
-#: Queries broadcast at once.
-BLOCK = 4096
+#: Queries of a block and index rows of a chunk, about.
+BLOCK, CHUNK = 4096, 16_384
+#: Queries whose scores with a chunk are held at once.
+AT_ONCE = 256
 
 
-def check_dimension(index: DataFrame, dim: int, vector_col: str = "feature_vector") -> None:
-    """Raise unless every vector of the index has ``dim`` elements."""
-    r = index.agg(F.min(F.size(vector_col)).alias("least"), F.max(F.size(vector_col)).alias("most")).where("most is not null").head()
-    if r and (r["least"], r["most"]) != (dim, dim):
-        raise ValueError(f"the query has {dim} dimensions, the index {r['least']} to {r['most']}")
+def _mapped(score: Column, metric: str, mapping: str | None, scale: float) -> Column:
+    """The score itself, or a distance mapped by its scale to a score of at most 1."""
+    if mapping is None:
+        return score
+    if METRICS[metric][1]:
+        raise ValueError(f"{metric} is no distance to map")
+    return MAPPINGS[mapping](score, scale)
 
 
-def search_similar(index: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", id_col: str = "pose_id", vector_col: str = "feature_vector") -> DataFrame:
-    """rank (from 1), the index's columns but the vector, similarity_score; the k nearest rows."""
-    check_dimension(index, len(query), vector_col)
+def _of_dimension(v: str, dim: int) -> Column:
+    """The vector; one of another dimension fails the job."""
+    message = F.concat(F.lit(f"the query has {dim} dimensions, the index "), F.size(v).cast("string"))
+    return F.when(F.col(v).isNull() | (F.size(v) == dim), F.col(v)).otherwise(F.raise_error(message).cast("array<double>"))
+
+
+def search_similar(
+    index: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", id_col: str = "pose_id", vector_col: str = "feature_vector", mapping: str | None = None, scale: float = 1.0
+) -> DataFrame:
+    """rank (from 1), the index's columns but the vector, similarity_score; the k nearest rows.
+
+    ``mapping`` (inverse or exponential, with ``scale``) makes scores of distances.
+    """
+    one = index.where(F.col(vector_col).isNotNull()).select(F.size(vector_col).alias("dim")).head()  # a single row tells of most mistakes at once
+    if one and one["dim"] != len(query):
+        raise ValueError(f"the query has {len(query)} dimensions, the index {one['dim']}")
     measure, larger = METRICS[metric]
-    score = measure(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query]))
+    score = measure(_of_dimension(vector_col, len(query)), F.array(*[F.lit(float(x)) for x in query]))
     near = index.withColumn("similarity_score", score).where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
     order = [F.desc("similarity_score") if larger else F.asc("similarity_score"), F.asc(id_col)]
     top = near.orderBy(*order).limit(k)
     rank = F.row_number().over(Window.orderBy(*order))  # over k rows
-    return top.select(rank.alias("rank"), *[c for c in index.columns if c != vector_col], "similarity_score")
-
-
-def _block_top(batches: Iterator[pa.RecordBatch], queries: np.ndarray, qids: list, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    best = np.empty((len(qids), 0))
-    best_ids = np.empty((len(qids), 0), dtype=np.int64)
-    q = queries / np.linalg.norm(queries, axis=1, keepdims=True) if metric == "cosine" else queries
-    for batch in batches:
-        lists = batch.column("v")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        x = flat.reshape(len(lists), -1) if len(lists) else np.empty((0, q.shape[1]))
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        for lo in range(0, len(ids), 4096):
-            part, part_ids = x[lo : lo + 4096], ids[lo : lo + 4096]
-            if metric == "l2":
-                cost = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (part**2).sum(1)[None] - 2 * q @ part.T, 0))
-            elif metric == "cosine":
-                cost = -(q @ (part / np.linalg.norm(part, axis=1, keepdims=True)).T)
-            else:
-                cost = -(q @ part.T)
-            cost = np.concatenate([best, np.where(np.isnan(cost), np.inf, cost)], axis=1)
-            all_ids = np.concatenate([best_ids, np.broadcast_to(part_ids, (len(qids), len(part_ids)))], axis=1)
-            keep = np.lexsort((all_ids, cost), axis=1)[:, :k]
-            best, best_ids = np.take_along_axis(cost, keep, 1), np.take_along_axis(all_ids, keep, 1)
-    n = best.shape[1]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids, dtype=np.int64), n)), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["query_id", "id", "cost"])
-
-
-def search_similar_batch(index: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "pose_id", vector_col: str = "feature_vector", query_col: str = "query_id") -> DataFrame:
-    """query_id, rank, ``id_col``, similarity_score: the k nearest index rows of each query. Ids are long.
-
-    The score is recomputed by the column expression for the rows that are left.
-    """
-    spark = index.sparkSession
-    measure, larger = METRICS[metric]
+    shown = _mapped(F.col("similarity_score"), metric, mapping, scale).alias("similarity_score")
+    return top.select(rank.alias("rank"), *[c for c in index.columns if c != vector_col], shown)
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    whole = lists.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+
+
+def _costs(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0))
+    if metric == "cosine":
+        q, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (q, x))
+    return -(q @ x.T)
+
+
+def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Costs of pairs, without the loss of digits that the product form of a distance has."""
+    if metric == "l2":
+        return np.sqrt(((q - x) ** 2).sum(1))
+    dot = (q * x).sum(1)
+    return -dot / (np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1)) if metric == "cosine" else -dot
+
+
+def _cell(k: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """One cell of the grid: the k nearest rows of a chunk for each query of a block."""
+
+    def nearest(chunk: pa.Table, block: pa.Table) -> pa.Table:
+        if not chunk.num_rows or not block.num_rows:
+            return pa.table({"query_id": block["q"].slice(0, 0), "id": chunk["id"].slice(0, 0), "cost": pa.array([], pa.float64())})
+        chunk = chunk.take(pc.sort_indices(chunk["id"]))  # so that the place breaks ties
+        x, queries = _matrix(chunk["v"]), _matrix(block["v"])
+        rows, places, costs = [], [], []
+        for lo in range(0, len(queries), AT_ONCE):
+            q = queries[lo : lo + AT_ONCE]
+            cost = _costs(q, x, metric)
+            most = np.partition(cost, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            slack = 1e-6 * (1 + np.abs(most))  # rounding must not decide
+            row, place = np.nonzero(cost <= (most + slack)[:, None])
+            exact = _exact(q[row], x[place], metric)
+            order = np.lexsort((place, exact, row))
+            row, place, exact = row[order], place[order], exact[order]
+            first = np.searchsorted(row, row)
+            keep = np.arange(len(row)) - first < k
+            rows.append(row[keep] + lo)
+            places.append(place[keep])
+            costs.append(exact[keep])
+        return pa.table({"query_id": block["q"].take(pa.array(np.concatenate(rows))), "id": chunk["id"].take(pa.array(np.concatenate(places))), "cost": pa.array(np.concatenate(costs))})
+
+    return nearest
+
+
+def search_similar_batch(
+    index: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "pose_id", vector_col: str = "feature_vector", query_col: str = "query_id", mapping: str | None = None, scale: float = 1.0
+) -> DataFrame:
+    """query_id, rank, ``id_col``, similarity_score: the k nearest index rows of each query."""
+    larger = METRICS[metric][1]
     usable = F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x))
     if metric == "cosine":
         usable = usable & F.exists(vector_col, lambda x: x != 0)
-    asked = queries.where(usable & F.col(query_col).isNotNull())
-    dims = asked.agg(F.min(F.size(vector_col)).alias("least"), F.max(F.size(vector_col)).alias("most"), F.count(F.lit(1)).alias("n")).head()
-    if dims["n"]:
-        if dims["least"] != dims["most"]:
-            raise ValueError(f"the queries have {dims['least']} to {dims['most']} dimensions")
-        check_dimension(index, dims["least"], vector_col)
-    thin = index.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    n_blocks = -(-dims["n"] // BLOCK)
-    found = spark.createDataFrame([], "query_id long, id long, cost double")
-    for b in range(n_blocks):
-        # A block is dealt by hash, so its size is about BLOCK; toPandas brings that many rows.
-        block = asked.where(F.pmod(F.xxhash64(query_col), F.lit(n_blocks)) == b).select(F.col(query_col).alias("q"), F.col(vector_col).alias("v")).toPandas()
-        if len(block):
-            sent = spark.sparkContext.broadcast((np.array(block["v"].tolist(), dtype=np.float64), block["q"].tolist()))
-            found = found.unionByName(thin.mapInArrow(lambda it, s=sent: _block_top(it, s.value[0], s.value[1], k, metric), "query_id long, id long, cost double"))
-    ranked = found.where(F.col("cost") < float("inf")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("cost", "id"))).where(F.col("rank") <= k)
-    vectors = index.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    asked_vectors = asked.select(F.col(query_col).cast("long").alias("query_id"), F.col(vector_col).alias("qv"))
-    scored = ranked.join(vectors, "id").join(asked_vectors, "query_id")
-    return scored.select("query_id", "rank", F.col("id").alias(id_col), measure(F.col("v"), F.col("qv")).alias("similarity_score"))
+    asked = queries.where(usable & F.col(query_col).isNotNull()).groupBy(F.col(query_col).alias("q")).agg(F.min(vector_col).alias("v"))
+    thin = index.where(usable).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    sizes = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).head()
+    a, b = sizes(asked), sizes(thin)
+    if a["n"] and a["least"] != a["most"]:
+        raise ValueError(f"the queries have {a['least']} to {a['most']} dimensions")
+    if a["n"] and b["n"] and (b["least"], b["most"]) != (a["least"], a["least"]):
+        raise ValueError(f"the query has {a['least']} dimensions, the index {b['least']} to {b['most']}")
+    n_blocks, n_chunks = max(1, -(-a["n"] // BLOCK)), max(1, -(-b["n"] // CHUNK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_chunks)).cast("int")  # also repeated ids are spread
+    chunks = thin.select("id", "v", dealt.alias("chunk")).select("*", every(n_blocks).alias("block"))
+    blocks = asked.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block")).select("*", every(n_chunks).alias("chunk"))
+    types = f"query_id {asked.schema['q'].dataType.simpleString()}, id {thin.schema['id'].dataType.simpleString()}, cost double"
+    found = chunks.groupBy("chunk", "block").cogroup(blocks.groupBy("chunk", "block")).applyInArrow(_cell(k, metric), types)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("cost", "id"))).where(F.col("rank") <= k)
+    score = _mapped(-F.col("cost") if larger else F.col("cost"), metric, mapping, scale)
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), score.alias("similarity_score"))

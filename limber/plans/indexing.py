@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +16,35 @@ from limber.sources import images, store
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def detected(spark: SparkSession, directory: str, poses: detect.Factory, *, recursive: bool = False, glob: str | None = None, preprocess: bool = False, **how) -> DataFrame:
-    """Poses of all images of a directory. Coordinates are those of the image as read: where preprocessing enlarged it, they are scaled back."""
-    scanned = images.scan_images(spark, directory, recursive, glob)
-    if not preprocess:
-        return detect.detect(scanned, poses, **how)
-    ready = images.preprocess_images(scanned)
-    back = lambda c: F.transform(c, lambda x: x / F.col("scale"))
-    found = detect.detect(ready, poses, **how).join(ready.select("path", "scale"), "path")
-    return found.withColumns({"keypoints": F.transform("keypoints", lambda p: F.transform(p, lambda x: x / F.col("scale"))), "bbox": back("bbox")}).drop("scale")
+def detected(
+    spark: SparkSession, directory: str, poses: detect.Factory, *, recursive: bool = False, glob: str | None = None, preprocess: bool = False, with_denoise: bool = True, target_size: tuple[int, int] | None = None, **how
+) -> DataFrame:
+    """Poses of all images of a directory, with the images' own image_width and image_height.
+
+    Each image is read, enhanced, resized and searched in one map. Coordinates
+    are those of the image as read: where it was made larger or smaller for the
+    detector, they are scaled back.
+    """
+    scanned = images.scan_images(spark, directory, recursive, glob).withColumns({"image_width": F.col("width"), "image_height": F.col("height")})
+    if preprocess:
+        ready = images.preprocess_images(scanned, with_denoise, target_size)
+    elif target_size:
+        ready = images.normalize_images(scanned, target_size, convert_to_rgb=False)  # detectors turn BGR into RGB
+    else:
+        return detect.detect(scanned, poses, carry=("image_width", "image_height"), **how)
+    found = detect.detect(ready, poses, carry=("image_width", "image_height", "scale_x", "scale_y"), **how)
+    x, y = F.col("scale_x"), F.col("scale_y")
+    by_place = lambda v: F.transform(v, lambda c, i: F.when(i % 2 == 0, c / x).otherwise(c / y))
+    point = lambda p: F.transform(p, lambda c, i: F.when(i == 0, c / x).when(i == 1, c / y).otherwise(c))
+    return found.withColumns({"keypoints": F.transform("keypoints", point), "bbox": by_place("bbox")}).drop("scale_x", "scale_y")
 
 
 def index_directory(spark: SparkSession, directory: str, root: str, poses: detect.Factory, geometric: Extractor, visual: Extractor | None = None, **how) -> DataFrame:
-    """Detect, extract, fuse and store; one row: poses_indexed. ``geometric`` adds a column geometric, ``visual`` a column visual."""
-    meta = images.image_metadata(images.scan_images(spark, directory, how.get("recursive", False), how.get("glob")))
+    """Detect, extract, fuse and store; one row: poses_indexed, those that were not stored before. ``geometric`` adds a column geometric, ``visual`` a column visual."""
     found = geometric(detected(spark, directory, poses, **how))
     found = visual(found) if visual else found.withColumn("visual", F.lit(None).cast("array<double>"))
-    rows = found.join(meta, "path").select(
-        F.col("path").alias("image_path"), "width", "height", "person_id", "keypoints", "visibility", "bbox", "overall_confidence",
+    rows = found.select(
+        F.col("path").alias("image_path"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), "person_id", "keypoints", "visibility", "bbox", "overall_confidence",
         F.current_timestamp().alias("created_at"), "geometric", "visual", fuse(F.col("geometric"), F.col("visual")).alias("fused"),
     )
     return store.store_detections(rows, root).agg(F.count(F.lit(1)).alias("poses_indexed"))
@@ -50,23 +61,30 @@ def search_report(found: DataFrame) -> DataFrame:
     return found.select("rank", F.col("file_path").alias("image_path"), F.format_string("%.3f", "similarity_score").alias("similarity_score"))
 
 
-def search(index_rows: DataFrame, query: list[float], k: int = 5, metric: str = "cosine") -> DataFrame:
-    return search_report(knn.search_similar(index_rows.select("pose_id", "feature_vector", "file_path"), query, k, metric))
+def search(index_rows: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", mapping: str | None = None, scale: float = 1.0) -> DataFrame:
+    return search_report(knn.search_similar(index_rows.select("pose_id", "feature_vector", "file_path"), query, k, metric, mapping=mapping, scale=scale))
+
+
+def image_runs(scanned: DataFrame, poses: DataFrame) -> DataFrame:
+    """One row an image: path, detected, confidence (of its first pose) and elapsed_s (of the detector over the image; null where it found nothing)."""
+    first = poses.groupBy("path").agg(F.min_by("overall_confidence", F.struct(F.coalesce("person_id", F.lit(0)), "det_idx")).alias("confidence"), F.max("elapsed_s").alias("elapsed_s"))
+    return scanned.select("path").join(first, "path", "left").select("path", F.col("confidence").isNotNull().alias("detected"), "confidence", "elapsed_s")
 
 
 def benchmark(spark: SparkSession, directory: str, variants: dict[str, Callable[[DataFrame], DataFrame]], glob: str = "*.jpg") -> DataFrame:
-    """Each variant (a function from images to poses) run over the directory: variant, n_images, n_detected, avg_confidence, avg_time.
+    """Each variant (a function from images to poses) run over the directory: variant, n_images, n_detected, avg_confidence, avg_time, avg_time_detected.
 
-    An image's confidence is that of its first pose. A variant is timed as one
-    job, its time shared equally by its images; one row a variant comes back.
+    An image is timed in the task that searches it, around the detector alone.
     """
     scanned = images.scan_images(spark, directory, glob=glob)
-    rows = []
-    for name, run in variants.items():
-        began = time.perf_counter()
-        first = run(scanned).groupBy("path").agg(F.min_by("overall_confidence", F.coalesce("person_id", F.lit(0))).alias("confidence"))
-        runs = scanned.select("path").join(first, "path", "left").select(F.col("confidence").isNotNull().alias("detected"), "confidence", F.lit(1.0).alias("elapsed_s"))
-        r = bench.bench_summary(runs).head()
-        each = (time.perf_counter() - began) / max(1, r["n_images"])
-        rows.append((name, r["n_images"], r["n_detected"], r["avg_confidence"], None if r["avg_time"] is None else r["avg_time"] * each))
-    return spark.createDataFrame(rows, "variant string, n_images long, n_detected long, avg_confidence double, avg_time double")
+    runs = [image_runs(scanned, run(scanned)).withColumn("variant", F.lit(name)) for name, run in variants.items()]
+    return bench.bench_summary(reduce(DataFrame.unionByName, runs), "variant")
+
+
+def benchmark_report(summary: DataFrame, baseline: str) -> DataFrame:
+    """The summary as text to three decimals, and each variant's mean time over that of ``baseline`` (null if it found nothing)."""
+    text = lambda c: F.format_string("%.3f", c)
+    base = summary.where(F.col("variant") == baseline).select(F.col("avg_time_detected").alias("base_time"))
+    with_base = summary.join(F.broadcast(base), how="left")  # one row at most
+    slowdown = F.try_divide(F.col("avg_time_detected"), F.nullif("base_time", F.lit(0.0)))
+    return with_base.select("variant", "n_images", "n_detected", text("avg_confidence").alias("avg_confidence"), text("avg_time").alias("avg_time"), F.round(slowdown, 3).alias("slowdown"))

@@ -7,13 +7,19 @@ over its whole tables; a limit stands only where it is a top-k.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limber.functions import vectors
-from limber.operators import bench, boxes, ensemble, index, knn
+from limber.operators import bench, boxes, detect, ensemble, index, knn
+from limber.plans import indexing
+from limber.session import shared_dir
+from limber.sources import images as imgs
+from limber.sources import store
 
 K = 5
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +55,7 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     poses = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("image_id"), F.col("value").alias("overall_confidence"), F.col("ts").alias("created_at"))
-    images = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_path"))
+    images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_path"))
     rows = index.in_build_order(index.index_rows(features(spark, sf_dir), poses, images))
     return rows.select("pose_id", "overall_confidence", "file_path", F.size("feature_vector").cast("long").alias("dim"))
 
@@ -153,12 +159,120 @@ def slowdown_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", *[F.round(c, 6).alias(c) for c in ("slowdown", "conf_single", "conf_variant")])
 
 
+def _mapped_knn(mapping: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = knn.search_similar(features(spark, sf_dir), _first_vector(spark, sf_dir), K, "l2", mapping=mapping, scale=2.0)
+        return found.select(F.col("rank").cast("long").alias("rank"), "pose_id", F.round("similarity_score", 9).alias("similarity_score"))
+
+    return run
+
+
+def knn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search joined with the images' paths, as the report has it."""
+    named = features(spark, sf_dir).withColumn("file_path", F.concat(F.lit("photos/"), F.col("pose_id").cast("string")))
+    return indexing.search(named, _first_vector(spark, sf_dir), K).withColumn("rank", F.col("rank").cast("long"))
+
+
+def index_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes over two feature tables, of one set of poses and images."""
+    f, poses = features(spark, sf_dir), table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("image_id"), F.col("value").alias("overall_confidence"), F.col("ts").alias("created_at"))
+    images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_path"))
+    geometric = f.withColumn("feature_vector", F.slice("feature_vector", 1, 52))
+    stats = [index.index_stats(index.index_rows(t, poses, images)).withColumn("features", F.lit(n)) for n, t in (("fused", f), ("geometric", geometric))]
+    return stats[0].unionByName(stats[1])
+
+
+def partial_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses of two models, some of which found nothing in an image and some more than one pose; the first has no weight."""
+    f = features(spark, sf_dir).where("pose_id % 5 <> 0")
+    model = (F.col("pose_id") % 2).cast("int")
+    return f.select(
+        F.expr("pose_id div 4").alias("image_id"), model.alias("model_idx"), F.when(model == 1, F.lit(1.2)).alias("weight"), F.expr("cast(pose_id div 2 % 2 as int)").alias("det_idx"),
+        _points("feature_vector").alias("keypoints"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.abs(F.get("feature_vector", i * 2).cast("double"))).alias("visibility"),
+        F.array(F.get("feature_vector", F.lit(0)).cast("double")).alias("bbox"), F.abs(F.get("feature_vector", F.lit(1)).cast("double")).alias("overall_confidence"), F.col("pose_id").cast("int").alias("person_id"),
+    )
+
+
+def ensemble_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only first poses count, models without one have no weight, and a weight that is not given is 1."""
+    p = ensemble.fused_points(partial_poses(spark, sf_dir), "weighted_average")
+    return p.select("image_id", F.col("k").cast("long").alias("k"), *[F.round(c, 8).alias(c) for c in ("x", "y", "visibility")])
+
+
+def flat_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of one grey for each part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (8 + F.col("p_partkey") % 9).cast("int").alias("width"), (6 + F.col("p_size") % 7).cast("int").alias("height"), (F.col("p_partkey") % 256).alias("grey"))
+    data = F.unhex(F.repeat(F.lpad(F.hex("grey"), 2, "0"), F.col("width") * F.col("height") * 3))
+    return p.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), "height", "width", F.lit(3).alias("n_channels"), data.alias("data"))
+
+
+def _shown_poses(poses: DataFrame) -> DataFrame:
+    total = lambda i: F.round(F.aggregate("keypoints", F.lit(0.0), lambda a, p: a + p[i]), 6)
+    return poses.select("path", total(0).alias("sum_x"), total(1).alias("sum_y"), *[F.round(F.get("bbox", F.lit(i)), 6).alias(f"bbox_{i}") for i in range(4)], F.round("overall_confidence", 6).alias("overall_confidence"), "person_id")
+
+
+def detect_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dark images give no pose and no row."""
+    return _shown_poses(detect.detect(flat_images(spark, sf_dir), partial(detect.brightness_detector, 0.25)))
+
+
+def detect_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes filtered by class and confidence, padded crops, poses mapped back, numbers of the unfiltered boxes."""
+    return _shown_poses(detect.detect(flat_images(spark, sf_dir), detect.brightness_detector, persons=detect.thirds_detector))
+
+
+def detect_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models, of which the second sees bright images only and has the default weight."""
+    models = [partial(detect.brightness_detector, 0.25), partial(detect.brightness_detector, 0.5, 1.0)]
+    config = ensemble.EnsembleConfig(weights=(1.0,), fusion_method="weighted_average")
+    return _shown_poses(detect.detect(flat_images(spark, sf_dir), models[0], models=models, config=config))
+
+
+def detect_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect_persons(flat_images(spark, sf_dir), detect.thirds_detector)
+    return found.select("path", F.col("box_idx").cast("long").alias("box_idx"), "x1", "y1", "x2", "y2", "conf", F.col("cls").cast("long").alias("cls"))
+
+
+def normalize_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = imgs.normalize_images(flat_images(spark, sf_dir), (16, 12))
+    return out.select("path", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.length("data").cast("long").alias("n_bytes"), F.hex(F.substring("data", 1, 1)).alias("first"), F.round("scale_x", 9).alias("scale_x"), F.round("scale_y", 9).alias("scale_y"))
+
+
+def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imgs.image_metadata(flat_images(spark, sf_dir))
+
+
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored, and what each table holds, after the same detections were stored twice."""
+    f = features(spark, sf_dir)
+    rows = f.select(
+        F.concat(F.lit("image"), (F.col("pose_id") % 100).cast("string")).alias("image_path"), F.lit(4).alias("width"), F.lit(5).alias("height"), (F.col("pose_id") % 7).cast("int").alias("person_id"),
+        _points("feature_vector").alias("keypoints"), F.array(F.lit(1.0)).alias("visibility"), F.array(F.lit(0.0)).alias("bbox"), F.lit(0.5).alias("overall_confidence"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.slice("feature_vector", 1, 52).alias("geometric"), F.when(F.col("pose_id") % 3 == 0, F.col("feature_vector")).alias("visual"), F.col("feature_vector").alias("fused"),
+    )
+    root = f"{shared_dir(spark)}/limber-store-{uuid.uuid4().hex}"
+    stored = [store.store_detections(rows, root) for _ in range(2)]
+    counts = bench.table_counts({f"stored {i + 1}": s for i, s in enumerate(stored)} | {t: store.read_table(spark, root, t) for t in store.TABLES})
+    index_size = bench.table_counts({"index": index.index_rows(*(store.read_table(spark, root, t) for t in ("fused_features", "pose_detections", "images")))})
+    return counts.unionByName(index_size)
+
+
+def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("variant"), (F.col("value") < 20).alias("detected"), F.col("value").alias("confidence"), ((F.col("event_id") % 100) / 50).alias("elapsed_s"))
+    return indexing.benchmark_report(bench.bench_summary(runs, "variant"), "click")
+
+
 def queries() -> dict[str, Query]:
-    plain = (knn_batch, index_build, index_stats, table_counts, l2_normalize, fuse_features, box_filter, crop_bounds, map_back, upsample_dims, bench_summary, slowdown_ratio)
+    plain = (
+        knn_report, index_swap, ensemble_partial, detect_plain, detect_two_stage, detect_ensemble, detect_persons, normalize_image, image_metadata, store_counts, bench_report,
+        knn_batch, index_build, index_stats, table_counts, l2_normalize, fuse_features, box_filter, crop_bounds, map_back, upsample_dims, bench_summary, slowdown_ratio,
+    )
     return {f.__name__: f for f in plain} | {
         "knn_single": _single("cosine"),
         "knn_dot": _single("dot"),
         "knn_l2": _single("l2"),
+        "knn_l2_inverse": _mapped_knn("inverse"),
+        "knn_l2_exponential": _mapped_knn("exponential"),
         "ensemble_weighted": _ensemble("weighted_average"),
         "ensemble_confidence": _ensemble("confidence_weighted"),
         "ensemble_weighted_pose": _ensemble_pose("weighted_average"),
@@ -172,9 +286,9 @@ _MODEL_POINTS = f"""{_FEATURES}, p AS (
 ), q AS (SELECT image_id, model_idx, w, pose_id, k, v[k * 2 + 1] AS x, v[k * 2 + 2] AS y, abs(v[k * 2 + 1]) AS vis, abs(v[2]) AS conf, v[1] AS b FROM p)"""
 
 
-def _knn_sql(measure: str, order: str) -> str:
+def _knn_sql(measure: str, order: str, shown: str = "score") -> str:
     return f"""WITH {_FEATURES}, q AS (SELECT v AS qv FROM f WHERE pose_id = 7), s AS (SELECT pose_id, {measure} AS score FROM f, q)
-    SELECT row_number() OVER (ORDER BY score {order}, pose_id) AS rank, pose_id, round(score, 9) AS similarity_score FROM s ORDER BY score {order}, pose_id LIMIT {K}"""
+    SELECT row_number() OVER (ORDER BY score {order}, pose_id) AS rank, pose_id, round({shown}, 9) AS similarity_score FROM s ORDER BY score {order}, pose_id LIMIT {K}"""
 
 
 def _ensemble_sql(method: str) -> str:
@@ -190,8 +304,37 @@ def _pose_sql(method: str) -> str:
     SELECT image_id, any_value(person_id)::INT AS person_id, round(any_value(b), 9) AS bbox_0, round({overall}, 8) AS overall_confidence, count(*) AS n_keypoints FROM a GROUP BY image_id"""
 
 
+_FLAT = "p AS (SELECT p_partkey, 'part/' || p_partkey AS path, (8 + p_partkey % 9)::INT AS w, (6 + p_size % 7)::INT AS h, (p_partkey % 256) / 255 AS light FROM part)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "knn_l2_inverse": _knn_sql("list_distance(v, qv)", "ASC", "1 / (1 + score / 2)"),
+        "knn_l2_exponential": _knn_sql("list_distance(v, qv)", "ASC", "exp(-score / 2)"),
+        "knn_report": f"""WITH {_FEATURES}, q AS (SELECT v AS qv FROM f WHERE pose_id = 7), s AS (SELECT pose_id, list_cosine_similarity(v, qv) AS score FROM f, q)
+            SELECT row_number() OVER (ORDER BY score DESC, pose_id) AS rank, 'photos/' || pose_id AS image_path, printf('%.3f', score) AS similarity_score FROM s ORDER BY score DESC, pose_id LIMIT {K}""",
+        "index_swap": """WITH j AS (SELECT embedding AS v FROM embeddings JOIN events ON vec_id = event_id JOIN customer ON user_id = c_custkey)
+            SELECT 'fused' AS features, count(*) AS n_total, min(len(v))::INT AS dim_min, max(len(v))::INT AS dim_max FROM j UNION ALL SELECT 'geometric', count(*), min(len(v[1:52]))::INT, max(len(v[1:52]))::INT FROM j""",
+        "ensemble_partial": f"""WITH {_FEATURES}, p AS (SELECT pose_id // 4 AS image_id, CASE WHEN pose_id % 2 = 1 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS w, v, unnest(range(0, 32)) AS k FROM f WHERE pose_id % 5 <> 0 AND pose_id // 2 % 2 = 0)
+            SELECT image_id, k, round(sum(v[k * 2 + 1] * w) / sum(w), 8) AS x, round(sum(v[k * 2 + 2] * w) / sum(w), 8) AS y, round(sum(abs(v[k * 2 + 1]) * w) / sum(w), 8) AS visibility FROM p GROUP BY image_id, k""",
+        "detect_plain": f"""WITH {_FLAT} SELECT path, round(2.5 * w, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3,
+            round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p WHERE light >= 0.25""",
+        "detect_two_stage": f"""WITH {_FLAT}, b AS (SELECT *, unnest(range(0, 3))::INT AS i FROM p), c AS (
+              SELECT *, i * w / 4 AS x1, i * w / 4 + w / 2 AS x2 FROM b WHERE i >= 1 AND NOT (i = 2 AND w % 2 = 1)
+            ), d AS (SELECT *, trunc(greatest(0::DOUBLE, x1 - (x2 - x1) * 0.1::DOUBLE)) AS l, trunc(least(w::DOUBLE, x2 + (x2 - x1) * 0.1::DOUBLE)) AS r FROM c)
+            SELECT path, round(2.5 * (r - l) + 5 * l, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, l AS bbox_0, 0.0::DOUBLE AS bbox_1, r - l AS bbox_2, h::DOUBLE AS bbox_3, round(light, 6) AS overall_confidence, i AS person_id FROM d""",
+        "detect_ensemble": f"""WITH {_FLAT} SELECT path, round(2.5 * w + CASE WHEN light >= 0.5 THEN 2.5 ELSE 0 END, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3,
+            round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p WHERE light >= 0.25""",
+        "detect_persons": f"""WITH {_FLAT}, b AS (SELECT *, unnest(range(0, 3)) AS box_idx FROM p)
+            SELECT path, box_idx, box_idx * w / 4 AS x1, 0.0::DOUBLE AS y1, box_idx * w / 4 + w / 2 AS x2, h::DOUBLE AS y2, [0.2::DOUBLE, 0.3::DOUBLE, 0.9::DOUBLE][box_idx + 1] AS conf, (box_idx = 2 AND w % 2 = 1)::BIGINT AS cls FROM b""",
+        "normalize_image": f"""WITH {_FLAT} SELECT path, 16::BIGINT AS width, 12::BIGINT AS height, (16 * 12 * 3)::BIGINT AS n_bytes, printf('%02X', p_partkey % 256) AS first, round(16 / w, 9) AS scale_x, round(12 / h, 9) AS scale_y FROM p""",
+        "image_metadata": f"WITH {_FLAT} SELECT path, w AS width, h AS height FROM p",
+        "store_counts": """WITH v AS (SELECT count(*) AS n, count(DISTINCT vec_id % 100) AS images, count(*) FILTER (vec_id % 3 = 0) AS visual FROM embeddings)
+            SELECT x.t AS table_name, x.n::BIGINT AS n_rows FROM (SELECT unnest([{'t': 'stored 1', 'n': n}, {'t': 'stored 2', 'n': 0}, {'t': 'images', 'n': images}, {'t': 'pose_detections', 'n': n}, {'t': 'geometric_features', 'n': n}, {'t': 'visual_features', 'n': visual},
+              {'t': 'fused_features', 'n': n}, {'t': 'index', 'n': n}]) AS x FROM v)""",
+        "bench_report": """WITH r AS (SELECT event_type AS variant, value < 20 AS detected, value AS c, (event_id % 100) / 50 AS t FROM events),
+            s AS (SELECT variant, count(*) AS n_images, count(*) FILTER (detected) AS n_detected, coalesce(avg(c) FILTER (detected), 0) AS conf, coalesce(sum(t) FILTER (detected), 0) / count(*) AS time, coalesce(avg(t) FILTER (detected), 0) AS hit FROM r GROUP BY variant)
+            SELECT variant, n_images, n_detected, printf('%.3f', conf) AS avg_confidence, printf('%.3f', time) AS avg_time, round(hit / nullif((SELECT hit FROM s WHERE variant = 'click'), 0), 3) AS slowdown FROM s""",
         "knn_single": _knn_sql("list_cosine_similarity(v, qv)", "DESC"),
         "knn_dot": _knn_sql("list_inner_product(v, qv)", "DESC"),
         "knn_l2": _knn_sql("list_distance(v, qv)", "ASC"),
@@ -199,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pose_id) AS rank FROM s)
             SELECT query_id, rank, pose_id, round(score, 9) AS similarity_score FROM r WHERE rank <= {K}""",
         "index_build": """SELECT vec_id AS pose_id, value AS overall_confidence, c_name AS file_path, len(embedding) AS dim FROM embeddings JOIN events ON vec_id = event_id JOIN customer ON user_id = c_custkey
-            WHERE c_acctbal > 0 ORDER BY ts, vec_id""",
+            ORDER BY ts, vec_id""",
         "index_stats": "SELECT count(*) AS n_total, min(len(embedding))::INT AS dim_min, max(len(embedding))::INT AS dim_max FROM embeddings",
         "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("events", "part", "embeddings")),
         "l2_normalize": f"""WITH {_FEATURES}, g AS (SELECT pose_id, list_transform(v, lambda x: x * 3) AS v FROM f), n AS (SELECT pose_id, v, sqrt(list_inner_product(v, v)) AS n FROM g)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from limber.functions import pixels
 
-IMAGE_SCHEMA = "path string, height int, width int, n_channels int, data binary"
-
 
 def scan_images(spark: SparkSession, directory: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Decoded images of a directory; files that are no images are left out."""
@@ -44,31 +42,48 @@ def as_array(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, :3]
 
 
-def preprocess_images(images: DataFrame, with_denoise: bool = True) -> DataFrame:
-    """The images enhanced for detection, with the scale that maps coordinates back (divide by it)."""
+def _mapped(images: DataFrame, change: Callable[[np.ndarray], tuple[np.ndarray, float, float]]) -> DataFrame:
+    """Each image changed in one map; all other columns are kept, and scale_x and scale_y tell how much larger it became."""
+    carried = [c for c in images.columns if c not in ("height", "width", "n_channels", "data", "scale_x", "scale_y")]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*carried).schema)
+    schema = f"{kept}, height int, width int, n_channels int, data binary, scale_x double, scale_y double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples():
-                out, scale = pixels.preprocess(as_array(r.data, r.height, r.width, r.n_channels), with_denoise)
-                rows.append((r.path, out.shape[0], out.shape[1], 3, out.tobytes(), scale))
-            yield pd.DataFrame(rows, columns=["path", "height", "width", "n_channels", "data", "scale"])
+            for r in batch.to_dict("records"):
+                x, scale_x, scale_y = change(as_array(r["data"], r["height"], r["width"], r["n_channels"]))
+                rows.append((*(r[c] for c in carried), x.shape[0], x.shape[1], 3, np.ascontiguousarray(x).tobytes(), scale_x, scale_y))
+            yield pd.DataFrame(rows, columns=[*carried, "height", "width", "n_channels", "data", "scale_x", "scale_y"])
+
+    return images.select(*carried, "height", "width", "n_channels", "data").mapInPandas(run, schema)
+
+
+def _resized(x: np.ndarray, size: tuple[int, int] | None) -> tuple[np.ndarray, float, float]:
+    if size is None:
+        return x, 1.0, 1.0
+    return pixels.resize(x, *size), size[0] / x.shape[1], size[1] / x.shape[0]
+
+
+def preprocess_images(images: DataFrame, with_denoise: bool = True, target_size: tuple[int, int] | None = None) -> DataFrame:
+    """The images enhanced for detection and, if asked, resized to (width, height); scale_x and scale_y map coordinates back (divide by them).
 
-    return images.select("path", "height", "width", "n_channels", "data").mapInPandas(run, IMAGE_SCHEMA + ", scale double")
+    An image without pixels is an error; null columns beside the pixels are kept.
+    """
+
+    def change(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+        out, scale = pixels.preprocess(x, with_denoise)
+        out, scale_x, scale_y = _resized(out, target_size)
+        return out, scale * scale_x, scale * scale_y
+
+    return _mapped(images, change)
 
 
 def normalize_images(images: DataFrame, target_size: tuple[int, int] | None = None, convert_to_rgb: bool = True) -> DataFrame:
-    """Resized to (width, height) if given, and in RGB order if asked."""
+    """Resized to (width, height) if given, and in RGB order if asked; scale_x and scale_y as for :func:`preprocess_images`."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                x = as_array(r.data, r.height, r.width, r.n_channels)
-                x = pixels.resize(x, *target_size) if target_size else x
-                x = pixels.bgr_to_rgb(x) if convert_to_rgb else x
-                rows.append((r.path, x.shape[0], x.shape[1], 3, np.ascontiguousarray(x).tobytes()))
-            yield pd.DataFrame(rows, columns=["path", "height", "width", "n_channels", "data"])
-
-    return images.select("path", "height", "width", "n_channels", "data").mapInPandas(run, IMAGE_SCHEMA)
+    def change(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+        out, scale_x, scale_y = _resized(x, target_size)
+        return pixels.bgr_to_rgb(out) if convert_to_rgb else out, scale_x, scale_y
+
+    return _mapped(images, change)

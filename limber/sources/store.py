@@ -1,9 +1,19 @@
-"""The feature store: five Parquet tables under one folder."""
+"""The feature store: five Parquet tables under one folder.
+
+Edge cases: a null vector gives no feature row; a null image path is an image of
+its own; repeated detections of one image and person are numbered and each kept;
+no detections store nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from limber.session import delete_path
 
 VECTORS = ("geometric_features", "visual_features", "fused_features")
 TABLES = ("images", "pose_detections", *VECTORS)
@@ -14,33 +24,49 @@ SCHEMAS = {
     "images": "id bigint, file_path string, width int, height int",
     "pose_detections": "id bigint, image_id bigint, overall_confidence double, created_at timestamp, person_id int, keypoints array<array<double>>, visibility array<double>, bbox array<double>",
 } | dict.fromkeys(VECTORS, "pose_id bigint, feature_vector array<float>")
+KEYS = {"images": "id", "pose_detections": "id"} | dict.fromkeys(VECTORS, "pose_id")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    """One of the store's tables; empty if nothing was stored yet."""
+    try:
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMAS[name])
 
 
-def store_detections(detections: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    """Write detections and their features; returns pose_id and image_path of what was stored.
+def store_detections(detections: DataFrame, root: str) -> DataFrame:
+    """Append the detections that are not stored yet, and their features; returns pose_id and image_path of those.
 
     Input: image_path, width, height, the pose's columns, created_at, and
     geometric, visual and fused vectors (null vectors give no row). Ids are
-    hashes of the path and of (path, person_id, place among them), so that
-    storing the same detections again gives the same ids.
+    hashes of the path and of (path, person_id, place among the person's poses,
+    by keypoints and box), so detections that are stored already are left alone:
+    a job that ran twice, or broke off between two tables, can run again.
     """
-    image_id = F.xxhash64("image_path")
-    keyed = detections.select("*", image_id.alias("image_id"), F.xxhash64("image_path", "person_id", F.to_json("keypoints")).alias("pose_id")).persist()
-    try:
-        pose = keyed.select(F.col("pose_id").alias("id"), "image_id", "overall_confidence", "created_at", "person_id", "keypoints", "visibility", "bbox")
-        images = keyed.groupBy(F.col("image_id").alias("id")).agg(F.min("image_path").alias("file_path"), F.max("width").alias("width"), F.max("height").alias("height"))
-        images.write.mode(mode).parquet(f"{root}/images")
-        pose.write.mode(mode).parquet(f"{root}/pose_detections")
-        for name in VECTORS:
-            v = name.removesuffix("_features")
-            keyed.where(F.col(v).isNotNull()).select("pose_id", F.col(v).cast("array<float>").alias("feature_vector")).write.mode(mode).parquet(f"{root}/{name}")
-        return read_table(keyed.sparkSession, root, "pose_detections").join(read_table(keyed.sparkSession, root, "images").withColumnRenamed("id", "image_id").dropDuplicates(["image_id"]), "image_id").select(F.col("id").alias("pose_id"), F.col("file_path").alias("image_path"))
-    finally:
-        keyed.unpersist()
+    spark = detections.sparkSession
+    place = F.row_number().over(Window.partitionBy("image_path", "person_id").orderBy(F.to_json("keypoints"), F.to_json("bbox")))
+    keyed = detections.select("*", F.xxhash64("image_path").alias("image_id"), F.xxhash64("image_path", "person_id", place).alias("pose_id"))
+    batch = f"{root}/batches/{uuid.uuid4().hex}"
+    keyed.write.parquet(batch)  # so that models run once, and ids stay as they are
+    keyed = spark.read.schema(keyed.schema).parquet(batch)
+
+    parts = {
+        "images": keyed.groupBy(F.col("image_id").alias("id")).agg(F.min("image_path").alias("file_path"), F.max("width").alias("width"), F.max("height").alias("height")),
+        "pose_detections": keyed.select(F.col("pose_id").alias("id"), "image_id", "overall_confidence", "created_at", "person_id", "keypoints", "visibility", "bbox"),
+    }
+    for name in VECTORS:
+        v = F.col(name.removesuffix("_features"))
+        parts[name] = keyed.where(v.isNotNull()).select("pose_id", v.cast("array<float>").alias("feature_vector"))
+    fresh = keyed.join(read_table(spark, root, "pose_detections").select(F.col("id").alias("pose_id")), "pose_id", "left_anti").select("pose_id", "image_path")
+    fresh.write.parquet(f"{root}/stored/{batch.rpartition('/')[2]}")
+    for name, part in parts.items():
+        known = read_table(spark, root, name).select(KEYS[name])
+        part.join(known, KEYS[name], "left_anti").write.mode("append").parquet(f"{root}/{name}")
+    delete_path(spark, batch)
+    return spark.read.schema(fresh.schema).parquet(f"{root}/stored/{batch.rpartition('/')[2]}")
 
 
 def truncate(spark: SparkSession, root: str, name: str, cascade: bool = False) -> None:

@@ -1,4 +1,7 @@
-"""Incremental indexing with Structured Streaming (an extension: the reference indexes in batches)."""
+"""Incremental indexing with Structured Streaming (an extension to indexing in batches).
+
+Rows are passed on as they are, nulls and repeats too; a stream without rows adds none.
+"""
 
 from __future__ import annotations
 

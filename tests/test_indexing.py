@@ -29,7 +29,9 @@ def photos(tmp_path_factory):
 def test_index_and_search(spark, photos, tmp_path):
     root, path = f"{tmp_path}/store", f"{tmp_path}/index"
     assert indexing.index_directory(spark, photos, root, detect.brightness_detector, geometric, visual).head()["poses_indexed"] == 5
+    assert indexing.index_directory(spark, photos, root, detect.brightness_detector, geometric, visual).head()["poses_indexed"] == 0  # nothing new
     rows = indexing.build_search_index(spark, root, path)
+    assert rows.count() == 5
     query = rows.where(F.col("file_path").endswith("p2.bmp")).head()["feature_vector"]
     found = indexing.search(rows, query, 3, "l2").orderBy("rank").collect()
     assert found[0]["image_path"].endswith("p2.bmp") and found[0]["similarity_score"] == "0.000" and len(found) == 3
@@ -43,9 +45,13 @@ def test_preprocessing_keeps_coordinates(spark, photos):
     plain = {r["path"]: r["bbox"] for r in indexing.detected(spark, photos, detect.brightness_detector, glob="p0.bmp").collect()}
     ready = {r["path"]: r["bbox"] for r in indexing.detected(spark, photos, detect.brightness_detector, glob="p0.bmp", preprocess=True).collect()}
     assert all(np.allclose(ready[p], b, atol=0.1) for p, b in plain.items())
+    smaller = {r["path"]: r for r in indexing.detected(spark, photos, detect.brightness_detector, glob="p0.bmp", target_size=(12, 10)).collect()}
+    assert all(np.allclose(smaller[p]["bbox"], b) and smaller[p]["image_width"] == 24 for p, b in plain.items())
 
 
 def test_benchmark(spark, photos):
     variants = {"plain": lambda x: detect.detect(x, detect.brightness_detector), "ensemble": lambda x: detect.detect(x, detect.brightness_detector, models=[detect.brightness_detector] * 2)}
     got = {r["variant"]: r for r in indexing.benchmark(spark, photos, variants, glob="*.bmp").collect()}
-    assert set(got) == set(variants) and all(r["n_images"] == r["n_detected"] == 5 for r in got.values())
+    assert set(got) == set(variants) and all(r["n_images"] == r["n_detected"] == 5 and r["avg_time"] > 0 for r in got.values())
+    report = {r["variant"]: r for r in indexing.benchmark_report(spark.createDataFrame(list(got.values())), "plain").collect()}
+    assert report["plain"]["slowdown"] == 1.0 and report["ensemble"]["slowdown"] > 0

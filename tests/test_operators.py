@@ -61,6 +61,15 @@ def test_ensemble_edges(spark):
         ensemble.fuse_poses(spark.createDataFrame(odd, SCHEMA)).collect()
 
 
+def test_ensemble_fuses_all_coordinates(spark):
+    rows = [(1, m, w, 0, [[float(m), 2.0, 10.0 * m], [1.0, 1.0, 1.0]], [0.5, 0.5], [0.0] * 4, 0.5, m) for m, w in ((0, 1.0), (1, 3.0))]
+    r = ensemble.fuse_poses(spark.createDataFrame(rows, SCHEMA), "weighted_average").head()
+    assert r["keypoints"] == [[0.75, 2.0, 7.5], [1.0, 1.0, 1.0]]
+    none = ensemble.fuse_poses(spark.createDataFrame([(*rows[0][:2], 0.0, *rows[0][3:])], SCHEMA), "weighted_average").head()
+    assert none["keypoints"] == [[None] * 3] * 2 and none["visibility"] == [None] * 2
+    assert ensemble.fuse_poses(spark.createDataFrame([(*rows[0][:2], 0.0, *rows[0][3:])], SCHEMA)).head()["keypoints"] == [[0.0] * 3] * 2
+
+
 def test_boxes_keep_their_numbers(spark):
     df = spark.createDataFrame([(1, 0, 0.2, 0), (1, 1, 0.3, 0), (1, 2, 0.9, 1), (1, 3, 0.29999, 0), (1, 4, None, 0), (2, 0, 0.5, 0)], "image int, n int, conf double, cls int")
     kept = boxes.person_boxes(boxes.number_boxes(df, "image", "n")).collect()
@@ -131,6 +140,42 @@ def test_knn_batch_equals_single(spark):
             assert mine == [(r["rank"], r["pose_id"]) for r in single]
 
 
+def test_knn_batch_with_repeated_and_string_ids(spark):
+    rows = [("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.9, 0.1]), (None, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "pose_id string, feature_vector array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("q", [1.0, 0.0]), (None, [1.0, 0.0]), ("z", [0.0, 0.0]), ("r", [0.0, 2.0])], "query_id string, feature_vector array<float>")
+    got = knn.search_similar_batch(df, asked, 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["pose_id"]) for r in got] == [("q", 1, "a"), ("q", 2, "a"), ("r", 1, "b"), ("r", 2, None)]
+    assert knn.search_similar_batch(df, asked.limit(0), 2).count() == 0 and knn.search_similar_batch(df.limit(0), asked, 2).count() == 0
+    with pytest.raises(ValueError, match="2 dimensions.*3"):
+        knn.search_similar_batch(spark.createDataFrame([("a", [1.0, 2.0, 3.0])], df.schema), asked)
+
+
+def test_knn_batch_in_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 7)
+    monkeypatch.setattr(knn, "CHUNK", 40)
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(300, 6)) + 1000).astype(np.float32)  # far from the origin, where a product form loses digits
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pose_id long, feature_vector array<float>")
+    got = knn.search_similar_batch(df, df.where("pose_id < 25").withColumnRenamed("pose_id", "query_id"), 6, "l2").collect()
+    for i in range(25):
+        d = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(1))
+        want = np.lexsort((np.arange(300), d))[:6]
+        mine = sorted((r["rank"], r["pose_id"], r["similarity_score"]) for r in got if r["query_id"] == i)
+        assert [m[1] for m in mine] == want.tolist() and np.allclose([m[2] for m in mine], d[want])
+
+
+def test_score_mapping(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "pose_id long, feature_vector array<float>")
+    got = knn.search_similar(df, [0.0, 0.0], 2, "l2", mapping="inverse", scale=5.0).orderBy("rank").collect()
+    assert [r["similarity_score"] for r in got] == [1.0, 0.5]
+    asked = df.where("pose_id = 1").withColumnRenamed("pose_id", "query_id")
+    batch = knn.search_similar_batch(df, asked, 2, "l2", mapping="exponential", scale=5.0).orderBy("rank").collect()
+    assert batch[0]["similarity_score"] == 1.0 and math.isclose(batch[1]["similarity_score"], math.exp(-1))
+    with pytest.raises(ValueError):
+        knn.search_similar(df, [1.0, 0.0], 2, "cosine", mapping="inverse")
+
+
 def test_knn_refuses_other_dimensions(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])], "pose_id long, feature_vector array<float>")
     with pytest.raises(ValueError, match="3 dimensions.*2"):
@@ -209,7 +254,7 @@ def test_detectors(spark):
     with pytest.raises(ValueError):
         detect.detect(df, detect.brightness_detector, persons=persons, models=[detect.brightness_detector])
     small = imgs.preprocess_images(df.limit(1), with_denoise=False).head()
-    assert (small["height"], small["width"], round(small["scale"], 3)) == (512, 682, 8.533)
+    assert (small["height"], small["width"], round(small["scale_x"], 3)) == (512, 682, 8.533)
     assert imgs.normalize_images(df, (10, 20)).select("width", "height").distinct().collect() == [(10, 20)]
     assert detect.detect(df.limit(0), detect.brightness_detector).count() == 0
 
@@ -238,8 +283,15 @@ def test_store(spark, tmp_path):
     schema = "image_path string, width int, height int, person_id int, keypoints array<array<double>>, visibility array<double>, bbox array<double>, overall_confidence double, created_at timestamp, geometric array<double>, visual array<double>, fused array<double>"
     df = spark.createDataFrame([("a.jpg", 4, 5, i, [[1.0, float(i)]], [1.0], [0.0] * 4, 0.5, None, [1.0], None if i else [2.0], [1.0, 2.0]) for i in range(2)], schema)
     root = str(tmp_path)
+    assert store.read_table(spark, root, "images").count() == 0
     assert store.store_detections(df, root).count() == 2
+    assert store.store_detections(df, root).count() == 0  # nothing new
     counts = {t: store.read_table(spark, root, t).count() for t in store.TABLES}
     assert counts == {"images": 1, "pose_detections": 2, "geometric_features": 2, "visual_features": 1, "fused_features": 2}
+    more = df.withColumn("image_path", F.lit("b.jpg")).unionByName(df)
+    more = more.unionByName(more.where("image_path = 'b.jpg' and person_id = 0"))  # the same pose once more
+    assert sorted(r["image_path"] for r in store.store_detections(more, root).collect()) == ["b.jpg"] * 3
+    assert store.read_table(spark, root, "pose_detections").select("id").distinct().count() == 5
+    assert store.store_detections(df.limit(0), root).count() == 0
     store.truncate(spark, root, "pose_detections", cascade=True)
-    assert store.read_table(spark, root, "fused_features").count() == 0 and store.read_table(spark, root, "images").count() == 1
+    assert store.read_table(spark, root, "fused_features").count() == 0 and store.read_table(spark, root, "images").count() == 2
