@@ -6,33 +6,53 @@ highest sum of piece scores. The best score of a prefix depends on nothing
 after it, so the distinct pre-tokens go into a trie and each node, a shared
 prefix, is scored once; a word's token count is stored at its last node.
 
-The work is one map over the documents: no shuffle, and the vocabulary is the
+The pieces are those of a tokenizer's file and stay as they are. The file only
+ranks them, so their probabilities are estimated from the corpus: all words are
+counted (a map-side count, then one shuffle of distinct words), and in each
+round of expectation maximisation every distinct word adds the expected uses of
+its pieces over all its segmentations (a map; as many rows as there are pieces
+come to the driver). The rounds start from Zipf's law over the ranks.
+
+Counting is one map over the documents: no shuffle, and the vocabulary is the
 only broadcast (its size is that of the tokenizer). A task's trie is emptied
-whenever it outgrows ``max_nodes``, which changes memory and never a count.
+whenever it outgrows ``max_nodes``, and words of more than ``LONG`` letters are
+scored beside it in a buffer of the longest piece, which changes memory and
+never a count.
 
 Edge cases: null and empty texts have no words and no tokens; a character the
-vocabulary lacks costs one byte token for each UTF-8 byte; an empty table gives
-an empty result; repeated rows give repeated results; other columns are ignored.
+vocabulary lacks costs one byte token for each UTF-8 byte; without any words
+the probabilities stay Zipf's; an empty table gives an empty result; repeated
+rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from array import array
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limber.llm.common import written
+
 #: The mark of a word's start in the vocabulary's pieces.
 WORD_START = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_NODES = 1_000_000
+#: Longer words are scored beside the trie, and count in the estimate with their best segmentation alone.
+LONG = 48
+#: Rounds of the estimate, and the uses that every piece has besides those found.
+ROUNDS, PRIOR = 2, 0.1
+#: Distinct words that a task counts before it hands them on.
+MAX_COUNTED = 500_000
 
 
 def unigram_scores(model_file: str = TOKENIZER) -> dict[str, float]:
-    """Piece to log-probability. The file ranks its pieces; the probability is Zipf's, 1/(rank + 1), normalised."""
+    """Piece to log-probability by the ranks of the file: Zipf's, 1/(rank + 1), normalised. Where the estimate starts."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -51,6 +71,7 @@ class ForwardTrie:
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.unknown = min(scores.values(), default=0.0) - 10.0
+        self.longest = max(map(len, scores), default=1)
         self.suffixes: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))} | scores
         self.clear()
 
@@ -60,6 +81,9 @@ class ForwardTrie:
         self.tokens = array("q", [0])
 
     def tokens_of(self, word: str) -> int:
+        """Tokens of the best segmentation; of equally good ones that whose last piece is longest, and so on."""
+        if len(word) > LONG:
+            return self._tokens_of_long(word)
         path, node, edges = [0], 0, self.edges
         for end, letter in enumerate(word, 1):
             edge = node << 21 | ord(letter)
@@ -70,6 +94,48 @@ class ForwardTrie:
             path.append(node)
         return self.tokens[node]
 
+    def _tokens_of_long(self, word: str) -> int:
+        """The same without the trie: only the last prefixes, as many as the longest piece has letters, are kept."""
+        last: deque[tuple[float, int]] = deque([(0.0, 0)], maxlen=self.longest)  # of prefixes end - 1, end - 2, ...
+        suffixes = self.suffixes
+        for end, letter in enumerate(word, 1):
+            best, tokens = -math.inf, 0
+            for back, (total, n) in enumerate(last, 1):
+                piece = word[end - back : end]
+                if piece not in suffixes:
+                    break
+                score = suffixes[piece]
+                if score is not None and total + score >= best:
+                    best, tokens = total + score, n + 1
+            if suffixes.get(letter) is None and last[0][0] + self.unknown > best:
+                best, tokens = last[0][0] + self.unknown, last[0][1] + len(letter.encode())
+            last.appendleft((best, tokens))
+        return last[0][1]
+
+    def pieces_of(self, word: str) -> list[str]:
+        """The pieces of the best segmentation, unknown letters left out. Eight bytes a letter are kept."""
+        last: deque[float] = deque([0.0], maxlen=self.longest)
+        came, suffixes = array("i", [0]), self.suffixes
+        for end, letter in enumerate(word, 1):
+            best, length = -math.inf, 1
+            for back, total in enumerate(last, 1):
+                piece = word[end - back : end]
+                if piece not in suffixes:
+                    break
+                score = suffixes[piece]
+                if score is not None and total + score >= best:
+                    best, length = total + score, back
+            if suffixes.get(letter) is None and last[0] + self.unknown > best:
+                best, length = last[0] + self.unknown, 0
+            last.appendleft(best)
+            came.append(length)
+        found, end = [], len(word)
+        while end:
+            if came[end]:
+                found.append(word[end - came[end] : end])
+            end -= max(1, came[end])
+        return found
+
     def _grow(self, word: str, end: int, path: list[int]) -> int:
         best, tokens, suffixes = -math.inf, 0, self.suffixes
         for start in range(end - 1, -1, -1):
@@ -87,6 +153,144 @@ class ForwardTrie:
         return len(self.best) - 1
 
 
+class PieceTable:
+    """Pieces by the 64-bit hash of their letters, with their probabilities."""
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        self.pieces = list(scores)
+        self.longest = max(map(len, self.pieces), default=1)
+        hashes = np.zeros(len(self.pieces), dtype=np.uint64)
+        by_length: dict[int, list[int]] = {}
+        for i, p in enumerate(self.pieces):
+            by_length.setdefault(len(p), []).append(i)
+        for n, at in by_length.items():
+            letters = np.array([list(map(ord, self.pieces[i])) for i in at], dtype=np.uint64)
+            h = np.zeros(len(at), dtype=np.uint64)
+            for j in range(n):
+                h = _next(h, letters[:, j])
+            hashes[at] = h
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.probability = np.exp(np.fromiter(scores.values(), dtype=np.float64, count=len(scores)))
+        self.unknown = math.exp(min(scores.values(), default=0.0) - 10.0)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces with these hashes, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.order[at], -1)
+
+
+def _next(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    h = (h ^ letter) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def expected_uses(table: PieceTable, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """How often each piece is used, over all segmentations of the words (of one length) by their probability, times the words' counts."""
+    n, length = len(words), len(words[0])
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).astype(np.uint64)
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for start in range(length):
+        h = np.zeros(n, dtype=np.uint64)
+        for end in range(start + 1, min(length, start + table.longest) + 1):
+            h = _next(h, letters[:, end - 1])
+            piece = table.find(h)
+            if (piece >= 0).any():
+                found[start, end] = piece
+    chance = lambda start, end: np.where(found[start, end] >= 0, table.probability[found[start, end]], 0.0)
+    unknown = [np.where(found[i, i + 1] >= 0, 0.0, table.unknown) if (i, i + 1) in found else np.full(n, table.unknown) for i in range(length)]
+    # Scaled at each place, so that no product of many small numbers is lost.
+    forward, backward, scale = np.zeros((length + 1, n)), np.zeros((length + 1, n)), np.ones((length + 1, n))
+    forward[0] = 1.0
+    for end in range(1, length + 1):
+        total = forward[end - 1] * unknown[end - 1]
+        step = np.ones(n)
+        for start in range(end - 1, max(-1, end - table.longest - 1), -1):
+            if start < end - 1:
+                step = step * scale[start + 1]
+            if (start, end) in found:
+                total = total + forward[start] / step * chance(start, end)
+        scale[end] = np.maximum(total, 1e-300)
+        forward[end] = total / scale[end]
+    backward[length] = 1.0
+    for start in range(length - 1, -1, -1):
+        total = backward[start + 1] * unknown[start] / scale[start + 1]
+        step = np.ones(n)
+        for end in range(start + 1, min(length, start + table.longest) + 1):
+            step = step * scale[end]
+            if (start, end) in found:
+                total = total + backward[end] / step * chance(start, end)
+        backward[start] = total
+    uses = np.zeros(len(table.pieces))
+    for (start, end), piece in found.items():
+        step = np.prod(scale[start + 1 : end + 1], axis=0)
+        share = forward[start] * chance(start, end) * backward[end] / step * counts
+        np.add.at(uses, piece[piece >= 0], share[piece >= 0])
+    return uses
+
+
+def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """How often each word stands in all texts: word, n. Written; it grows with the vocabulary."""
+    thin = df.select(F.col(text_col).cast("string").alias("text"))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[bytes] = Counter()
+        rows = lambda: pd.DataFrame({"word": [w.decode() for w in found], "n": list(found.values())})
+        for batch in batches:
+            for text in batch["text"]:
+                for ws in word_lists(text):
+                    found.update(ws)
+                    if len(found) > MAX_COUNTED:
+                        yield rows()
+                        found.clear()
+        if found:
+            yield rows()
+
+    return written(thin.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def estimated_scores(df: DataFrame, initial: dict[str, float], text_col: str = "text", rounds: int = ROUNDS) -> dict[str, float]:
+    """The pieces' log-probabilities by expectation maximisation over all words of the corpus."""
+    counts = word_counts(df, text_col)
+    scores = initial
+    for _ in range(rounds):
+        table = counts.sparkSession.sparkContext.broadcast(scores)
+
+        def used(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
+            pieces = PieceTable(table.value)
+            total = np.zeros(len(pieces.pieces))
+            long: ForwardTrie | None = None
+            place: dict[str, int] = {}
+            for batch in batches:
+                by_length: dict[int, list[int]] = {}
+                words = [WORD_START + w for w in batch["word"]]
+                for i, w in enumerate(words):
+                    by_length.setdefault(len(w), []).append(i)
+                n = batch["n"].to_numpy(dtype=np.float64)
+                for length, at in by_length.items():
+                    if length > LONG:
+                        long = long or ForwardTrie(table.value)
+                        place = place or {p: i for i, p in enumerate(pieces.pieces)}
+                        for i in at:
+                            for p in long.pieces_of(words[i]):
+                                total[place[p]] += n[i]
+                    else:
+                        for lo in range(0, len(at), 4096):
+                            part = at[lo : lo + 4096]
+                            total += expected_uses(pieces, [words[i] for i in part], n[part])
+            some = np.flatnonzero(total)
+            if len(some):
+                yield pd.DataFrame({"piece": [pieces.pieces[i] for i in some], "uses": total[some]})
+
+        found = {r["piece"]: r["uses"] for r in counts.mapInPandas(used, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
+        if not found:
+            return scores
+        norm = math.log(sum(found.values()) + PRIOR * len(initial))
+        scores = {p: math.log(found.get(p, 0.0) + PRIOR) - norm for p in initial}
+        table.destroy()
+    return scores
+
+
 class TerminalCounts(dict):
     """Word (UTF-8) to tokens; a word asked for the first time is inserted in the trie."""
 
@@ -112,8 +316,8 @@ def word_lists(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 def token_counts(df: DataFrame, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = MAX_NODES) -> DataFrame:
-    """One row per input row: the id, n_words and n_tokens (long)."""
-    vocabulary = df.sparkSession.sparkContext.broadcast(scores if scores is not None else unigram_scores())
+    """One row per input row: the id, n_words and n_tokens (long). Without ``scores`` they are estimated from ``df``."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(scores if scores is not None else estimated_scores(df, unigram_scores(), text_col))
     id_type = df.schema[id_col].dataType.simpleString()
     thin = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))  # pandas would round large ids beside nulls
 
