@@ -46,11 +46,18 @@ TAG_WEIGHT = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -6.0, "menu":
 HEADER_IN_ARTICLE = -1.0
 GOOD_WORD, BAD_WORD, COMMENT_WORD = 2.5, -7.0, -12.0
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
+#: These tell of boilerplate wherever they stand in a class or id, but beside a word of LAYOUT_WORDS: "with-sidebar".
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising alert banner bar breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead modal nav navbar navigation newsletter overlay pager pagination paywall popup promo sidebar signup sponsor sponsored toolbar".split()
 )
-#: Beside one of these a bad word tells of the page's layout: "with-sidebar".
-LAYOUT_WORDS = frozenset("fixed has layout no with without".split())
+#: These do so only where all other parts of the name are of these kinds or plain: "share-buttons", not "share-price".
+UNSURE_WORDS = frozenset(
+    "alert banner bar copyright header login menu notice notification promoted promotion recommended related search share sharing social subscribe subscription tags widget widgets".split()
+)
+PLAIN_WORDS = frozenset(
+    "area block bottom box btn button buttons col column container desktop fixed form global group holder icon icons inner item items left link links list main mobile module outer page panel post posts primary right row secondary section site slot small stories sub sticky tool tools top unit wrap wrapper".split()
+)
+LAYOUT_WORDS = frozenset("has layout no with without".split())
 COMMENT_WORDS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
 LINK_WEIGHT, LENGTH_WEIGHT, SENTENCE_WEIGHT, HEADING_WEIGHT = -4.0, 0.5, 0.5, 0.5
 NEIGHBOUR, SAME_PARENT, SIBLING = 0.3, 0.7, 0.4
@@ -88,6 +95,7 @@ def _element(tag: str, attributes: str, above: _Element, number: int) -> _Elemen
     hidden = above.hidden or tag == "template"
     if attributes:
         parts: set[str] = set()
+        bad = False
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next(filter(None, values), "")
             name = name.lower()
@@ -100,10 +108,14 @@ def _element(tag: str, attributes: str, above: _Element, number: int) -> _Elemen
             elif name == "aria-hidden":
                 hidden = hidden or value == "true"
             else:
-                parts |= {p.lower() for p in _PART.findall(value)} | {value.lower()}
+                for own in value.split():
+                    of = {p.lower() for p in _PART.findall(own) if not p.isdigit()} | {own.lower()}
+                    kinds = of - {own.lower()} or of
+                    bad = bad or bool(of & BAD_WORDS) or bool(kinds & UNSURE_WORDS and kinds <= UNSURE_WORDS | PLAIN_WORDS)
+                    parts |= of
         if parts & COMMENT_WORDS:
             weight += COMMENT_WORD
-        elif parts & BAD_WORDS and not parts & LAYOUT_WORDS and tag not in ("article", "body", "html", "main"):
+        elif bad and not parts & LAYOUT_WORDS and tag not in ("article", "body", "html", "main"):
             weight += BAD_WORD
         elif parts & GOOD_WORDS:
             weight += GOOD_WORD
