@@ -1,14 +1,15 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-A block is a run of at most ``STRETCH`` times as many words as the template
-has. A block contains a template when it holds ``CONTAINMENT`` or more of the
-template's distinct words. The scan finds every place where such a block
-exists:
+A block is a run of at most ``stretch`` (1.5) times as many words as the template
+has; with a stretch of None every run is a block, however long. A block contains
+a template when it holds ``containment`` (0.8) or more of the template's distinct
+words, in any order. The scan finds every place where such a block exists:
 
 * the words of all templates are put in one order, rarest in the corpus first
   (one aggregation of at most as many rows as the templates have words);
 * prefix filter: a block can only contain a template of t words, c of which it
-  must hold, if it has one of the template's t - c + 1 rarest words;
+  must hold, if it has one of the template's t - c + 1 rarest words; an index
+  from these words to the templates gives a text's candidates;
 * length filter: a text with fewer than c words is passed over;
 * positional filter: a template whose rarest word in the text stands at place p
   of its order can have at most t - p words there, which must be c at least;
@@ -78,35 +79,45 @@ def _word_counts(df: DataFrame, text_col: str, wanted: frozenset[bytes]) -> dict
 
 
 class Templates:
-    """The templates with their words in the corpus order, and what the filters need."""
+    """The templates with their words in the corpus order, and what the filters need: from a prefix word to the templates that have it there."""
 
-    def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], containment: float) -> None:
-        self.entries = []
-        for label, text in templates:
+    def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], containment: float, stretch: float | None = STRETCH) -> None:
+        self.entries: list[tuple[str, dict[bytes, int], int, float]] = []
+        self.by_prefix: dict[bytes, list[int]] = {}
+        for number, (label, text) in enumerate(templates):
             ws = license_words(text)
             order = sorted(set(ws), key=lambda w: (counts.get(w, 0), w))
             need = math.ceil(containment * len(order) - 1e-9)
-            room = math.ceil(STRETCH * len(ws))
-            self.entries.append((label, {w: p for p, w in enumerate(order)}, need, room, order[: len(order) - need + 1]))
-        self.prefixes = frozenset(w for *_, prefix in self.entries for w in prefix)
+            room = math.inf if stretch is None else math.ceil(stretch * len(ws))
+            self.entries.append((label, {w: p for p, w in enumerate(order)}, need, room))
+            for w in order[: len(order) - need + 1]:
+                self.by_prefix.setdefault(w, []).append(number)
+        self.words = frozenset(w for _, place, _, _ in self.entries for w in place)
 
     def blocks(self, ws: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, first word, end, containment) of the blocks found: for each stretch of overlapping qualifying blocks, its best."""
-        if self.prefixes.isdisjoint(ws):
+        if self.by_prefix.keys().isdisjoint(ws):
             return []
-        present = set(ws)
+        at: dict[bytes, list[int]] = {}
+        for i, w in enumerate(ws):
+            if w in self.words:
+                at.setdefault(w, []).append(i)
+        rarest: dict[int, int] = {}  # of each candidate, the place of its rarest word that the text has
+        for w in at:
+            for number in self.by_prefix.get(w, ()):
+                p = self.entries[number][1][w]
+                rarest[number] = min(p, rarest.get(number, p))
         found = []
-        for label, place, need, room, prefix in self.entries:
-            if len(ws) < need:
+        for number in sorted(rarest):
+            label, place, need, room = self.entries[number]
+            if len(ws) < need or len(place) - rarest[number] < need:
                 continue
-            rarest = next((p for p, w in enumerate(prefix) if w in present), None)
-            if rarest is None or len(place) - rarest < need:
-                continue
-            found += [(label, a, b, share) for a, b, share in _runs([(i, w) for i, w in enumerate(ws) if w in place], len(place), need, room)]
+            hits = sorted((i, w) for w in place for i in at.get(w, ()))
+            found += [(label, a, b, share) for a, b, share in _runs(hits, len(place), need, room)]
         return found
 
 
-def _runs(hits: list[tuple[int, bytes]], size: int, need: int, room: int) -> list[tuple[int, int, float]]:
+def _runs(hits: list[tuple[int, bytes]], size: int, need: int, room: float) -> list[tuple[int, int, float]]:
     """Two pointers over the positions of template words; windows of ``room`` words with ``need`` distinct ones."""
     inside: Counter[bytes] = Counter()
     found: list[tuple[int, int, float]] = []
@@ -145,11 +156,11 @@ def phrase_places(ws: list[bytes]) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, stretch: float | None = STRETCH) -> DataFrame:
     """One row per input row: the id, n_words, places (of phrases) and blocks (of templates)."""
     templates = TEMPLATES if templates is None else templates
     wanted = frozenset(w for _, t in templates for w in license_words(t))
-    known = df.sparkSession.sparkContext.broadcast(Templates(templates, _word_counts(df, text_col, wanted), containment))
+    known = df.sparkSession.sparkContext.broadcast(Templates(templates, _word_counts(df, text_col, wanted), containment, stretch))
     id_type = df.schema[id_col].dataType.simpleString()
     thin = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))  # pandas would round large ids beside nulls
 
@@ -170,12 +181,12 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] | None = None,
     return thin.mapInPandas(scanned, schema).select(F.col("id").cast(id_type).alias(id_col), "n_words", "places", "blocks")
 
 
-def license_report(df: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def license_report(df: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, stretch: float | None = STRETCH) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is 1 where a phrase stands, else the highest containment found, else 0.
     """
-    s = scan_licenses(df, templates, id_col, text_col, containment)
+    s = scan_licenses(df, templates, id_col, text_col, containment, stretch)
     base = F.transform("places", lambda p: p["label"])
     both = F.concat(base, F.transform("blocks", lambda b: b["label"]))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

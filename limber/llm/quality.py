@@ -4,11 +4,13 @@ Each line is judged by itself; the lines that fail are removed, and a document
 is rejected when it loses too large a share of its text. A line with a word
 fails when it is
 
-* navigation: at least two bars or bullets, and one for every five words;
+* navigation: at least two bars or bullets, and one for every five words
+  (``»`` is a bullet unless the line has ``«``, its other quotation mark);
 * symbol noise: runs of two or more ``#*$%&`` on 30 % of its words;
 * shouting: runs of two or more ``!`` on 30 % of its words;
-* boilerplate: up to twelve words with one of :data:`BOILERPLATE` in them;
-* unpunctuated: forty words or more without one of ``.!?:;`` in them.
+* boilerplate: up to twelve words, of which phrases of :data:`BOILERPLATE`, or
+  of :data:`CALLS` at the line's start, are more than two in five;
+* unpunctuated: forty words or more without one of :data:`SENTENCE_MARKS`.
 
 The rules look only at strong evidence, so that prose with an unusual line is
 left alone. Repetition is measured on the whole document (``base_failed``).
@@ -27,23 +29,27 @@ from pyspark.sql import functions as F
 
 from limber.llm.common import SPACE, text_of, words
 
-#: Phrases of page furniture, looked for in lower case.
+#: Phrases of page furniture in the corpus's languages, looked for in lower case as whole words.
 BOILERPLATE = (
-    "all rights reserved",
-    "accept cookies",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "read more",
-    "share this",
-    "sign up",
-    "skip to content",
-    "subscribe to",
-    "terms of service",
-    "terms of use",
-)
+    "all rights reserved", "accept cookies", "accept all cookies", "cookie policy", "cookie settings", "enable javascript", "lorem ipsum", "our newsletter",
+    "privacy policy", "skip to content", "skip to main content", "subscribe to", "terms and conditions", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "cookie-einstellungen", "datenschutzerklärung", "javascript aktivieren", "nutzungsbedingungen", "zum inhalt springen",
+    "tous droits réservés", "accepter les cookies", "activer javascript", "aller au contenu", "conditions d'utilisation", "mentions légales", "politique de confidentialité",
+    "todos los derechos reservados", "aceptar cookies", "aceptar las cookies", "aviso legal", "ir al contenido", "política de cookies", "política de privacidad", "términos y condiciones",
+)
+#: Calls that are as good in a sentence, and count at a line's start alone.
+CALLS = (
+    "click here", "read more", "share this", "sign up", "log in",
+    "hier klicken", "mehr lesen", "weiterlesen", "jetzt anmelden",
+    "cliquez ici", "lire la suite", "en savoir plus", "inscrivez-vous",
+    "haga clic aquí", "leer más", "seguir leyendo", "suscríbete",
+)
+_PHRASE = "|".join(BOILERPLATE)
+#: Group 1 is the phrase.
+FURNITURE = rf"(?:^|[^\p{{L}}\p{{N}}])({_PHRASE})(?:$|[^\p{{L}}\p{{N}}])"
+CALL = rf"^[^\p{{L}}\p{{N}}]*({'|'.join(CALLS)})(?:$|[^\p{{L}}\p{{N}}])"
+#: Marks that end or divide sentences, in the scripts that have some.
+SENTENCE_MARKS = "[.!?:;…。．｡！？：；।॥؟؛۔։።፧។၊။]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document is rejected when the failing lines hold more than this share of its word characters.
@@ -53,16 +59,18 @@ MAX_LOST_PERCENT = 50
 def line_fails(line: Column) -> Column:
     """Whether a line is to be removed; lines without a word never are."""
     n = F.regexp_count(line, F.lit(SPACE.replace("[", "[^", 1) + "+"))
-    bars = F.regexp_count(line, F.lit("[|»•]"))
+    bars = F.regexp_count(line, F.lit("[|•]")) + F.when(F.contains(line, F.lit("«")), 0).otherwise(F.regexp_count(line, F.lit("»")))
     noise = F.regexp_count(line, F.lit("[#*$%&]{2,}"))
     shouts = F.regexp_count(line, F.lit("!{2,}"))
-    furniture = F.lower(line).rlike("|".join(BOILERPLATE))
+    low = F.lower(line)
+    found = F.concat(F.regexp_extract_all(low, F.lit(FURNITURE), 1), F.regexp_extract_all(low, F.lit(CALL), 1))
+    furniture = low.rlike(f"{FURNITURE}|{CALL}") & (5 * F.regexp_count(F.array_join(found, " "), F.lit("[^ ]+")) > 2 * n)
     return (
         ((bars >= 2) & (bars * 5 >= n))
         | ((noise >= 1) & (noise * 10 >= n * 3))
         | ((shouts >= 1) & (shouts * 10 >= n * 3))
         | ((n >= 1) & (n <= 12) & furniture)
-        | ((n >= 40) & ~line.rlike("[.!?:;]"))
+        | ((n >= 40) & ~line.rlike(SENTENCE_MARKS))
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,13 +93,19 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 """
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def _line_fails(line: str) -> str:
     count = lambda pattern: f"len(regexp_extract_all({line}, '{pattern}'))"
-    n, bars, noise, shouts = count(r"[^\x20\x09-\x0D]+"), count("[|»•]"), count("[#*$%&]{2,}"), count("!{2,}")
-    furniture = f"regexp_matches(lower({line}), '{'|'.join(quality.BOILERPLATE)}')"
+    n, noise, shouts = count(r"[^\x20\x09-\x0D]+"), count("[#*$%&]{2,}"), count("!{2,}")
+    bars = f"({count('[|•]')} + CASE WHEN contains({line}, '«') THEN 0 ELSE {count('»')} END)"
+    phrases = " || ".join(f"regexp_extract_all(lower({line}), {_quoted(p)}, 1)" for p in (quality.FURNITURE, quality.CALL))
+    furniture = f"5 * len(regexp_extract_all(array_to_string({phrases}, ' '), '[^ ]+')) > 2 * {n}"
     return (
         f"(({bars} >= 2 AND {bars} * 5 >= {n}) OR ({noise} >= 1 AND {noise} * 10 >= {n} * 3) OR ({shouts} >= 1 AND {shouts} * 10 >= {n} * 3)"
-        f" OR ({n} BETWEEN 1 AND 12 AND {furniture}) OR ({n} >= 40 AND NOT regexp_matches({line}, '[.!?:;]')))"
+        f" OR ({n} BETWEEN 1 AND 12 AND {furniture}) OR ({n} >= 40 AND NOT regexp_matches({line}, '{quality.SENTENCE_MARKS}')))"
     )
 
 
@@ -125,5 +132,37 @@ FROM m
 """
 
 
+def _op10_sql() -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    split = r"regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(upper, upper.lower())
+    places = []
+    for phrase, label in license_scan.PHRASES.items():
+        here = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase))
+        places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {here}), lambda i: {{'word': i - 1, 'label': '{label}'}})")
+    rows = []
+    for number, (label, text) in enumerate(license_scan.TEMPLATES):
+        ws = [w.decode() for w in license_scan.license_words(text)]
+        size = len(set(ws))
+        need, room = math.ceil(license_scan.CONTAINMENT * size - 1e-9), math.ceil(license_scan.STRETCH * len(ws))
+        rows.append(f"({number}, '{label}', {sorted(set(ws))}, {size}, {need}, {room})")
+    joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct({x})), ','), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {split} AS w FROM documents),
+p AS (SELECT r, doc_id, len(w) AS n_words, {' || '.join(places)} AS places FROM d),
+t(number, label, words, size, need, room) AS (VALUES {', '.join(rows)}),
+tw AS (SELECT number, room, need, unnest(words) AS word FROM t),
+u AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+hits AS (SELECT r, number, i, word, room, need FROM u JOIN tw USING (word)),
+windows AS (SELECT a.r, a.number, a.i, count(DISTINCT b.word) AS c FROM hits a JOIN hits b ON a.r = b.r AND a.number = b.number AND b.i > a.i - a.room AND b.i <= a.i GROUP BY a.r, a.number, a.i, a.need HAVING count(DISTINCT b.word) >= a.need),
+blocks AS (SELECT r, list(DISTINCT label) AS labels, max(c::DOUBLE / size) AS share FROM windows JOIN t USING (number) GROUP BY r)
+SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,
+  list_min(list_transform(places, lambda x: x.word))::BIGINT AS first_word, list_max(list_transform(places, lambda x: x.word))::BIGINT AS last_word,
+  {joined("list_transform(places, lambda x: x.label)")} AS base_labels,
+  {joined("list_transform(places, lambda x: x.label) || coalesce(labels, []::VARCHAR[])")} AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM p LEFT JOIN blocks USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_license_scan": _op10_sql()}
