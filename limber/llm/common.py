@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limber.session import delete_path, own_folder
+
 #: White space between words, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a folder of our own
-    set, and then through ``setCheckpointDir`` so that later calls find it.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="limber-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+#: Where this process has written tables, in order.
+_paths: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,15 +24,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Files stay under one folder per application; see :func:`clear_written`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/limber-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_so_far() -> int:
+    """A mark for :func:`settled`."""
+    return len(_paths)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """:func:`written`, after which all tables written since the mark are deleted: nothing reads them any more."""
+    out = written(df, name)
+    for path in _paths[since:-1]:
+        delete_path(df.sparkSession, path)
+    del _paths[since:-1]
+    return out
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete what :func:`written` left for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/limber-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, own_folder(spark))
+    _paths.clear()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet; Spark's names do not heed case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(column: str) -> Column:

@@ -113,6 +113,29 @@ def test_quality(spark, corpus):
     assert quality.quality_report(df.limit(0)).count() == 0
 
 
+LINES = {
+    "The design upgrades worked well.": False,
+    "I read more books last year.": False,
+    "The company changed its privacy policy last year.": False,
+    "Il dit «oui» puis «non».": False,
+    "Read more »": True,
+    "Sign up for our newsletter": True,
+    "© 2024 Example Corp. All rights reserved.": True,
+    "Alle Rechte vorbehalten": True,
+    "Lire la suite": True,
+    "Política de privacidad | Aviso legal": True,
+    "शब्द " * 43 + "अंत।": False,
+    "词 " * 43 + "末。": False,
+    "word " * 44: True,
+}
+
+
+def test_line_rules(spark):
+    df = spark.createDataFrame(list(enumerate(LINES)), "i int, line string").select("i", quality.line_fails(F.col("line")).alias("fails"))
+    got = {r["i"]: r["fails"] for r in df.collect()}
+    assert [line for i, line in enumerate(LINES) if got[i] != LINES[line]] == []
+
+
 def test_best_boundaries_pad_least():
     rng = np.random.default_rng(4)
     for _ in range(30):
@@ -184,6 +207,69 @@ def test_token_counts(spark, corpus):
     assert token_counts.token_counts(frame(spark, corpus).limit(0), scores).count() == 0
 
 
+def test_long_words_need_little_memory():
+    rng = np.random.default_rng(19)
+    scores = {"".join(rng.choice(list("ab▁"), size=n)): -float(rng.random()) * n for n in (1, 2, 3, 5) for _ in range(12)}
+    trie = token_counts.ForwardTrie(scores)
+    for n in (token_counts.LONG, token_counts.LONG + 1, 90):
+        word = "▁" + "".join(rng.choice(list("abc"), size=n))
+        assert trie.tokens_of(word) == brute_tokens(word, scores)
+        pieces = trie.pieces_of(word)
+        assert len(pieces) + sum(len(c.encode()) for c in word if c not in scores) >= trie.tokens_of(word) and all(p in scores for p in pieces)
+    trie.clear()
+    trie.tokens_of("▁" + "ab" * 100_000)
+    assert len(trie.best) == 1
+
+
+def brute_uses(word, scores):
+    """Expected uses of pieces over all segmentations of a word."""
+    unknown = min(scores.values()) - 10
+    found = []
+
+    def go(at, used, total):
+        if at == len(word):
+            found.append((used, total))
+        for end in range(at + 1, len(word) + 1):
+            if word[at:end] in scores:
+                go(end, [*used, word[at:end]], total + scores[word[at:end]])
+        if at < len(word) and word[at] not in scores:
+            go(at + 1, used, total + unknown)
+
+    go(0, [], 0.0)
+    norm = sum(math.exp(t) for _, t in found)
+    uses = collections.Counter()
+    for used, t in found:
+        for p in used:
+            uses[p] += math.exp(t) / norm
+    return uses
+
+
+def test_expected_uses():
+    scores = {"▁": -1.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.2, "ba": -4.0, "aba": -5.0, "c": -9.0}
+    table = token_counts.PieceTable(scores)
+    for words_ in (["▁abab", "▁aaba", "▁axbc"], ["▁", "a", "q"], ["▁" + "ab" * 20]):
+        counts = np.arange(1.0, len(words_) + 1)
+        want = collections.Counter()
+        for w, n in zip(words_, counts, strict=True):
+            if len(w) < 12:
+                for p, u in brute_uses(w, scores).items():
+                    want[p] += n * u
+        got = token_counts.expected_uses(table, words_, counts)
+        if want:
+            assert np.allclose(got, [want[p] for p in table.pieces])
+        assert math.isclose(sum(u * len(p) for u, p in zip(got, table.pieces, strict=True)), sum(n * sum(c not in "xq" for c in w) for w, n in zip(words_, counts, strict=True)), rel_tol=1e-9)
+
+
+def test_estimated_scores(spark, corpus):
+    df = frame(spark, corpus)
+    counts = {r["word"]: r["n"] for r in token_counts.word_counts(df).collect()}
+    assert counts == collections.Counter(w for _, t in corpus for w in split(t))
+    initial = {p: -3.0 for p in ["▁", "w", ".", "▁w", *"0123456789", "12", "▁word", "never"]}
+    got = token_counts.estimated_scores(df, initial)
+    assert set(got) == set(initial) and abs(sum(map(math.exp, got.values())) - 1) < 1e-9 and got["▁w"] > got["12"] > got["never"]
+    assert token_counts.estimated_scores(df.limit(0), initial) == initial
+
+
 def test_word_lists_cut_nothing():
     text = "ab cd\n" * 1000 + "é" * 500 + " end"
     assert [w for ws in token_counts.word_lists(text, 64) for w in ws] == text.encode().split()
@@ -229,6 +315,55 @@ def test_mixing(spark):
     assert mixing.mixing_weights(df.limit(0)).count() == 0 and mixing.sample_mixture(df.limit(0), targets).count() == 0
 
 
+def test_raking_under_caps():
+    """With caps the fitted cells are the weights times a factor for each slice, cut at the cap, and meet the margins if the caps allow."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a = rng.random((4, 3))
+        codes = [c.ravel() for c in np.indices(a.shape)]
+        want = [rng.dirichlet(np.ones(4) * 3), rng.dirichlet(np.ones(3) * 3)]
+        free, residual = mixing.rake_cells(a.ravel(), codes, want)
+        assert residual < 1e-9
+        cap = free * rng.uniform(1.0, 2.0, len(free))  # attainable, for free itself is
+        cap[3] = free[3] * 0.97
+        fitted, residual = mixing.rake_cells(a.ravel(), codes, want, cap)
+        assert (fitted <= cap + 1e-12).all() and residual < 1e-3
+        tight = np.full(len(free), 1e-3)
+        fitted, residual = mixing.rake_cells(a.ravel(), codes, want, tight)
+        assert np.allclose(fitted, tight) and residual > 0.01
+    zero = np.array([0.5, 0.0, 0.0, 0.5])  # both margins cannot be met
+    assert mixing.rake_cells(zero, [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.8, 0.2]), np.array([0.2, 0.8])])[1] > 0.1
+
+
+def brute_scale(weight, cap, want):
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.minimum(weight * mid, cap).sum() < want else (lo, mid)
+    return np.minimum(weight * hi, cap).sum()
+
+
+def test_scales_fill_each_slice():
+    rng = np.random.default_rng(5)
+    code = rng.integers(0, 4, 40)
+    weight, cap = rng.random(40) * (rng.random(40) > 0.1), rng.random(40)
+    want = np.array([0.5, 1.0, 3.0, 100.0])
+    scale = mixing._scales(weight, cap, code, want)
+    for s in range(4):
+        mine = code == s
+        assert math.isclose(np.minimum(weight[mine] * scale[s], cap[mine]).sum(), brute_scale(weight[mine], cap[mine], want[s]), rel_tol=1e-6)
+
+
+def test_a_rare_source_does_not_empty_the_mixture(spark):
+    rows = [(i, "w " * 100, "en", f"s{i % 2}") for i in range(2000)] + [(9000, "w " * 3, "en", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mixing_weights(df).toPandas()
+    expected = (out["probability"] * out["n_tokens"]).sum() / out["n_tokens"].sum()
+    assert abs(expected - mixing.BUDGET) < 1e-3 and out[out["source"] == "rare"]["probability"].tolist() == [1.0]
+    assert abs(out["sampled"].mean() - mixing.BUDGET) < 0.05
+    assert mixing.sample_mixture(df).count() == out["sampled"].sum()
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -302,33 +437,96 @@ def test_near_duplicates_of_a_shared_passage_stay(spark):
     assert got == {i: i for i, _ in rows[:-1]} | {1000: 40}
 
 
-def test_near_duplicates_at_the_threshold_and_of_short_texts(spark):
+def edited(rng, w, changed):
+    """``w`` with words replaced, deleted or inserted at so many random places."""
+    b = list(w)
+    for at in sorted(rng.choice(len(w), changed, replace=False), reverse=True):
+        kind = rng.integers(3)
+        b[at : at + (kind < 2)] = [f"x{rng.integers(10**6)}"] if kind != 1 else []
+    return b
+
+
+def found_pairs(spark, pairs):
+    """Share of the pairs (lists of words) of which both texts come out in one class, and whether no two pairs do."""
+    rows = [(2 * i + j, " ".join(w)) for i, p in enumerate(pairs) for j, w in enumerate(p)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(v // 2 == k // 2 for k, v in got.items())
+    return sum(got[2 * i + 1] == 2 * i for i in range(len(pairs))) / len(pairs)
+
+
+def test_recall_at_and_above_the_threshold(spark):
+    """Pairs that an exact comparison links: at edit similarity 0.80, 0.85 and 0.90, with and without a passage that all texts share."""
     rng = np.random.default_rng(33)
-    rows, want = [], {}
-    for i, (n, changed) in enumerate([(300, 60), (60, 12), (20, 4), (11, 2), (10, 2), (10, 1), (8, 1), (5, 1)] * 12):
+    passage = [f"p{i}" for i in range(100)]
+    for similarity, least in ((0.8, 0.9), (0.85, 0.97), (0.9, 0.99)):
+        found = []
+        for n, shared in ((200, True), (300, False), (60, False), (20, False), (10, False)):
+            pairs = []
+            while len(pairs) < 60:
+                a = [f"w{x}" for x in rng.integers(10**6, size=n - 100 * shared)] + passage * shared
+                b = edited(rng, a, round((1 - similarity) * n))
+                if 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.8:
+                    pairs.append((a, b))
+            found += pairs if not shared else []
+            if shared:
+                assert found_pairs(spark, pairs) >= least, (similarity, n)
+        assert found_pairs(spark, found) >= least, similarity
+
+
+def test_short_texts_with_one_word_changed(spark):
+    rng = np.random.default_rng(34)
+    pairs = []
+    for n in (5, 8, 10) * 20:
         a = [f"w{x}" for x in rng.integers(10**6, size=n)]
-        b = list(a)
-        for at in [n // 2] if changed == 1 else rng.choice(n, changed, replace=False):
-            b[at] = f"x{rng.integers(10**6)}"
-        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
-        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+        pairs.append((a, [f"x{rng.integers(10**6)}" if i == n // 2 else v for i, v in enumerate(a)]))
+    assert found_pairs(spark, pairs) >= 0.97
+
 
+def test_copies_of_a_text_that_is_not_the_smallest_id_are_one_class(spark):
+    """Each copy is a link with the original alone; the smallest id, the first hub, is none of it."""
+    rng = np.random.default_rng(35)
+    original = [f"w{x}" for x in rng.integers(10**6, size=120)]
+    rows = [(i, " ".join(edited(rng, original, 16))) for i in range(60)] + [(100, " ".join(original))]
+    got = {r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
 
-def test_all_members_of_a_bucket_are_compared(spark):
-    """One bucket: 0 links with nothing, 1 and 2 with each other, and 9 with 8, which is linked to 1."""
+
+def test_another_hub_joins_the_classes_of_a_bucket(spark):
+    """One bucket: 0 links with nothing, 1, 2 and 8 with each other, and 9 with 8 alone."""
     rng = np.random.default_rng(34)
     text = lambda: [f"w{x}" for x in rng.integers(10**6, size=40)]
     change = lambda w, places: ["x" + v if i in places else v for i, v in enumerate(w)]
     one = text()
     eight = change(one, range(8))
-    words_ = {0: text(), 1: one, 2: change(one, range(30, 34)), 8: eight, 9: change(eight, range(30, 38))} | {i: text() for i in range(20, 60)} | {60: text()}
-    words_[61] = change(words_[60], (3, 20))
-    texts = spark.createDataFrame([(i, [zlib.crc32(v.encode()) >> 1 for v in w]) for i, w in words_.items()], "id long, wh array<int>")
-    shared = texts.select(F.lit(5).cast("long").alias("key"), "id", F.size("wh").alias("n"), F.struct(F.lit(0).cast("long").alias("id"), F.lit(40).alias("n")).alias("hub"))
+    words_ = {0: text(), 1: one, 2: change(one, range(30, 34)), 8: eight, 9: change(eight, range(30, 38))} | {i: text() for i in range(20, 60)}
+    texts = spark.createDataFrame([(i, [zlib.crc32(v.encode()) for v in w]) for i, w in words_.items()], "id long, wh array<long>")
+    shared = texts.select(F.lit(4).cast("long").alias("key"), "id", F.size("wh").alias("n"), F.lit(0).cast("long").alias("hub"))
     got = {r["node"]: r["label"] for r in near_dedup._compared(shared, texts, 0.8).collect()}
-    assert got == {1: 1, 2: 1, 8: 1, 9: 1, 60: 60, 61: 60}
+    assert got == {1: 1, 2: 1, 8: 1, 9: 1}
+
+
+def test_long_texts_are_cut_at_shared_runs():
+    rng = np.random.default_rng(36)
+    a = rng.integers(0, 5000, 30_000)
+    b = np.concatenate([np.r_[a[i : i + 50][:-3], rng.integers(6000, 9000, 5)] for i in range(0, len(a), 50)])  # ten in a hundred
+    moved = np.r_[a[15_000:], a[:15_000]]
+    limit = np.array([6000] * 3)
+    assert near_dedup.within([(a, b), (a, moved), (a, rng.integers(0, 5000, 30_000))], limit).tolist() == [True, False, False]
+    short = [(a[i : i + 400], edited_numbers(rng, a[i : i + 400], int(rng.integers(20, 110)))) for i in range(0, 8000, 400)]
+    limits = np.array([int(0.2 * max(len(x), len(y))) for x, y in short])
+    assert near_dedup.within(short, limits).tolist() == [edit_distance(x.tolist(), y.tolist()) <= n for (x, y), n in zip(short, limits, strict=True)]
+
+
+def edited_numbers(rng, x, changed):
+    y = x.copy()
+    y[rng.choice(len(x), changed, replace=False)] = rng.integers(10_000, 20_000, changed)
+    return y
+
+
+def test_near_duplicates_with_a_clashing_column(spark):
+    df = spark.createDataFrame([(1, "a b c", 5), (2, "a b c", 6), (3, None, 7)], "doc_id long, text string, gone_id long").withColumn("__gone", F.lit(1)).withColumn("GONE_ID_", F.lit(2))
+    left = near_dedup.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3]
 
 
 def test_components(spark):
@@ -420,6 +618,14 @@ def test_license_scan(spark, corpus):
     assert license_scan.license_report(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_license_blocks_of_any_length():
+    label, text = license_scan.TEMPLATES[7]
+    spread = [x for w in license_scan.license_words(text) for x in (w, b"and", b"so", b"on")]
+    one = license_scan.Templates(license_scan.TEMPLATES, {}, 0.8)
+    unbounded = license_scan.Templates(license_scan.TEMPLATES, {}, 0.8, None)
+    assert one.blocks(spread) == [] and [b[0] for b in unbounded.blocks(spread)] == [label]
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(17)
     for _ in range(60):
@@ -461,6 +667,32 @@ def test_only_attributes_of_their_own_name_count(start):
     assert html_extract._element("div", " title='x' HIDDEN", html_extract._Element("", -1.0, 0, False, False), 1).hidden
 
 
+@pytest.mark.parametrize("name", ["article-search", "share-price", "header-image-caption", "searchable", "adrift", "tags-explained", "barley", "menuhin"])
+def test_names_that_only_sound_like_boilerplate_keep_their_text(name):
+    one, two = "The first paragraph of the article has enough words to be kept.", "The second paragraph of the article has enough words as well."
+    assert html_extract.main_text(f'<article><p class="{name}">{one}</p><div class="{name}"><p>{two}</p></div></article>') == f"{one} {two}"
+
+
+#: Pages by hand: mark-up, and what a reader would call the article.
+LABELLED = [
+    ('<nav><a href=/>Home</a></nav><main><h1>Rain</h1><p>It rained all of Monday, and the river rose.</p></main><aside><h3>More</h3><p>Sun on Tuesday, says the paper.</p></aside>', "Rain It rained all of Monday, and the river rose."),
+    ('<div id="header"><a href=/>The Paper</a></div><div class="story-body"><h2>Bread</h2><p>Flour, water and salt make bread.</p><blockquote>Salt last, said the baker.</blockquote></div><div class="share-buttons"><a href=#>Share</a></div><div id="footer">All rights reserved.</div>', "Bread Flour, water and salt make bread. Salt last, said the baker."),
+    ('<article><header><h1>Trains</h1><p>By a traveller who likes them.</p></header><p>The night train left late.</p><table><tr><td>Paris</td><td>22:10</td></tr></table><p>It came early.</p></article><section class="comments"><p>I took that train, and it was late.</p></section>', "Trains By a traveller who likes them. The night train left late. Paris 22:10 It came early."),
+    ('<div class="cookie-consent"><p>We use cookies to count our readers, as you know.</p><button>Accept</button></div><div role="main"><p>A long walk along the coast takes two days.</p><ul><li>Bring water.</li><li>Bring a hat.</li></ul></div><form><p>Leave us your address to hear more.</p><input></form>', "A long walk along the coast takes two days. Bring water. Bring a hat."),
+    ('<div class=page><div class="with-sidebar"><article><p>The <math><mi>x</mi></math> of the sum is two, as <a href=/p>the proof</a> shows.</p><figure><img src=a><figcaption>The proof in a picture.</figcaption></figure></article></div><div class="sidebar"><p>Our best stories of this week, for you.</p></div></div>', "The x of the sum is two, as the proof shows. The proof in a picture."),
+    ('<menu><li>One<li>Two</menu><article><p title="hidden valley">Far up lies a valley <em>few</em> have seen.<p>Its lake is cold.</article><div class="newsletter-signup"><p>Get our letter each Friday, free of charge.</p></div><div class="related-posts"><a href=/q>Another valley</a></div>', "Far up lies a valley few have seen. Its lake is cold."),
+]
+
+
+def test_labelled_pages():
+    """Precision and recall over the words of pages labelled by hand."""
+    right = found = wanted = 0
+    for page, text in LABELLED:
+        got, want = collections.Counter(html_extract.main_text(f"<html><body>{page}</body></html>").split()), collections.Counter(text.split())
+        right, found, wanted = right + (got & want).total(), found + got.total(), wanted + want.total()
+    assert right / found >= 0.95 and right / wanted >= 0.95, (right, found, wanted)
+
+
 def test_text_after_open_options_and_inside_embedded_elements_stays():
     one, two = "The first paragraph of the article has enough words to be kept.", "The second paragraph of the article has enough words as well."
     assert html_extract.main_text(f"<article><p>{one}</p><datalist><option>red<option>green</datalist><p>{two}</p></article>") == f"{one} {two}"
@@ -516,6 +748,28 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), lab).count() == 0
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    """A text scored among others, after empty batches first, is scored as it is alone."""
+    rng = np.random.default_rng(8)
+    texts = [None, "", " ", None, prose(rng, 5), "scummy text " + "q" * 60 + "vile", prose(rng, 90), "", prose(rng, 40), "scummy text " + "q" * 60 + "nice"]
+    model = toxicity.fit([prose(rng, 60) + (" vilest" if i % 2 else "") for i in range(60)], [i % 2 for i in range(60)], 0.5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(df, model).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, text in enumerate(texts):
+        ws = toxicity.tokens(text)
+        distinct = list(dict.fromkeys(ws)) or ["x"]
+        x = toxicity.inputs(model.p, *toxicity.Vocabulary(model.known).rows(distinct))
+        projected = tuple(x @ model.p[f"w{d}"] + model.p[f"c{d}"] for d in "fb")
+        starts = toxicity.window_starts(len(ws))
+        logits = toxicity.window_logits(model.p, projected, np.array([distinct.index(w) for w in ws], dtype=np.int64), starts, np.full(len(starts), len(ws)))
+        assert math.isclose(got[i], model.scores(toxicity.text_features(logits, np.array([0])))[0], abs_tol=1e-5), i
+    assert got[5] != got[9]
+
+
 def test_window_starts_cover():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         s = toxicity.window_starts(n)

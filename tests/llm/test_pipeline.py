@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, and the registry."""
 
 import collections
+import os
 import re
 
 import numpy as np
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from limber.llm.common import own_folder
 from limber.llm.mixing import mixing_weights
+from limber.llm.token_counts import token_counts
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,7 +54,8 @@ def test_stages(spark, sf_dir):
     sampled = mixing_weights(seen[3]).where("sampled").select("doc_id").collect()
     assert ids[4] == sorted(r["doc_id"] for r in sampled) and 0 < len(ids[4]) <= 50
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    lengths = {r["doc_id"]: len(split(r["text"])) for r in docs.collect()}
+    lengths = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs).collect()}
+    assert all(n >= len(split(r["text"])) for r in docs.collect() for n in [lengths[r["doc_id"]]])
     total = collections.Counter()
     for r in packed:
         total[r["doc_id"]] += r["n_tokens"]
@@ -59,7 +63,10 @@ def test_stages(spark, sf_dir):
 
 
 def test_run_and_empty(spark, sf_dir, tmp_path):
+    before = set(os.listdir(own_folder(spark).removeprefix("file:"))) if os.path.isdir(own_folder(spark).removeprefix("file:")) else set()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    left = set(os.listdir(own_folder(spark).removeprefix("file:"))) - before
+    assert len(left) == 1 and left.pop().startswith("packing-")  # nothing else is left behind
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
