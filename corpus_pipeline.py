@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limber.llm import exact_dedup, mixing, near_dedup, packing, quality
-from limber.llm.common import table, written
+from limber.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts
+from limber.llm.common import settled, table, written_so_far
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: spans of all documents in batches of like length."""
-    return packing.pack(packing.token_lengths(docs))
+    """Packing: spans of all documents, measured in tokens, in batches of like length."""
+    return packing.pack(token_counts.token_counts(docs))
 
 
 STAGES = [
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what they wrote on the way is deleted as soon as the next stage is written."""
+    docs, since = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "_"), since)
     return docs
