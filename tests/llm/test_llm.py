@@ -500,7 +500,7 @@ def test_another_hub_joins_the_classes_of_a_bucket(spark):
     eight = change(one, range(8))
     words_ = {0: text(), 1: one, 2: change(one, range(30, 34)), 8: eight, 9: change(eight, range(30, 38))} | {i: text() for i in range(20, 60)}
     texts = spark.createDataFrame([(i, [zlib.crc32(v.encode()) for v in w]) for i, w in words_.items()], "id long, wh array<long>")
-    shared = texts.select(F.lit(4).cast("long").alias("key"), "id", F.size("wh").alias("n"), F.lit(0).cast("long").alias("hub"))
+    shared = texts.select(F.lit(4).cast("long").alias("key"), "id", F.size("wh").alias("n"), F.lit(0).cast("long").alias("hub"), F.lit(40).alias("hub_n"))
     got = {r["node"]: r["label"] for r in near_dedup._compared(shared, texts, 0.8).collect()}
     assert got == {1: 1, 2: 1, 8: 1, 9: 1}
 
