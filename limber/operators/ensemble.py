@@ -78,7 +78,7 @@ def fuse_poses(poses: DataFrame, method: str = "confidence_weighted", image_col:
     mean_visibility = F.try_divide(F.aggregate(visibility, F.lit(0.0), lambda a, x: a + x), F.size("points"))
     return (
         about.where(agreed)
-        .join(points, image_col)
+        .join(points.withColumnRenamed(image_col, "points_of"), F.col(image_col).eqNullSafe(F.col("points_of")))
         .select(
             image_col,
             F.transform("points", lambda p: p["coords"]).alias("keypoints"),

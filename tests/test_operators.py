@@ -1,6 +1,7 @@
 """Rules of the pose operators against plain numpy, and their edge cases."""
 
 import math
+from functools import partial
 
 import numpy as np
 import pytest
@@ -218,6 +219,47 @@ def test_index_round_trip(spark, tmp_path):
     assert not (tmp_path / "index").exists()
 
 
+def test_index_edges(spark):
+    f = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (None, [2.0]), (2, None), (3, [3.0])], "pose_id long, feature_vector array<float>")
+    p = spark.createDataFrame([(1, 7, 0.5, None), (2, 7, None, None), (3, None, 0.1, None), (None, 7, 0.1, None)], "id long, image_id long, overall_confidence double, created_at string")
+    i = spark.createDataFrame([(7, None), (None, "x.jpg")], "id long, file_path string")
+    rows = index.index_rows(f, p, i)
+    assert sorted((r["pose_id"], r["feature_vector"] is None) for r in rows.collect()) == [(1, False), (1, False), (2, True)]
+    assert index.index_stats(rows).head() == (3, 1, 1)
+    assert index.index_stats(rows.limit(0)).head() == (0, None, None) and index.in_build_order(rows.limit(0)).count() == 0
+    assert knn.search_similar(rows, [1.0], 5).count() == 2
+
+
+def test_box_edges(spark):
+    df = spark.createDataFrame([(1, 5, None), (1, 5, 0.9), (None, 1, 0.9), (None, 2, 0.9)], "image int, n int, conf double").withColumn("cls", F.lit(0))
+    numbered = boxes.number_boxes(df, "image", "n").collect()
+    assert sorted((r["image"] or 0, r["box_idx"]) for r in numbered) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert boxes.person_boxes(df.withColumn("cls", F.lit(None).cast("int"))).count() == 0 and boxes.number_boxes(df.limit(0), "image", "n").count() == 0
+    poses = spark.createDataFrame([([[1.0]], [1.0, 2.0], 1, 1, None), (None, None, 1, 1, 2), ([], [1.0, 2.0, 3.0, 4.0], None, 1, 2)], "keypoints array<array<double>>, bbox array<double>, x_offset int, y_offset int, box_idx int")
+    whole = boxes.map_back(poses.where("box_idx = 2")).orderBy(F.col("bbox").isNull()).collect()
+    assert whole[0]["keypoints"] == [] and whole[0]["bbox"] == [None, 3.0, 3.0, 4.0] and whole[1]["keypoints"] is None and whole[1]["bbox"] is None
+
+
+def test_detectors_on_repeated_and_missing_images(spark):
+    grey = bytes([200]) * 27
+    df = spark.createDataFrame([("a", 3, 3, 3, grey), ("a", 3, 3, 3, grey), (None, 3, 3, 3, grey), ("dark", 3, 3, 3, bytes(27))], IMAGES).withColumn("note", F.lit("n"))
+    some = partial(detect.brightness_detector, 0.5)
+    got = detect.detect(df, some, carry=("note",)).collect()
+    assert sorted(str(r["path"]) for r in got) == ["None", "a", "a"] and {r["note"] for r in got} == {"n"} and all(r["elapsed_s"] >= 0 for r in got)
+    fused = detect.detect(df, some, models=[some, detect.brightness_detector], carry=("note",)).collect()
+    assert sorted(str(r["path"]) for r in fused) == ["None", "a", "dark"] and all(r["note"] == "n" for r in fused)
+    assert detect.detect(df.limit(0), some, persons=detect.thirds_detector).count() == 0
+    assert detect.detect_persons(df, detect.thirds_detector).where("path = 'dark'").count() == 3
+
+
+def test_padded_box_agrees_with_the_columns(spark):
+    rng = np.random.default_rng(4)
+    cases = [tuple(map(float, c)) for c in rng.uniform(-50, 600, (40, 4))] + [(float("nan"), 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame([(i, *c, 480, 320) for i, c in enumerate(cases)], "i int, x1 double, y1 double, x2 double, y2 double, w int, h int")
+    got = df.select("i", *boxes.crop_bounds(*map(F.col, ("x1", "y1", "x2", "y2", "w", "h")))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [detect.padded_box(dict(zip(("x1", "y1", "x2", "y2"), c, strict=True)), 480, 320) for c in cases]
+
+
 def test_pixels():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 256, (40, 60, 3), dtype=np.uint8)
