@@ -447,30 +447,31 @@ def edited(rng, w, changed):
 
 
 def found_pairs(spark, pairs):
-    """Share of the pairs (lists of words) of which both texts come out in one class, and whether no two pairs do."""
+    """For each pair (lists of words) whether both texts come out in one class; no two pairs may."""
     rows = [(2 * i + j, " ".join(w)) for i, p in enumerate(pairs) for j, w in enumerate(p)]
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(v // 2 == k // 2 for k, v in got.items())
-    return sum(got[2 * i + 1] == 2 * i for i in range(len(pairs))) / len(pairs)
+    return [got[2 * i + 1] == 2 * i for i in range(len(pairs))]
 
 
 def test_recall_at_and_above_the_threshold(spark):
     """Pairs that an exact comparison links: at edit similarity 0.80, 0.85 and 0.90, with and without a passage that all texts share."""
     rng = np.random.default_rng(33)
     passage = [f"p{i}" for i in range(100)]
-    for similarity, least in ((0.8, 0.9), (0.85, 0.97), (0.9, 0.99)):
-        found = []
-        for n, shared in ((200, True), (300, False), (60, False), (20, False), (10, False)):
-            pairs = []
-            while len(pairs) < 60:
-                a = [f"w{x}" for x in rng.integers(10**6, size=n - 100 * shared)] + passage * shared
-                b = edited(rng, a, round((1 - similarity) * n))
-                if 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.8:
-                    pairs.append((a, b))
-            found += pairs if not shared else []
-            if shared:
-                assert found_pairs(spark, pairs) >= least, (similarity, n)
-        assert found_pairs(spark, found) >= least, similarity
+    least = {0.8: 0.9, 0.85: 0.97, 0.9: 0.99}
+    for sizes, shared in (((200,), passage), ((300, 60, 20, 10), [])):
+        pairs, kinds = [], []
+        for similarity, n, _ in itertools.product(least, sizes, range(60)):
+            a = [f"w{x}" for x in rng.integers(10**6, size=n - len(shared))] + shared
+            b = edited(rng, a, round((1 - similarity) * n))
+            if 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.8:
+                pairs.append((a, b))
+                kinds.append(similarity)
+        found = collections.defaultdict(list)
+        for similarity, hit in zip(kinds, found_pairs(spark, pairs), strict=True):
+            found[similarity].append(hit)
+        for similarity, hits in found.items():
+            assert len(hits) >= 40 * len(sizes) * (similarity > 0.8) + 20 and sum(hits) / len(hits) >= least[similarity], (similarity, sizes)
 
 
 def test_short_texts_with_one_word_changed(spark):
@@ -479,7 +480,7 @@ def test_short_texts_with_one_word_changed(spark):
     for n in (5, 8, 10) * 20:
         a = [f"w{x}" for x in rng.integers(10**6, size=n)]
         pairs.append((a, [f"x{rng.integers(10**6)}" if i == n // 2 else v for i, v in enumerate(a)]))
-    assert found_pairs(spark, pairs) >= 0.97
+    assert sum(found_pairs(spark, pairs)) >= 0.97 * len(pairs)
 
 
 def test_copies_of_a_text_that_is_not_the_smallest_id_are_one_class(spark):
