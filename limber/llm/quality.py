@@ -56,22 +56,25 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is to be removed; lines without a word never are."""
-    n = F.regexp_count(line, F.lit(SPACE.replace("[", "[^", 1) + "+"))
+#: What a line without has neither bars, noise nor shouts; most lines need no closer look.
+SUSPICIOUS = "[|•»]|[#*$%&]{2}|!{2}"
+
+
+def words_in(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(SPACE.replace("[", "[^", 1) + "+"))
+
+
+def line_fails(line: Column, n: Column | None = None) -> Column:
+    """Whether a line (of ``n`` words) is to be removed; lines without a word never are."""
+    n = words_in(line) if n is None else n
     bars = F.regexp_count(line, F.lit("[|•]")) + F.when(F.contains(line, F.lit("«")), 0).otherwise(F.regexp_count(line, F.lit("»")))
     noise = F.regexp_count(line, F.lit("[#*$%&]{2,}"))
     shouts = F.regexp_count(line, F.lit("!{2,}"))
     low = F.lower(line)
     found = F.concat(F.regexp_extract_all(low, F.lit(FURNITURE), 1), F.regexp_extract_all(low, F.lit(CALL), 1))
     furniture = low.rlike(f"{FURNITURE}|{CALL}") & (5 * F.regexp_count(F.array_join(found, " "), F.lit("[^ ]+")) > 2 * n)
-    return (
-        ((bars >= 2) & (bars * 5 >= n))
-        | ((noise >= 1) & (noise * 10 >= n * 3))
-        | ((shouts >= 1) & (shouts * 10 >= n * 3))
-        | ((n >= 1) & (n <= 12) & furniture)
-        | ((n >= 40) & ~line.rlike(SENTENCE_MARKS))
-    )
+    marked = ((bars >= 2) & (bars * 5 >= n)) | ((noise >= 1) & (noise * 10 >= n * 3)) | ((shouts >= 1) & (shouts * 10 >= n * 3))
+    return (line.rlike(SUSPICIOUS) & marked) | ((n >= 1) & (n <= 12) & furniture) | ((n >= 40) & ~line.rlike(SENTENCE_MARKS))
 
 
 def _repeat_words(sorted_windows: Column) -> Column:
@@ -87,12 +90,12 @@ def _repeat_words(sorted_windows: Column) -> Column:
 def _measured(df: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
     """``keep`` with the measures of each text. Each select feeds columns used more than once, so none is computed twice."""
     chars = lambda t: F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long")
-    split = df.select(*keep, text_of(text_col).alias("t")).select("*", words(F.col("t")).alias("w"), F.split("t", "\n").alias("lines"))
+    split = df.select(*keep, text_of(text_col).alias("t")).select("*", words(F.col("t")).alias("w"), F.transform(F.split("t", "\n"), lambda x: F.struct(x.alias("x"), words_in(x).alias("n"))).alias("lines"))
     n = F.size("w")
     starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     w = F.col("w")
     windows = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("p")))
-    worded = F.filter("lines", lambda x: x.rlike(SPACE.replace("[", "[^", 1)))
+    lines = lambda test: F.transform(F.filter("lines", test), lambda y: y["x"])  # noqa: E731  words are counted once a line
     counted = split.select(
         *split.columns[: len(keep)],
         "t",
@@ -100,8 +103,8 @@ def _measured(df: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.sort_array(windows).alias("windows"),
-        worded.alias("worded"),
-        F.filter("lines", lambda x: ~line_fails(x)).alias("good"),
+        lines(lambda y: y["n"] > 0).alias("worded"),
+        lines(lambda y: ~line_fails(y["x"], y["n"])).alias("good"),
     )
     return counted.select(
         *split.columns[: len(keep)],
