@@ -47,6 +47,8 @@ MAX_NODES = 1_000_000
 LONG = 48
 #: Rounds of the estimate, and the uses that every piece has besides those found.
 ROUNDS, PRIOR = 2, 0.1
+#: Words of one length whose segmentations are weighed at once.
+AT_ONCE = 4096
 #: Distinct words that a task counts before it hands them on.
 MAX_COUNTED = 500_000
 
@@ -154,30 +156,34 @@ class ForwardTrie:
 
 
 class PieceTable:
-    """Pieces by the 64-bit hash of their letters, with their probabilities."""
+    """Pieces and their prefixes by the 64-bit hash of their letters, with the pieces' probabilities."""
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.pieces = list(scores)
         self.longest = max(map(len, self.pieces), default=1)
-        hashes = np.zeros(len(self.pieces), dtype=np.uint64)
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(self.pieces):
             by_length.setdefault(len(p), []).append(i)
+        hashes, numbers = [], []
         for n, at in by_length.items():
             letters = np.array([list(map(ord, self.pieces[i])) for i in at], dtype=np.uint64)
             h = np.zeros(len(at), dtype=np.uint64)
             for j in range(n):
                 h = _next(h, letters[:, j])
-            hashes[at] = h
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
+                hashes.append(h)
+                numbers.append(np.array(at) if j == n - 1 else np.full(len(at), -1))
+        every, number = np.concatenate(hashes), np.concatenate(numbers)
+        order = np.lexsort((-number, every))  # of a prefix that is a piece too, the piece
+        first = np.r_[True, every[order][1:] != every[order][:-1]]
+        self.hashes, self.numbers = every[order][first], number[order][first]
         self.probability = np.exp(np.fromiter(scores.values(), dtype=np.float64, count=len(scores)))
         self.unknown = math.exp(min(scores.values(), default=0.0) - 10.0)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The numbers of the pieces with these hashes, -1 where there is none."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are those of a piece's prefix, and the numbers of the pieces, -1 where there is none."""
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.order[at], -1)
+        known = self.hashes[at] == h
+        return known, np.where(known, self.numbers[at], -1)
 
 
 def _next(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
@@ -191,12 +197,16 @@ def expected_uses(table: PieceTable, words: list[str], counts: np.ndarray) -> np
     letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).astype(np.uint64)
     found: dict[tuple[int, int], np.ndarray] = {}
     for start in range(length):
-        h = np.zeros(n, dtype=np.uint64)
+        h, alive = np.zeros(n, dtype=np.uint64), np.arange(n)
         for end in range(start + 1, min(length, start + table.longest) + 1):
-            h = _next(h, letters[:, end - 1])
-            piece = table.find(h)
-            if (piece >= 0).any():
-                found[start, end] = piece
+            h = _next(h, letters[alive, end - 1])
+            known, number = table.find(h)
+            if (number >= 0).any():
+                found[start, end] = np.full(n, -1)
+                found[start, end][alive] = number
+            h, alive = h[known], alive[known]  # no piece goes on where none has this prefix
+            if not len(alive):
+                break
     chance = lambda start, end: np.where(found[start, end] >= 0, table.probability[found[start, end]], 0.0)
     unknown = [np.where(found[i, i + 1] >= 0, 0.0, table.unknown) if (i, i + 1) in found else np.full(n, table.unknown) for i in range(length)]
     # Scaled at each place, so that no product of many small numbers is lost.
@@ -261,23 +271,24 @@ def estimated_scores(df: DataFrame, initial: dict[str, float], text_col: str = "
             total = np.zeros(len(pieces.pieces))
             long: ForwardTrie | None = None
             place: dict[str, int] = {}
+            waiting: dict[int, tuple[list[str], list[float]]] = {}  # words by length, until there are enough to be taken at once
             for batch in batches:
-                by_length: dict[int, list[int]] = {}
-                words = [WORD_START + w for w in batch["word"]]
-                for i, w in enumerate(words):
-                    by_length.setdefault(len(w), []).append(i)
-                n = batch["n"].to_numpy(dtype=np.float64)
-                for length, at in by_length.items():
-                    if length > LONG:
+                for w, n in zip(batch["word"].tolist(), batch["n"].tolist(), strict=True):
+                    w = WORD_START + w
+                    if len(w) > LONG:
                         long = long or ForwardTrie(table.value)
                         place = place or {p: i for i, p in enumerate(pieces.pieces)}
-                        for i in at:
-                            for p in long.pieces_of(words[i]):
-                                total[place[p]] += n[i]
-                    else:
-                        for lo in range(0, len(at), 4096):
-                            part = at[lo : lo + 4096]
-                            total += expected_uses(pieces, [words[i] for i in part], n[part])
+                        for p in long.pieces_of(w):
+                            total[place[p]] += n
+                        continue
+                    words, counts = waiting.setdefault(len(w), ([], []))
+                    words.append(w)
+                    counts.append(n)
+                    if len(words) == AT_ONCE:
+                        total += expected_uses(pieces, words, np.array(counts, dtype=np.float64))
+                        del waiting[len(w)]
+            for words, counts in waiting.values():
+                total += expected_uses(pieces, words, np.array(counts, dtype=np.float64))
             some = np.flatnonzero(total)
             if len(some):
                 yield pd.DataFrame({"piece": [pieces.pieces[i] for i in some], "uses": total[some]})
