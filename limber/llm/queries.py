@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limber.llm import exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from limber.llm import exact_dedup, filter_audit, html_extract, license_scan, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity, vector_codes, warc
 from limber.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 ALL = (
     op1_exact_dedup,
     op2_quality_rules,
@@ -62,6 +74,9 @@ ALL = (
     op8_html_extraction,
     op9_substring_dedup,
     op10_license_scan,
+    op11_warc,
+    op12_filter_audit,
+    op13_vector_codes,
 )
 
 
@@ -164,5 +179,72 @@ FROM p LEFT JOIN blocks USING (r)
 """
 
 
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p),
+m AS (SELECT *, payload_bytes >= {warc.LEAST_REVISIT} AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM f)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM m
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN k USING (doc_id)
+),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+s AS (SELECT filter_order, step, filter_order[step] AS letter, left(filter_order, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+h AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails, contains(fails, letter) AS hit,
+    len(list_filter(range(1, step), lambda i: contains(fails, earlier[i]))) > 0 AS gone
+  FROM c, s
+),
+r AS (
+  SELECT part, filter_order, step, letter, sum(CASE WHEN hit OR gone THEN 0 ELSE n END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM h GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM r
+"""
+
+
+def _op13_sql() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    assigned = lambda i: f"""a{i} AS (
+  SELECT x.r, x.p, arg_min(e, d * {2 * entries} + e) AS e, min(d) AS d FROM (
+    SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{i} b ON b.p = x.p) x GROUP BY x.r, x.p
+)"""
+    moved = lambda i: f"""m{i} AS (
+  SELECT p, e, list(floor(s / n)::BIGINT ORDER BY j) AS x FROM (
+    SELECT p, e, j, sum(c)::DOUBLE AS s, count(*) AS n FROM (SELECT a.p, a.e, unnest(x.x) AS c, unnest(range(0, len(x.x))) AS j FROM a{i} a JOIN x ON x.r = a.r AND x.p = a.p) GROUP BY p, e, j
+  ) GROUP BY p, e
+), b{i + 1} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.e = b.e)"""
+    rounds = ", ".join(f"{assigned(i)}, {moved(i)}" for i in range(vector_codes.ROUNDS))
+    last = vector_codes.ROUNDS
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: floor({vector_codes.SCALE} * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), x AS (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM (SELECT r, v, unnest(range(0, {parts})) AS p FROM k)),
+b0 AS (SELECT p, r - 1 AS e, x FROM x WHERE r <= {entries}),
+{rounds}, {assigned(last)},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last}),
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_license_scan": _op10_sql()}
+    return {
+        "op1_exact_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_license_scan": _op10_sql(), "op11_warc": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_vector_codes": _op13_sql(),
+    }
