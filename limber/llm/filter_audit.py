@@ -20,7 +20,7 @@ a text that a third of all rows share is spread over the tasks.
 
 Edge cases: null text counts as empty (it fails A only, or E: 0 of 0 words are
 not under half); a null part is the empty string; a null id is neither smaller
-nor larger than any, so its row never fails E; rows of one id and one text do
+nor larger than any and has no label, so its row never fails E; rows of one id and one text do
 not fail E for each other; an id that is labelled twice counts as good or toxic
 if any of its labels is 1; rows without a label are neither; empty documents
 give no rows; other columns are ignored. A text is held as an array of its

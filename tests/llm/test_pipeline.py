@@ -73,6 +73,6 @@ def test_run_and_empty(spark, sf_dir, tmp_path):
 
 def test_registry():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} == {f"op{i}_" for i in range(1, 11)}
+    assert "pipeline" in names and {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} == {f"op{i}_" for i in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "mixing", "packing"]
