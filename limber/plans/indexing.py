@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limber.functions.vectors import fuse
-from limber.operators import bench, detect, index, knn
+from limber.operators import bench, detect, features, index, knn
 from limber.sources import images, store
 
 #: From detections (path, the pose's fields) joined with their images to the same with a vector column added.
@@ -17,36 +16,54 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 def detected(
-    spark: SparkSession, directory: str, poses: detect.Factory, *, recursive: bool = False, glob: str | None = None, preprocess: bool = False, with_denoise: bool = True, target_size: tuple[int, int] | None = None, **how
+    spark: SparkSession, directory: str, poses: detect.Factory, *, recursive: bool = False, glob: str | None = None, preprocess: bool = False, with_denoise: bool = True, target_size: tuple[int, int] | None = None, texture: bool = False, **how
 ) -> DataFrame:
-    """Poses of all images of a directory, with the images' own image_width and image_height.
+    """Poses of all images of a directory, with the images' own image_width and image_height and, if asked for, their texture (column visual).
 
-    Each image is read, enhanced, resized and searched in one map. Coordinates
-    are those of the image as read: where it was made larger or smaller for the
-    detector, they are scaled back.
+    Each image is read, described, enhanced, resized and searched in maps of one
+    stage. Coordinates are those of the image as read: where it was made larger
+    or smaller for the detector, they are scaled back.
     """
     scanned = images.scan_images(spark, directory, recursive, glob).withColumns({"image_width": F.col("width"), "image_height": F.col("height")})
+    return detected_in(scanned, poses, preprocess=preprocess, with_denoise=with_denoise, target_size=target_size, texture=texture, **how)
+
+
+def detected_in(scanned: DataFrame, poses: detect.Factory, *, preprocess: bool = False, with_denoise: bool = True, target_size: tuple[int, int] | None = None, texture: bool = False, **how) -> DataFrame:
+    """:func:`detected`, of images (with image_width and image_height) at hand."""
+    seen = ("image_width", "image_height", *(["visual"] if texture else []))
+    if texture:
+        scanned = features.visual_features(scanned, tuple(scanned.columns))
     if preprocess:
         ready = images.preprocess_images(scanned, with_denoise, target_size)
     elif target_size:
         ready = images.normalize_images(scanned, target_size, convert_to_rgb=False)  # detectors turn BGR into RGB
     else:
-        return detect.detect(scanned, poses, carry=("image_width", "image_height"), **how)
-    found = detect.detect(ready, poses, carry=("image_width", "image_height", "scale_x", "scale_y"), **how)
+        return detect.detect(scanned, poses, carry=seen, **how)
+    found = detect.detect(ready, poses, carry=(*seen, "scale_x", "scale_y"), **how)
     x, y = F.col("scale_x"), F.col("scale_y")
     by_place = lambda v: F.transform(v, lambda c, i: F.when(i % 2 == 0, c / x).otherwise(c / y))
     point = lambda p: F.transform(p, lambda c, i: F.when(i == 0, c / x).when(i == 1, c / y).otherwise(c))
     return found.withColumns({"keypoints": F.transform("keypoints", point), "bbox": by_place("bbox")}).drop("scale_x", "scale_y")
 
 
-def index_directory(spark: SparkSession, directory: str, root: str, poses: detect.Factory, geometric: Extractor, visual: Extractor | None = None, **how) -> DataFrame:
-    """Detect, extract, fuse and store; one row: poses_indexed, those that were not stored before. ``geometric`` adds a column geometric, ``visual`` a column visual."""
-    found = geometric(detected(spark, directory, poses, **how))
-    found = visual(found) if visual else found.withColumn("visual", F.lit(None).cast("array<double>"))
-    rows = found.select(
-        F.col("path").alias("image_path"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), "person_id", "keypoints", "visibility", "bbox", "overall_confidence",
-        F.current_timestamp().alias("created_at"), "geometric", "visual", fuse(F.col("geometric"), F.col("visual")).alias("fused"),
+def described(spark: SparkSession, directory: str, poses: detect.Factory, geometric: Extractor = features.geometric_features, visual: Extractor | None = None, texture: bool = True, **how) -> DataFrame:
+    """Poses of a directory as the store takes them, with geometric, visual and fused vectors: what is indexed, and what is asked for.
+
+    Without ``visual`` the vector of the image's own texture is taken, or, with ``texture`` off, none.
+    """
+    own = texture and visual is None
+    found = geometric(detected(spark, directory, poses, texture=own, **how))
+    if not own:
+        found = visual(found) if visual else found.withColumn("visual", F.lit(None).cast("array<double>"))
+    return features.fused_features(found).select(
+        F.col("path").alias("image_path"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), "det_idx", "person_id", "keypoints", "visibility", "bbox", "overall_confidence",
+        F.current_timestamp().alias("created_at"), "geometric", "visual", "fused",
     )
+
+
+def index_directory(spark: SparkSession, directory: str, root: str, poses: detect.Factory, geometric: Extractor = features.geometric_features, visual: Extractor | None = None, texture: bool = True, **how) -> DataFrame:
+    """Detect, extract, fuse and store; one row: poses_indexed, those that were not stored before. Extractors other than the library's add a column geometric or visual."""
+    rows = described(spark, directory, poses, geometric, visual, texture, **how)
     return store.store_detections(rows, root).agg(F.count(F.lit(1)).alias("poses_indexed"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from limber.functions import vectors
 from limber.operators import bench, boxes, detect, ensemble, index, knn
+from limber.operators import features as feats
 from limber.plans import indexing
 from limber.session import shared_dir
 from limber.sources import images as imgs
@@ -262,8 +263,34 @@ def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.benchmark_report(bench.bench_summary(runs, "variant"), "click")
 
 
+def geometric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 52 numbers of each pose, a row each; keypoints of little visibility are left out."""
+    f = features(spark, sf_dir)
+    seen = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.abs(F.get("feature_vector", i * 2 + 1).cast("double")) * 5)
+    poses = f.select("pose_id", _points("feature_vector").alias("keypoints"), seen.alias("visibility"))
+    found = feats.geometric_features(poses).select("pose_id", F.posexplode("geometric").alias("place", "value"))
+    return found.select("pose_id", F.col("place").cast("long").alias("place"), F.round("value", 8).alias("value"))
+
+
+def texture_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of 8 x 8 pixels for each vector: its numbers as blue, and moved on by 5 and 10 places as green and red."""
+    v = lambda k, c: F.get("embedding", (k + 5 * c) % 64).cast("double")
+    byte = lambda k, c: F.lpad(F.hex(F.least(F.greatest(F.floor(128 + 400 * v(k, c)), F.lit(0)), F.lit(255))), 2, "0")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.concat(*[byte(k, c) for c in range(3)]))
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("vector/"), F.col("vec_id").cast("string")).alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("n_channels"), F.unhex(F.array_join(pixels, "")).alias("data")
+    )
+
+
+def visual_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not 0 of each image's 576 numbers."""
+    found = feats.visual_features(texture_images(spark, sf_dir)).select("path", F.posexplode("visual").alias("place", "value"))
+    return found.select("path", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value")).where("value <> 0")
+
+
 def queries() -> dict[str, Query]:
     plain = (
+        geometric_features, visual_features,
         knn_report, index_swap, ensemble_partial, detect_plain, detect_two_stage, detect_ensemble, detect_persons, normalize_image, image_metadata, store_counts, bench_report,
         knn_batch, index_build, index_stats, table_counts, l2_normalize, fuse_features, box_filter, crop_bounds, map_back, upsample_dims, bench_summary, slowdown_ratio,
     )
@@ -304,11 +331,48 @@ def _pose_sql(method: str) -> str:
     SELECT image_id, any_value(person_id)::INT AS person_id, round(any_value(b), 9) AS bbox_0, round({overall}, 8) AS overall_confidence, count(*) AS n_keypoints FROM a GROUP BY image_id"""
 
 
+def _geometric_sql() -> str:
+    p = lambda i: f"x[{i + 1}] AS x{i}, y[{i + 1}] AS y{i}"
+    middle = lambda a, b, c: f"coalesce(({c}{a} + {c}{b}) / 2, {c}{a}, {c}{b})"
+    length = lambda a, b: f"sqrt((x{a} - x{b}) ** 2 + (y{a} - y{b}) ** 2)"
+    numbers = [n for i in range(17) for n in (f"(x{i} - hx) / u", f"(y{i} - hy) / u")]
+    for a, b, c in ((5, 7, 9), (6, 8, 10), (7, 5, 11), (8, 6, 12), (5, 11, 13), (6, 12, 14), (11, 13, 15), (12, 14, 16)):
+        dot = f"(x{a} - x{b}) * (x{c} - x{b}) + (y{a} - y{b}) * (y{c} - y{b})"
+        numbers.append(f"acos(CASE WHEN {length(a, b)} * {length(c, b)} > 0 THEN greatest(-1::DOUBLE, least(1::DOUBLE, ({dot}) / ({length(a, b)} * {length(c, b)}))) END) / pi()")
+    numbers += [f"{length(a, b)} / u" for a, b in ((5, 7), (6, 8), (7, 9), (8, 10), (11, 13), (12, 14), (13, 15), (14, 16), (5, 6), (11, 12))]
+    return f"""WITH {_FEATURES}, s AS (SELECT pose_id, list_transform(range(0, 17), lambda i: CASE WHEN abs(v[2 * i + 2]) * 5 >= 0.3::DOUBLE THEN v[2 * i + 1] END) AS x, list_transform(range(0, 17), lambda i: CASE WHEN abs(v[2 * i + 2]) * 5 >= 0.3::DOUBLE THEN v[2 * i + 2] END) AS y FROM f),
+      p AS (SELECT pose_id, {', '.join(map(p, range(17)))} FROM s), h AS (SELECT *, {middle(11, 12, 'x')} AS hx, {middle(11, 12, 'y')} AS hy, {middle(5, 6, 'x')} AS sx, {middle(5, 6, 'y')} AS sy FROM p),
+      u AS (SELECT *, sqrt((sx - hx) ** 2 + (sy - hy) ** 2) AS u FROM h), g AS (SELECT pose_id, [{', '.join(f'coalesce({n}, 0)' for n in numbers)}] AS g FROM u WHERE u > 0)
+    SELECT pose_id, unnest(range(0, 52)) AS place, round(unnest(g), 8) AS value FROM g"""
+
+
+_PIXEL = "least(255, greatest(0, floor(128 + 400 * v[({k} + 5 * {c}) % 64 + 1])))"
+
+
+def _visual_sql() -> str:
+    grey = " + ".join(f"{w} * {_PIXEL.format(k='k', c=c)}" for c, w in enumerate(("0.114::DOUBLE", "0.587::DOUBLE", "0.299::DOUBLE")))
+    return f"""WITH {_FEATURES}, p AS (SELECT pose_id, k // 8 AS r, k % 8 AS c, {grey} AS g FROM (SELECT pose_id, v, unnest(range(0, 64)) AS k FROM f)),
+      d AS (SELECT p.pose_id, p.r, p.c, (e.g - w.g) / 2 AS gx, (s.g - n.g) / 2 AS gy FROM p
+        JOIN p e ON e.pose_id = p.pose_id AND e.r = p.r AND e.c = least(p.c + 1, 7) JOIN p w ON w.pose_id = p.pose_id AND w.r = p.r AND w.c = greatest(p.c - 1, 0)
+        JOIN p s ON s.pose_id = p.pose_id AND s.c = p.c AND s.r = least(p.r + 1, 7) JOIN p n ON n.pose_id = p.pose_id AND n.c = p.c AND n.r = greatest(p.r - 1, 0)),
+      a AS (SELECT *, sqrt(gx * gx + gy * gy) AS m, (atan2(gy, gx) + CASE WHEN atan2(gy, gx) < 0 THEN pi() ELSE 0 END) AS t FROM d),
+      b AS (SELECT *, (CASE WHEN t >= pi() THEN 0 ELSE t END) * 9 / pi() - 0.5::DOUBLE AS z FROM a),
+      o AS (SELECT pose_id, r, c, m, [floor(z)::INT, floor(z)::INT + 1] AS bins, [m * (1 - (z - floor(z))), m * (z - floor(z))] AS shares FROM b),
+      h AS (SELECT pose_id, r, c, ((bin + 9) % 9) AS bin, sum(share) AS x FROM (SELECT pose_id, r, c, unnest(bins) AS bin, unnest(shares) AS share FROM o) GROUP BY ALL),
+      e AS (SELECT pose_id, r, c, sum(x * x) AS x FROM h GROUP BY ALL),
+      k AS (SELECT y.pose_id, y.r, y.c, sqrt(sum(e.x) + 1e-6::DOUBLE) AS length FROM (SELECT DISTINCT pose_id, r, c FROM e WHERE r < 7 AND c < 7) y JOIN e ON e.pose_id = y.pose_id AND e.r BETWEEN y.r AND y.r + 1 AND e.c BETWEEN y.c AND y.c + 1 GROUP BY ALL),
+      q AS (SELECT h.pose_id, h.r, h.c, h.bin, avg(least(h.x / k.length, 0.2::DOUBLE)) AS x FROM h JOIN k ON k.pose_id = h.pose_id AND h.r BETWEEN k.r AND k.r + 1 AND h.c BETWEEN k.c AND k.c + 1 GROUP BY ALL),
+      l AS (SELECT pose_id, sqrt(sum(x * x)) AS l FROM q GROUP BY pose_id)
+    SELECT 'vector/' || pose_id AS path, (r * 8 + c) * 9 + bin AS place, round((x / l)::FLOAT::DOUBLE, 5) AS value FROM q JOIN l USING (pose_id) WHERE l > 0 AND round((x / l)::FLOAT::DOUBLE, 5) <> 0"""
+
+
 _FLAT = "p AS (SELECT p_partkey, 'part/' || p_partkey AS path, (8 + p_partkey % 9)::INT AS w, (6 + p_size % 7)::INT AS h, (p_partkey % 256) / 255 AS light FROM part)"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "geometric_features": _geometric_sql(),
+        "visual_features": _visual_sql(),
         "knn_l2_inverse": _knn_sql("list_distance(v, qv)", "ASC", "1 / (1 + score / 2)"),
         "knn_l2_exponential": _knn_sql("list_distance(v, qv)", "ASC", "exp(-score / 2)"),
         "knn_report": f"""WITH {_FEATURES}, q AS (SELECT v AS qv FROM f WHERE pose_id = 7), s AS (SELECT pose_id, list_cosine_similarity(v, qv) AS score FROM f, q)

@@ -211,10 +211,28 @@ def test_index_round_trip(spark, tmp_path):
     path = str(tmp_path / "index")
     assert index.index_stats(index.build_index(rows, path)).head() == (2, 2, 2)
     assert index.build_index(rows.limit(0), path).count() == 2
+    reader = index.read_index(spark, path)
     assert index.build_index(rows.limit(1), path, force_rebuild=True).count() == 1
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    append_features(stream, str(tmp_path / "copy"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "copy")).count() == 1
+    assert reader.count() == 2  # what was read goes on being one whole version
+    assert index.build_index(reader.unionByName(rows), path, force_rebuild=True).count() == 4  # also of itself
+    assert sorted(index.read_index(spark, path, v).count() for v in (0, 1, 2)) == [1, 2, 4]
+    with pytest.raises(ValueError):
+        index.build_index(rows.unionByName(rows.withColumn("feature_vector", F.array(F.lit(1.0).cast("float")))), path, force_rebuild=True)
+    assert index.read_index(spark, path).count() == 4
+    assert len(index.clear_old_versions(spark, path)) == 2 and index.read_index(spark, path).count() == 4
+    with pytest.raises(FileNotFoundError):
+        index.read_index(spark, str(tmp_path / "none"))
+    rows.write.parquet(str(tmp_path / "arrivals"))
+    copy, ck = str(tmp_path / "copy"), str(tmp_path / "ck")
+    for _ in range(2):
+        append_features(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "arrivals")), copy, ck).awaitTermination()
+        assert index.read_index(spark, copy).count() == 2
+    assert index.append_index(rows, copy, (ck, 0)).count() == 2  # that batch is there
+    rows.limit(1).write.mode("append").parquet(str(tmp_path / "arrivals"))
+    append_features(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "arrivals")), copy, ck).awaitTermination()
+    assert index.read_index(spark, copy).count() == 3
+    with pytest.raises(ValueError):
+        index.append_index(rows.withColumn("feature_vector", F.array(F.lit(1.0).cast("float"))), copy)
     index.clear_index(spark, path)
     assert not (tmp_path / "index").exists()
 
@@ -321,19 +339,3 @@ def test_image_scan(spark, tmp_path):
     assert imgs.image_metadata(imgs.scan_images(spark, str(tmp_path))).head()["width"] == 8
 
 
-def test_store(spark, tmp_path):
-    schema = "image_path string, width int, height int, person_id int, keypoints array<array<double>>, visibility array<double>, bbox array<double>, overall_confidence double, created_at timestamp, geometric array<double>, visual array<double>, fused array<double>"
-    df = spark.createDataFrame([("a.jpg", 4, 5, i, [[1.0, float(i)]], [1.0], [0.0] * 4, 0.5, None, [1.0], None if i else [2.0], [1.0, 2.0]) for i in range(2)], schema)
-    root = str(tmp_path)
-    assert store.read_table(spark, root, "images").count() == 0
-    assert store.store_detections(df, root).count() == 2
-    assert store.store_detections(df, root).count() == 0  # nothing new
-    counts = {t: store.read_table(spark, root, t).count() for t in store.TABLES}
-    assert counts == {"images": 1, "pose_detections": 2, "geometric_features": 2, "visual_features": 1, "fused_features": 2}
-    more = df.withColumn("image_path", F.lit("b.jpg")).unionByName(df)
-    more = more.unionByName(more.where("image_path = 'b.jpg' and person_id = 0"))  # the same pose once more
-    assert sorted(r["image_path"] for r in store.store_detections(more, root).collect()) == ["b.jpg"] * 3
-    assert store.read_table(spark, root, "pose_detections").select("id").distinct().count() == 5
-    assert store.store_detections(df.limit(0), root).count() == 0
-    store.truncate(spark, root, "pose_detections", cascade=True)
-    assert store.read_table(spark, root, "fused_features").count() == 0 and store.read_table(spark, root, "images").count() == 2
