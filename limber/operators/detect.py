@@ -1,11 +1,11 @@
-"""Pluggable detectors: models run inside tasks, one instance per Python worker, made when first used.
+"""Pluggable detectors: models run inside tasks, made when the first image arrives; :mod:`limber.operators.models` keeps one instance a Python process.
 
 No model weights are part of this library. A detector is a factory that
 returns a function from an RGB array to a list of poses (dicts with keypoints,
 visibility, bbox (x, y, w, h) and overall_confidence); a person model's
 function returns boxes (dicts with x1, y1, x2, y2, conf, cls).
 
-Edge cases: an image in which nothing is found gives no rows; a box without
+Edge cases: an image in which nothing is found, or that has no pixels, gives no rows; a box without
 confidence, or one whose crop is empty, is passed over; an image that is there
 twice gives its rows twice (an ensemble fuses all rows of a path); no images
 give no rows.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from limber.functions.pixels import bgr_to_rgb
 from limber.operators.boxes import CROP_PADDING, MIN_PERSON_CONF, PERSON, map_back
 from limber.operators.ensemble import EnsembleConfig, fuse_poses
-from limber.sources.images import as_array
+from limber.sources.images import as_array, has_pixels
 
 Pose = dict
 Factory = Callable[[], Callable[[np.ndarray], list[Pose]]]
@@ -51,6 +51,30 @@ def brightness_detector(least: float = 0.0, shift: float = 0.0) -> Callable[[np.
     return detect
 
 
+#: Places of a standing figure's 17 keypoints in its image.
+FIGURE = (
+    (0.50, 0.10), (0.53, 0.08), (0.47, 0.08), (0.56, 0.10), (0.44, 0.10), (0.62, 0.25), (0.38, 0.25), (0.68, 0.40), (0.32, 0.40),
+    (0.70, 0.55), (0.30, 0.55), (0.58, 0.55), (0.42, 0.55), (0.60, 0.75), (0.40, 0.75), (0.60, 0.95), (0.40, 0.95),
+)
+
+
+def figure_detector(least: float = 0.0) -> Callable[[np.ndarray], list[Pose]]:
+    """A deterministic stand-in with a body's 17 keypoints: a standing figure whose wrists are raised by the brightness of its side of the image."""
+
+    def detect(rgb: np.ndarray) -> list[Pose]:
+        if rgb.size == 0:
+            return []
+        h, w = rgb.shape[:2]
+        light = float(rgb.mean()) / 255
+        if light < least:
+            return []
+        raised = {9: float(rgb[:, w // 2 :].mean()) / 255, 10: float(rgb[:, : max(1, w // 2)].mean()) / 255}
+        points = [[w * x, h * (y - 0.5 * raised.get(i, 0.0))] for i, (x, y) in enumerate(FIGURE)]
+        return [{"keypoints": points, "visibility": [1.0] * len(points), "bbox": [0.0, 0.0, float(w), float(h)], "overall_confidence": light}]
+
+    return detect
+
+
 def padded_box(box: dict, width: int, height: int, padding: float = CROP_PADDING) -> tuple[int, int, int, int]:
     """x1, y1, x2, y2 of the crop, as :func:`boxes.crop_bounds` has them."""
     x1, y1, x2, y2 = (float(box[c]) for c in ("x1", "y1", "x2", "y2"))
@@ -86,8 +110,10 @@ def _run(images: DataFrame, make: Callable[[], Work], fields: str, carry: tuple[
             work = work or make()
             rows = []
             for r in batch.to_dict("records"):
+                if not has_pixels(r):
+                    continue
                 began = time.perf_counter()
-                found = work(bgr_to_rgb(as_array(r["data"], r["height"], r["width"], r["n_channels"])))
+                found = work(bgr_to_rgb(as_array(r["data"], *(int(r[c]) for c in ("height", "width", "n_channels")))))
                 took = time.perf_counter() - began
                 rows += [(*(r[c] for c in kept), took, *x) for x in found]
             yield pd.DataFrame(rows, columns=names)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from limber.functions.texture import gradient_histograms
 from limber.functions.vectors import fuse
-from limber.sources.images import as_array
+from limber.sources.images import as_array, has_pixels
 
 GEOMETRIC_DIM, VISUAL_DIM = 52, 576
 BODY_POINTS, MIN_VISIBILITY = 17, 0.3
@@ -137,7 +137,7 @@ def _described(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterato
     for batch in batches:
         vectors = []
         for r in batch.select(["height", "width", "n_channels", "data"]).to_pylist():
-            vectors.append(None if not r["data"] else gradient_histograms(as_array(r["data"], r["height"], r["width"], r["n_channels"])[:, :, ::-1]).astype(np.float32))
+            vectors.append(None if not has_pixels(r) else gradient_histograms(as_array(r["data"], r["height"], r["width"], r["n_channels"])[:, :, ::-1]).astype(np.float32))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(vectors, pa.list_(pa.float32()))], names=[*carried, "visual"])
 
 

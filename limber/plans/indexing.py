@@ -24,8 +24,12 @@ def detected(
     stage. Coordinates are those of the image as read: where it was made larger
     or smaller for the detector, they are scaled back.
     """
-    scanned = images.scan_images(spark, directory, recursive, glob).withColumns({"image_width": F.col("width"), "image_height": F.col("height")})
-    return detected_in(scanned, poses, preprocess=preprocess, with_denoise=with_denoise, target_size=target_size, texture=texture, **how)
+    return detected_in(_sized(images.scan_images(spark, directory, recursive, glob)), poses, preprocess=preprocess, with_denoise=with_denoise, target_size=target_size, texture=texture, **how)
+
+
+def _sized(scanned: DataFrame) -> DataFrame:
+    """The images with their own size beside what later stages make of it."""
+    return scanned.withColumns({"image_width": F.col("width"), "image_height": F.col("height")})
 
 
 def detected_in(scanned: DataFrame, poses: detect.Factory, *, preprocess: bool = False, with_denoise: bool = True, target_size: tuple[int, int] | None = None, texture: bool = False, **how) -> DataFrame:
@@ -46,14 +50,13 @@ def detected_in(scanned: DataFrame, poses: detect.Factory, *, preprocess: bool =
     return found.withColumns({"keypoints": F.transform("keypoints", point), "bbox": by_place("bbox")}).drop("scale_x", "scale_y")
 
 
-def described(spark: SparkSession, directory: str, poses: detect.Factory, geometric: Extractor = features.geometric_features, visual: Extractor | None = None, texture: bool = True, **how) -> DataFrame:
-    """Poses of a directory as the store takes them, with geometric, visual and fused vectors: what is indexed, and what is asked for.
+def described(found: DataFrame, geometric: Extractor = features.geometric_features, visual: Extractor | None = None, texture: bool = True) -> DataFrame:
+    """Poses found (with their images' visual if ``texture``) as the store takes them, with geometric, visual and fused vectors: what is indexed, and what is asked for.
 
     Without ``visual`` the vector of the image's own texture is taken, or, with ``texture`` off, none.
     """
-    own = texture and visual is None
-    found = geometric(detected(spark, directory, poses, texture=own, **how))
-    if not own:
+    found = geometric(found)
+    if visual or not texture:
         found = visual(found) if visual else found.withColumn("visual", F.lit(None).cast("array<double>"))
     return features.fused_features(found).select(
         F.col("path").alias("image_path"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), "det_idx", "person_id", "keypoints", "visibility", "bbox", "overall_confidence",
@@ -61,15 +64,33 @@ def described(spark: SparkSession, directory: str, poses: detect.Factory, geomet
     )
 
 
-def index_directory(spark: SparkSession, directory: str, root: str, poses: detect.Factory, geometric: Extractor = features.geometric_features, visual: Extractor | None = None, texture: bool = True, **how) -> DataFrame:
-    """Detect, extract, fuse and store; one row: poses_indexed, those that were not stored before. Extractors other than the library's add a column geometric or visual."""
-    rows = described(spark, directory, poses, geometric, visual, texture, **how)
-    return store.store_detections(rows, root).agg(F.count(F.lit(1)).alias("poses_indexed"))
+def query_vectors(spark: SparkSession, directory: str, poses: detect.Factory, geometric: Extractor = features.geometric_features, visual: Extractor | None = None, texture: bool = True, **how) -> DataFrame:
+    """What an index made by :func:`index_directory` with the same arguments can be asked for: the vectors of the poses in a directory's images (or in one image)."""
+    own = texture and visual is None
+    return described(detected(spark, directory, poses, texture=own, **how), geometric, visual, own)
+
+
+def index_directory(
+    spark: SparkSession, directory: str, root: str, poses: detect.Factory, geometric: Extractor = features.geometric_features, visual: Extractor | None = None, texture: bool = True, state: str | None = None, recursive: bool = False, glob: str | None = None, **how
+) -> DataFrame:
+    """Detect, extract, fuse and store; one row: poses_indexed, those that were not stored before.
+
+    Extractors other than the library's add a column geometric or visual. With
+    ``state``, a folder that remembers which files were indexed, files that have
+    not changed since are not opened.
+    """
+    own = texture and visual is None
+    scanned, mark = images.scan_new_images(spark, directory, state, recursive, glob) if state else (images.scan_images(spark, directory, recursive, glob), lambda: 0)
+    rows = described(detected_in(_sized(scanned), poses, texture=own, **how), geometric, visual, own)
+    stored = store.store_detections(rows, root)
+    mark()
+    return stored.agg(F.count(F.lit(1)).alias("poses_indexed"))
 
 
-def build_search_index(spark: SparkSession, root: str, path: str, features: str = "fused_features", force_rebuild: bool = False) -> DataFrame:
+def build_search_index(spark: SparkSession, root: str, path: str, table: str = "fused_features", force_rebuild: bool = False) -> DataFrame:
     """The index over one of the store's feature tables."""
-    rows = index.index_rows(*(store.read_table(spark, root, t) for t in (features, "pose_detections", "images")))
+    now = store.snapshot(spark, root)
+    rows = index.index_rows(*(now.read(spark, t) for t in (table, "pose_detections", "images")))
     return index.build_index(rows, path, force_rebuild)
 
 

@@ -1,7 +1,15 @@
-"""Images as a table: path, height, width, n_channels and the pixels as bytes (BGR)."""
+"""Images as a table: path, height, width, n_channels and the pixels as bytes (BGR).
+
+Edge cases: files that are no images are left out; an image without pixels
+(null or empty bytes, or sizes that are null or not positive) is kept as it is
+by preprocessing and normalising, with null pixels and scales of 1; one whose
+bytes do not fit its sizes is an error; repeated rows are each treated, null
+columns beside the pixels are kept, and no images give none.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limber.functions import pixels
+from limber.session import delete_path
+from limber.sources import versions
 
 
 def scan_images(spark: SparkSession, directory: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
@@ -17,12 +27,56 @@ def scan_images(spark: SparkSession, directory: str, recursive: bool = False, gl
     reader = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    return _decoded(reader.load(directory))
+
+
+def _decoded(loaded: DataFrame) -> DataFrame:
     image = F.col("image")
-    return reader.load(directory).select(
+    return loaded.select(
         image["origin"].alias("path"), image["height"].alias("height"), image["width"].alias("width"), image["nChannels"].alias("n_channels"), image["data"].alias("data")
     )
 
 
+def _changed(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files that are not known, or are by another length or time."""
+    return files.join(known, ["path", "length", "modificationTime"], "left_anti")
+
+
+def scan_new_images(spark: SparkSession, directory: str, state: str, recursive: bool = False, glob: str | None = None) -> tuple[DataFrame, Callable[[], int]]:
+    """Decoded images of the files that are new or have changed since they were marked, and a function that marks these.
+
+    ``state`` is a folder of ours: a log of versions that name path, length and
+    time of every file marked so far. Files are compared with it by these alone,
+    before any is opened; no others are decoded. Mark them once their results
+    are stored (the function returns how many there were): a job that breaks off
+    before decodes them again. Paths pass through the driver, as they do in any
+    listing of files. Files that are gone stay known; of two jobs at once each
+    marks its own files.
+    """
+    files = scan_files(spark, directory, recursive, glob)
+    _, content = versions.read_version(spark, state)
+    known = spark.read.schema(files.schema).parquet(*[f"{state}/data/{f}" for f in content["folders"]]) if content else files.limit(0)
+    folder = f"{state}/data/files-{uuid.uuid4().hex}"
+    _changed(files, known).coalesce(1 + files.count() // 1_000_000).write.parquet(folder)
+    fresh = spark.read.schema(files.schema).parquet(folder)
+    paths = [r["path"] for r in fresh.select("path").toLocalIterator()]
+
+    def mark() -> int:
+        if not paths:
+            delete_path(spark, folder)
+        while paths:
+            number, now = versions.read_version(spark, state)
+            try:
+                versions.commit(spark, state, number, {"folders": [*now.get("folders", []), folder.rpartition("/")[2]]})
+                break
+            except versions.Conflict:
+                continue
+        return len(paths)
+
+    decoded = scan_images(spark, directory, recursive, glob).limit(0) if not paths else _decoded(spark.read.format("image").option("dropInvalid", "true").load(paths))
+    return decoded, mark
+
+
 def scan_files(spark: SparkSession, directory: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Paths and lengths only: the contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -36,6 +90,11 @@ def image_metadata(images: DataFrame) -> DataFrame:
     return images.select("path", "width", "height")
 
 
+def has_pixels(row: dict) -> bool:
+    """Whether an image's row has anything to look at."""
+    return bool(row["data"]) and all(row[c] is not None and row[c] == row[c] and row[c] > 0 for c in ("height", "width", "n_channels"))
+
+
 def as_array(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """H x W x 3 BGR; grey is repeated, a fourth channel dropped."""
     x = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
@@ -52,9 +111,13 @@ def _mapped(images: DataFrame, change: Callable[[np.ndarray], tuple[np.ndarray,
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
-                x, scale_x, scale_y = change(as_array(r["data"], r["height"], r["width"], r["n_channels"]))
+                if not has_pixels(r):
+                    rows.append((*(r[c] for c in carried), *(None if r[c] != r[c] else r[c] for c in ("height", "width", "n_channels")), None, 1.0, 1.0))
+                    continue
+                x, scale_x, scale_y = change(as_array(r["data"], *(int(r[c]) for c in ("height", "width", "n_channels"))))
                 rows.append((*(r[c] for c in carried), x.shape[0], x.shape[1], 3, np.ascontiguousarray(x).tobytes(), scale_x, scale_y))
-            yield pd.DataFrame(rows, columns=[*carried, "height", "width", "n_channels", "data", "scale_x", "scale_y"])
+            out = pd.DataFrame(rows, columns=[*carried, "height", "width", "n_channels", "data", "scale_x", "scale_y"])
+            yield out.astype({c: "Int32" for c in ("height", "width", "n_channels")})
 
     return images.select(*carried, "height", "width", "n_channels", "data").mapInPandas(run, schema)
 
@@ -67,8 +130,6 @@ def _resized(x: np.ndarray, size: tuple[int, int] | None) -> tuple[np.ndarray, f
 
 def preprocess_images(images: DataFrame, with_denoise: bool = True, target_size: tuple[int, int] | None = None) -> DataFrame:
     """The images enhanced for detection and, if asked, resized to (width, height); scale_x and scale_y map coordinates back (divide by them).
-
-    An image without pixels is an error; null columns beside the pixels are kept.
     """
 
     def change(x: np.ndarray) -> tuple[np.ndarray, float, float]:

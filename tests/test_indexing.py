@@ -1,11 +1,17 @@
 """A directory of images from scan to search."""
 
+import os
+import uuid
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limber.operators import detect
+from limber.operators import detect, models
 from limber.plans import indexing
+from limber.sources import images as imgs
+from limber.sources import store
 from test_operators import bmp
 
 
@@ -55,3 +61,86 @@ def test_benchmark(spark, photos):
     assert set(got) == set(variants) and all(r["n_images"] == r["n_detected"] == 5 and r["avg_time"] > 0 for r in got.values())
     report = {r["variant"]: r for r in indexing.benchmark_report(spark.createDataFrame(list(got.values())), "plain").collect()}
     assert report["plain"]["slowdown"] == 1.0 and report["ensemble"]["slowdown"] > 0
+
+
+def test_index_without_any_extractor_of_ones_own(spark, photos, tmp_path):
+    root, path = f"{tmp_path}/store", f"{tmp_path}/index"
+    assert indexing.index_directory(spark, photos, root, detect.figure_detector).head()["poses_indexed"] == 5
+    rows = indexing.build_search_index(spark, root, path)
+    assert {len(r["feature_vector"]) for r in rows.collect()} == {628}
+    query = indexing.query_vectors(spark, photos, detect.figure_detector, glob="p3.bmp").head()
+    assert np.isclose(np.linalg.norm(query["visual"]), 1)
+    found = indexing.search(rows, query["fused"], 2, "l2").orderBy("rank").collect()
+    assert found[0]["image_path"].endswith("p3.bmp") and found[0]["similarity_score"] == "0.000"
+    ready = indexing.detected(spark, photos, detect.figure_detector, preprocess=True, with_denoise=False, texture=True, glob="p1.bmp").head()
+    assert len(ready["visual"]) == 576
+    fused = indexing.query_vectors(spark, photos, detect.figure_detector, glob="p1.bmp", models=[detect.figure_detector] * 2).head()
+    assert len(fused["fused"]) == 628
+
+
+def test_only_new_and_changed_files_are_decoded(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    where, state, root = tmp_path / "photos", f"{tmp_path}/state", f"{tmp_path}/store"
+    where.mkdir()
+    write = lambda name, w=24: (where / name).write_bytes(bmp(rng.integers(0, 255, (20, w, 3), dtype=np.uint8)))
+    for i in range(3):
+        write(f"p{i}.bmp")
+    found, mark = imgs.scan_new_images(spark, str(where), state)
+    assert found.count() == 3
+    again, _ = imgs.scan_new_images(spark, str(where), state)
+    assert again.count() == 3  # nothing is marked yet
+    assert mark() == 3
+    found, mark = imgs.scan_new_images(spark, str(where), state)
+    assert found.columns == again.columns and found.count() == 0 and mark() == 0 and "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    write("p3.bmp")
+    write("p1.bmp", 28)
+    os.utime(where / "p2.bmp", (1_000_000_000, 1_000_000_000))  # an older time is another time
+    (where / "note.txt").write_text("no image")
+    found, mark = imgs.scan_new_images(spark, str(where), state)
+    assert sorted(r["path"][-6:] for r in found.collect()) == ["p1.bmp", "p2.bmp", "p3.bmp"] and mark() == 4  # the text is known to be none now
+    assert imgs.scan_new_images(spark, str(where), state)[0].count() == 0
+    write("p9.bmp")
+    index = partial(indexing.index_directory, spark, str(where), root, detect.figure_detector, state=state)
+    assert [index().head()[0] for _ in range(2)] == [1, 0]
+    assert store.read_table(spark, root, "images").count() == 1
+
+
+def test_a_model_is_loaded_once_a_process(spark, photos, tmp_path):
+    (tmp_path / "loads").mkdir()
+    (tmp_path / "m").mkdir()
+    (tmp_path / "model.txt").write_text("0.0")
+    (tmp_path / "m" / "model.txt").write_text("2.0")
+    where = f"{tmp_path}/loads"
+
+    def load(path):
+        """Leaves a mark each time it is called."""
+        with open(path, "rb") as f:
+            least = float(f.read())
+        open(f"{where}/{uuid.uuid4().hex}", "w").close()
+        return least
+
+    shared = models.share_model(spark, f"{tmp_path}/model.txt")
+    assert models.share_model(spark, f"file://{tmp_path}/model.txt") == shared
+    factory = models.model_factory(shared, load, detect.figure_detector)
+    many = imgs.scan_images(spark, photos).repartition(5)
+    for _ in range(3):
+        assert detect.detect(many, factory).count() == 5
+    assert 1 <= len(os.listdir(where)) <= 4  # 15 tasks, in at most four processes
+    other = models.share_model(spark, f"{tmp_path}/m/model.txt")  # another file of the same name
+    assert other.name != shared.name and detect.detect(many, models.model_factory(other, load, detect.figure_detector)).count() == 0
+    before = len(os.listdir(where))
+    assert detect.detect(many.limit(0), models.model_factory(models.ModelFile(shared.name, "0" * 64), load)).count() == 0 and len(os.listdir(where)) == before
+    with pytest.raises(Exception, match="SHA-256"):
+        detect.detect(many, models.model_factory(models.ModelFile(shared.name, "0" * 64), load)).collect()
+    with pytest.raises(Exception, match="does not exist|No such file"):
+        models.share_model(spark, f"{tmp_path}/none.txt")
+
+
+def test_images_without_pixels(spark):
+    rows = [("a", 2, 2, 3, bytes(12)), ("null", None, None, None, None), ("empty", 0, 0, 3, b""), ("odd", None, 2, 3, bytes(12)), (None, 2, 2, 3, bytes(12))]
+    df = spark.createDataFrame(rows, "path string, height int, width int, n_channels int, data binary").withColumn("note", F.lit(None).cast("string"))
+    for out in (imgs.normalize_images(df, (4, 4)), imgs.preprocess_images(df, with_denoise=False, target_size=(4, 4))):
+        got = {r["path"]: r for r in out.collect()}
+        assert len(got) == 5 and len(got["a"]["data"]) == 48 and got["null"]["data"] is None and got["null"]["height"] is None and got["empty"]["width"] == 0 and got["odd"]["scale_x"] == 1.0
+    assert sorted(str(r["path"]) for r in detect.detect(df, detect.figure_detector).collect()) == ["None", "a"]
+    assert detect.detect(df, detect.figure_detector, persons=detect.thirds_detector).select("path").distinct().count() == 2
