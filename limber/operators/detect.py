@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def _run(images: DataFrame, make: Callable[[], Work], fields: str, carry: tuple[
     """One map over the images, each decoded once: path, the carried columns, elapsed_s (of the image, alike in its rows) and ``fields``."""
     kept = ["path", *carry]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*kept).schema) + f", elapsed_s double, {fields}"
-    names = [*kept, "elapsed_s", *re.findall(r"(\w+) (?:int|double|array)", fields)]
+    names = [*kept, "elapsed_s", *re.findall(r"(\w+) (?:int|double|array|binary)", fields)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work = None
@@ -172,6 +174,68 @@ def two_stage(images: DataFrame, persons: Factory, poses: Factory, min_conf: flo
     return map_back(found).select("path", *carry, "elapsed_s", "det_idx", *_POSE, "person_id")
 
 
+def person_crops(images: DataFrame, persons: Factory, min_conf: float = MIN_PERSON_CONF, padding: float = CROP_PADDING, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The padded crops of persons as a table: path, the carried columns, elapsed_s, box_idx, x_offset, y_offset, height, width, n_channels (3) and data (BGR)."""
+
+    def make() -> Work:
+        find = persons()
+
+        def work(rgb: np.ndarray) -> list[tuple]:
+            found = []
+            for number, box in enumerate(find(rgb)):
+                if box["cls"] != PERSON or box["conf"] is None or not box["conf"] >= min_conf:
+                    continue
+                x1, y1, x2, y2 = padded_box(box, rgb.shape[1], rgb.shape[0], padding)
+                if x2 > x1 and y2 > y1:
+                    found.append((number, x1, y1, y2 - y1, x2 - x1, 3, np.ascontiguousarray(bgr_to_rgb(rgb[y1:y2, x1:x2])).tobytes()))
+            return found
+
+        return work
+
+    return _run(images, make, "box_idx int, x_offset int, y_offset int, height int, width int, n_channels int, data binary", carry)
+
+
+def poses_in_crops(crops: DataFrame, poses: Factory, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A table function over crops of many images at once: every row of a batch, whichever image it is of, goes to the model together.
+
+    The model may offer ``many``, from a list of crops to a list of their lists
+    of poses, to use that; otherwise it sees them one after the other. Returns
+    path, the carried columns, elapsed_s (the crops' own and an equal share of
+    the batch's), det_idx, the pose's fields and person_id, in the image's coordinates.
+    """
+    kept = ["path", *carry, "elapsed_s", "box_idx", "x_offset", "y_offset"]
+    fields = {f.name: f.dataType.simpleString() for f in crops.select(*kept).schema}
+    returned = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + f", det_idx int, {POSE_FIELDS}"
+    types = [pa.int32(), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+
+    class Poses:
+        model = None
+
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            self.model = self.model or poses()
+            rows = batch.select(["height", "width", "n_channels", "data"]).to_pylist()
+            began = time.perf_counter()
+            images = [bgr_to_rgb(as_array(r["data"], r["height"], r["width"], r["n_channels"])) for r in rows]
+            found = self.model.many(images) if hasattr(self.model, "many") else [self.model(x) for x in images]
+            share = (time.perf_counter() - began) / max(1, len(rows))
+            at = pa.array([i for i, of in enumerate(found) for _ in of], pa.int64())
+            flat = [(i, *(pose[c] for c in _POSE)) for of in found for i, pose in enumerate(of)]
+            columns = {c: batch.column(c).take(at) for c in kept}
+            columns["elapsed_s"] = pc.add(columns["elapsed_s"], share)
+            for j, (name, kind) in enumerate(zip(("det_idx", *_POSE), types, strict=True)):
+                columns[name] = pa.array([r[j] for r in flat], kind)
+            yield pa.table(columns)
+
+    table = F.arrow_udtf(Poses, returnType=returned)
+    found = table(crops.select(*kept, "height", "width", "n_channels", "data").asTable())
+    return map_back(found).select("path", *carry, "elapsed_s", "det_idx", *_POSE, "person_id")
+
+
+def two_stage_batched(images: DataFrame, persons: Factory, poses: Factory, min_conf: float = MIN_PERSON_CONF, padding: float = CROP_PADDING, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What :func:`two_stage` finds, with the crops of many images in a batch of the pose model. Crops pass from one Python stage to the next, so this pays where the model gains by batches."""
+    return poses_in_crops(person_crops(images, persons, min_conf, padding, carry), poses, carry)
+
+
 def model_poses(images: DataFrame, models: list[Factory], weights: tuple[float | None, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """The poses of each model, in one map: path, model_idx, weight (null where none is given), det_idx, the pose's fields and person_id (null)."""
     known = [weights[i] if i < len(weights) else None for i in range(len(models))]

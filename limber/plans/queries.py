@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limber.functions import vectors
-from limber.operators import bench, boxes, detect, ensemble, index, knn
+from limber.operators import bench, boxes, cells, detect, ensemble, index, knn
 from limber.operators import features as feats
 from limber.plans import indexing
-from limber.session import shared_dir
+from limber.session import own_folder
 from limber.sources import images as imgs
 from limber.sources import store
 
@@ -251,7 +251,7 @@ def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _points("feature_vector").alias("keypoints"), F.array(F.lit(1.0)).alias("visibility"), F.array(F.lit(0.0)).alias("bbox"), F.lit(0.5).alias("overall_confidence"), F.lit(None).cast("timestamp").alias("created_at"),
         F.slice("feature_vector", 1, 52).alias("geometric"), F.when(F.col("pose_id") % 3 == 0, F.col("feature_vector")).alias("visual"), F.col("feature_vector").alias("fused"),
     )
-    root = f"{shared_dir(spark)}/limber-store-{uuid.uuid4().hex}"
+    root = _own(spark, "store")
     stored = [store.store_detections(rows, root) for _ in range(2)]
     counts = bench.table_counts({f"stored {i + 1}": s for i, s in enumerate(stored)} | {t: store.read_table(spark, root, t) for t in store.TABLES})
     index_size = bench.table_counts({"index": index.index_rows(*(store.read_table(spark, root, t) for t in ("fused_features", "pose_detections", "images")))})
@@ -263,6 +263,109 @@ def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.benchmark_report(bench.bench_summary(runs, "variant"), "click")
 
 
+def detect_two_stage_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As detect_two_stage, with the crops of many images in one batch of the pose model."""
+    return _shown_poses(detect.two_stage_batched(flat_images(spark, sf_dir), detect.thirds_detector, detect.brightness_detector))
+
+
+def _pruned(metric: str) -> Query:
+    """As knn_batch, in an index that leaves out cells."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f, path = features(spark, sf_dir), _own(spark, "cells")
+        cells.build_cells(f, path)
+        found, _ = cells.search_cells(spark, path, f.where("pose_id % 100 = 0").withColumnRenamed("pose_id", "query_id"), K, metric)
+        return found.select("query_id", F.col("rank").cast("long").alias("rank"), "pose_id", F.round("similarity_score", 9).alias("similarity_score"))
+
+    return run
+
+
+def _own(spark: SparkSession, name: str) -> str:
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pose of each vector, several to an image and none of a person, as plain detection has them."""
+    return features(spark, sf_dir).select(
+        "pose_id", F.concat(F.lit("image"), (F.col("pose_id") % 40).cast("string")).alias("image_path"), F.lit(4).alias("width"), F.lit(5).alias("height"), F.lit(None).cast("int").alias("person_id"),
+        _points("feature_vector").alias("keypoints"), F.array(F.lit(1.0)).alias("visibility"), F.array(F.lit(0.0)).alias("bbox"), F.lit(0.5).alias("overall_confidence"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.slice("feature_vector", 1, 52).alias("geometric"), F.when(F.col("pose_id") % 3 == 0, F.col("feature_vector")).alias("visual"), F.col("feature_vector").alias("fused"),
+    )
+
+
+def store_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: the even poses, all of them, and each once more with its keypoints moved. Per batch and image what was stored, and in the end what each image has."""
+    poses, root = _detections(spark, sf_dir), _own(spark, "store")
+    moved = poses.withColumn("keypoints", F.transform("keypoints", lambda p: F.array(p[0] + 10, p[1])))
+    batches = [poses.where("pose_id % 2 = 0"), poses, moved]
+    stored = [store.store_detections(b, root).groupBy("image_path").agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.lit(i)) for i, b in enumerate(batches)]
+    now = store.snapshot(spark, root)
+    held = now.read(spark, "pose_detections").join(now.read(spark, "images").withColumnRenamed("id", "image_id"), "image_id").groupBy(F.col("file_path").alias("image_path")).agg(F.countDistinct("id").alias("n")).withColumn("batch", F.lit(-1))
+    return reduce(DataFrame.unionByName, [*stored, held]).select("image_path", F.col("batch").cast("long").alias("batch"), "n")
+
+
+def store_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table before and after visual_features is emptied, and after pose_detections is, with what depends on it; the first as a snapshot that is read last."""
+    root = _own(spark, "store")
+    store.store_detections(_detections(spark, sf_dir), root)
+    first = store.snapshot(spark, root)
+    store.truncate(spark, root, "visual_features")
+    second = store.snapshot(spark, root)
+    store.truncate(spark, root, "pose_detections", cascade=True)
+    shown = [bench.table_counts({t: s.read(spark, t) for t in store.TABLES}).withColumn("at", F.lit(i)) for i, s in enumerate((first, second, store.snapshot(spark, root)))]
+    return reduce(DataFrame.unionByName, shown).select(F.col("at").cast("long").alias("at"), "table_name", "n_rows")
+
+
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the even vectors, rebuilt of all while it is read, and cleared: what each reader sees."""
+    f, path = features(spark, sf_dir), _own(spark, "index")
+    before = index.build_index(f.where("pose_id % 2 = 0"), path)
+    kept = index.build_index(f, path)  # it is there already
+    after = index.build_index(f, path, force_rebuild=True)
+    again = index.append_index(f.where("pose_id % 2 = 1"), path, ("odd", 0))
+    same = index.append_index(f.where("pose_id % 2 = 1"), path, ("odd", 0))
+    shown = {"before": before, "not rebuilt": kept, "rebuilt": after, "appended": again, "appended once": same, "now": index.read_index(spark, path)}
+    stats = [index.index_stats(d).withColumn("reader", F.lit(n)) for n, d in shown.items()]
+    return reduce(DataFrame.unionByName, stats)
+
+
+def _photos(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a BMP file of each vector, the odd ones in a folder within it, and files that are no images."""
+    where = _own(spark, "photos")
+    number = F.regexp_extract("path", r"\d+$", 0)
+    named = texture_images(spark, sf_dir).withColumn("path", F.concat(F.when(number.cast("long") % 2 == 1, F.lit("more/")).otherwise(F.lit("")), F.lit("v"), number, F.lit(".bmp")))
+    imgs.write_images(named, where).count()
+    return where
+
+
+def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of a folder by glob, of it and what is in it, and the lengths of the files."""
+    where = _photos(spark, sf_dir)
+    tail = F.regexp_extract("path", r"((?:more/)?v\d+\.bmp)$", 1).alias("file")
+    shown = lambda df, name: df.select(F.lit(name).alias("scan"), tail, F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.sha2("data", 256).alias("pixels"))
+    files = imgs.scan_files(spark, where, recursive=True, glob="*.bmp").select(F.lit("files").alias("scan"), tail, F.col("length").alias("height"), F.lit(None).cast("long").alias("width"), F.lit(None).cast("string").alias("pixels"))
+    return shown(imgs.scan_images(spark, where, glob="v*.bmp"), "glob").unionByName(shown(imgs.scan_images(spark, where, recursive=True), "recursive")).unionByName(files)
+
+
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder's own images, then those within it too: what each run decodes, and a third that has nothing left."""
+    where, state = _photos(spark, sf_dir), _own(spark, "state")
+    tail, runs = F.regexp_extract("path", r"((?:more/)?v\d+\.bmp)$", 1).alias("file"), []
+    for i, recursive in enumerate((False, True, True)):
+        found, mark = imgs.scan_new_images(spark, where, state, recursive, "*.bmp")
+        mark()
+        runs.append(found.select(F.lit(i).cast("long").alias("run"), tail, F.sha2("data", 256).alias("pixels")))
+    return reduce(DataFrame.unionByName, runs)
+
+
+def index_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder indexed twice with the library's own extractors, and the index over the fused vectors."""
+    where, root, path = _photos(spark, sf_dir), _own(spark, "store"), _own(spark, "index")
+    runs = [indexing.index_directory(spark, where, root, detect.figure_detector, recursive=True).select(F.lit(f"run {i}").alias("what"), F.col("poses_indexed").alias("n_total"), F.lit(None).cast("int").alias("dim_min"), F.lit(None).cast("int").alias("dim_max")) for i in range(2)]
+    stats = index.index_stats(indexing.build_search_index(spark, root, path)).select(F.lit("index").alias("what"), "n_total", "dim_min", "dim_max")
+    return reduce(DataFrame.unionByName, [*runs, stats])
+
+
 def geometric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 52 numbers of each pose, a row each; keypoints of little visibility are left out."""
     f = features(spark, sf_dir)
@@ -290,11 +393,14 @@ def visual_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
-        geometric_features, visual_features,
+        geometric_features, visual_features, detect_two_stage_batched, store_incremental, store_truncate, index_versions, directory_scan, incremental_scan, index_photos,
         knn_report, index_swap, ensemble_partial, detect_plain, detect_two_stage, detect_ensemble, detect_persons, normalize_image, image_metadata, store_counts, bench_report,
         knn_batch, index_build, index_stats, table_counts, l2_normalize, fuse_features, box_filter, crop_bounds, map_back, upsample_dims, bench_summary, slowdown_ratio,
     )
     return {f.__name__: f for f in plain} | {
+        "knn_pruned": _pruned("dot"),
+        "knn_pruned_cosine": _pruned("cosine"),
+        "knn_pruned_l2": _pruned("l2"),
         "knn_single": _single("cosine"),
         "knn_dot": _single("dot"),
         "knn_l2": _single("l2"),
@@ -369,8 +475,42 @@ def _visual_sql() -> str:
 _FLAT = "p AS (SELECT p_partkey, 'part/' || p_partkey AS path, (8 + p_partkey % 9)::INT AS w, (6 + p_size % 7)::INT AS h, (p_partkey % 256) / 255 AS light FROM part)"
 
 
+_TWO_STAGE = f"""WITH {_FLAT}, b AS (SELECT *, unnest(range(0, 3))::INT AS i FROM p), c AS (
+              SELECT *, i * w / 4 AS x1, i * w / 4 + w / 2 AS x2 FROM b WHERE i >= 1 AND NOT (i = 2 AND w % 2 = 1)
+            ), d AS (SELECT *, trunc(greatest(0::DOUBLE, x1 - (x2 - x1) * 0.1::DOUBLE)) AS l, trunc(least(w::DOUBLE, x2 + (x2 - x1) * 0.1::DOUBLE)) AS r FROM c)
+            SELECT path, round(2.5 * (r - l) + 5 * l, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, l AS bbox_0, 0.0::DOUBLE AS bbox_1, r - l AS bbox_2, h::DOUBLE AS bbox_3, round(light, 6) AS overall_confidence, i AS person_id FROM d"""
+
+
+def _batch_sql(measure: str, order: str) -> str:
+    return f"""WITH {_FEATURES}, s AS (SELECT q.pose_id AS query_id, f.pose_id, {measure} AS score FROM f, f AS q WHERE q.pose_id % 100 = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, pose_id) AS rank FROM s) SELECT query_id, rank, pose_id, round(score, 9) AS similarity_score FROM r WHERE rank <= {K}"""
+
+
+def _pixels_sql() -> str:
+    """file, and the SHA-256 of its pixels (blue, green, red)."""
+    byte = " || ".join(f"printf('%02X', {_PIXEL.format(k='k', c=c)}::INT)" for c in range(3))
+    return f"""{_FEATURES}, b AS (SELECT pose_id, k, {byte} AS x FROM (SELECT pose_id, v, unnest(range(0, 64)) AS k FROM f)),
+      p AS (SELECT pose_id, CASE WHEN pose_id % 2 = 1 THEN 'more/' ELSE '' END || 'v' || pose_id || '.bmp' AS file, sha256(unhex(string_agg(x, '' ORDER BY k))) AS pixels FROM b GROUP BY pose_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "knn_pruned": _batch_sql("list_inner_product(q.v, f.v)", "DESC"),
+        "knn_pruned_cosine": _batch_sql("list_cosine_similarity(q.v, f.v)", "DESC"),
+        "knn_pruned_l2": _batch_sql("list_distance(q.v, f.v)", "ASC"),
+        "store_incremental": """WITH v AS (SELECT vec_id % 2 AS odd, 'image' || vec_id % 40 AS image_path FROM embeddings)
+            SELECT image_path, 0::BIGINT AS batch, count(*) AS n FROM v WHERE odd = 0 GROUP BY image_path UNION ALL SELECT image_path, 1, count(*) FROM v WHERE odd = 1 GROUP BY image_path
+            UNION ALL SELECT image_path, 2, count(*) FROM v GROUP BY image_path UNION ALL SELECT image_path, -1, 2 * count(*) FROM v GROUP BY image_path""",
+        "store_truncate": """WITH n AS (SELECT count(*) AS n, count(DISTINCT vec_id % 40) AS images, count(*) FILTER (vec_id % 3 = 0) AS visual FROM embeddings),
+            x AS (SELECT unnest([{'t': 'images', 'a': images, 'b': images, 'c': images}, {'t': 'pose_detections', 'a': n, 'b': n, 'c': 0}, {'t': 'geometric_features', 'a': n, 'b': n, 'c': 0}, {'t': 'visual_features', 'a': visual, 'b': 0, 'c': 0}, {'t': 'fused_features', 'a': n, 'b': n, 'c': 0}]) AS x FROM n)
+            SELECT unnest([0, 1, 2])::BIGINT AS at, x.t AS table_name, unnest([x.a, x.b, x.c])::BIGINT AS n_rows FROM x""",
+        "index_versions": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 2 = 0) AS even, min(len(embedding))::INT AS a, max(len(embedding))::INT AS b FROM embeddings),
+            x AS (SELECT a, b, unnest([{'r': 'before', 'n': even}, {'r': 'not rebuilt', 'n': even}, {'r': 'rebuilt', 'n': n}, {'r': 'appended', 'n': 2 * n - even}, {'r': 'appended once', 'n': 2 * n - even}, {'r': 'now', 'n': 2 * n - even}]) AS x FROM n)
+            SELECT x.r AS reader, x.n::BIGINT AS n_total, a AS dim_min, b AS dim_max FROM x""",
+        "directory_scan": f"""WITH {_pixels_sql()} SELECT 'glob' AS scan, file, 8::BIGINT AS height, 8::BIGINT AS width, pixels FROM p WHERE pose_id % 2 = 0 UNION ALL SELECT 'recursive', file, 8, 8, pixels FROM p
+            UNION ALL SELECT 'files', file, 54 + 192, NULL, NULL FROM p""",
+        "incremental_scan": f"WITH {_pixels_sql()} SELECT (pose_id % 2)::BIGINT AS run, file, pixels FROM p",
+        "index_photos": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT 'run 0' AS what, n AS n_total, NULL::INT AS dim_min, NULL::INT AS dim_max FROM n UNION ALL SELECT 'run 1', 0, NULL, NULL UNION ALL SELECT 'index', n, 628, 628 FROM n",
         "geometric_features": _geometric_sql(),
         "visual_features": _visual_sql(),
         "knn_l2_inverse": _knn_sql("list_distance(v, qv)", "ASC", "1 / (1 + score / 2)"),
@@ -383,10 +523,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT image_id, k, round(sum(v[k * 2 + 1] * w) / sum(w), 8) AS x, round(sum(v[k * 2 + 2] * w) / sum(w), 8) AS y, round(sum(abs(v[k * 2 + 1]) * w) / sum(w), 8) AS visibility FROM p GROUP BY image_id, k""",
         "detect_plain": f"""WITH {_FLAT} SELECT path, round(2.5 * w, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3,
             round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p WHERE light >= 0.25""",
-        "detect_two_stage": f"""WITH {_FLAT}, b AS (SELECT *, unnest(range(0, 3))::INT AS i FROM p), c AS (
-              SELECT *, i * w / 4 AS x1, i * w / 4 + w / 2 AS x2 FROM b WHERE i >= 1 AND NOT (i = 2 AND w % 2 = 1)
-            ), d AS (SELECT *, trunc(greatest(0::DOUBLE, x1 - (x2 - x1) * 0.1::DOUBLE)) AS l, trunc(least(w::DOUBLE, x2 + (x2 - x1) * 0.1::DOUBLE)) AS r FROM c)
-            SELECT path, round(2.5 * (r - l) + 5 * l, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, l AS bbox_0, 0.0::DOUBLE AS bbox_1, r - l AS bbox_2, h::DOUBLE AS bbox_3, round(light, 6) AS overall_confidence, i AS person_id FROM d""",
+        "detect_two_stage": _TWO_STAGE,
+        "detect_two_stage_batched": _TWO_STAGE,
         "detect_ensemble": f"""WITH {_FLAT} SELECT path, round(2.5 * w + CASE WHEN light >= 0.5 THEN 2.5 ELSE 0 END, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3,
             round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p WHERE light >= 0.25""",
         "detect_persons": f"""WITH {_FLAT}, b AS (SELECT *, unnest(range(0, 3)) AS box_idx FROM p)

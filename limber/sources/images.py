@@ -9,11 +9,14 @@ columns beside the pixels are kept, and no images give none.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,40 @@ def scan_files(spark: SparkSession, directory: str, recursive: bool = False, glo
     return reader.load(directory).select("path", "length", "modificationTime")
 
 
+def bitmap(x: np.ndarray) -> bytes:
+    """An H x W x 3 BGR array as a 24-bit BMP file."""
+    h, w = x.shape[:2]
+    rows = np.zeros((h, (3 * w + 3) // 4 * 4), dtype=np.uint8)
+    rows[:, : 3 * w] = x[::-1].reshape(h, 3 * w)
+    header = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 54, 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0)
+    return header + rows.tobytes()
+
+
+def write_images(images: DataFrame, directory: str, name_col: str = "path") -> DataFrame:
+    """Write images as BMP files under ``directory``, named by ``name_col`` (which may hold folders); returns a row a file: path and length.
+
+    Files are written as the result is read, and a task that runs again writes
+    the same. Images without pixels or a name are left out; of two of one name one stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(directory)
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                if r["name"] is None or not has_pixels(r):
+                    continue
+                path = f"{base}/{r['name']}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                content = bitmap(as_array(r["data"], r["height"], r["width"], r["n_channels"]))
+                with store.open_output_stream(path, compression=None) as out:
+                    out.write(content)
+                done.append((f"{directory}/{r['name']}", len(content)))
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "length"])
+
+    return images.select(F.col(name_col).alias("name"), "height", "width", "n_channels", "data").mapInArrow(run, "path string, length long")
+
+
 def image_metadata(images: DataFrame) -> DataFrame:
     """path, width, height of the images as they were read; take it before preprocessing."""
     return images.select("path", "width", "height")
