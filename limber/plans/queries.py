@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from limber.operators import bench, boxes, cells, detect, ensemble, index, knn
 from limber.operators import features as feats
 from limber.plans import indexing
 from limber.session import own_folder
+from limber.sources import bands, store
 from limber.sources import images as imgs
-from limber.sources import store
 
 K = 5
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +386,44 @@ def texture_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scene_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image 12 wide and 10 high for each vector, filled as those of 8 x 8 are."""
+    v = lambda k, c: F.get("embedding", (k + 5 * c) % 64).cast("double")
+    byte = lambda k, c: F.lpad(F.hex(F.least(F.greatest(F.floor(128 + 400 * v(k, c)), F.lit(0)), F.lit(255))), 2, "0")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda k: F.concat(*[byte(k, c) for c in range(3)]))
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("vector/"), F.col("vec_id").cast("string")).alias("path"), F.lit(10).alias("height"), F.lit(12).alias("width"), F.lit(3).alias("n_channels"), F.unhex(F.array_join(pixels, "")).alias("data")
+    )
+
+
+def _pixel_rows(images: DataFrame) -> DataFrame:
+    """path, y, x and the three bytes of each pixel, as they stand."""
+    at = images.select("path", "width", F.hex("data").alias("h"), F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("i"))
+    byte = lambda c: F.conv(F.substring("h", F.col("i") * 6 + 2 * c + 1, F.lit(2)), 16, 10).cast("long").alias(f"c{c}")
+    return at.select("path", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).cast("long").alias("x"), *[byte(c) for c in range(3)])
+
+
+def contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lightness equalised by tiles, in bands of 4 rows."""
+    return _pixel_rows(bands.joined(bands.enhance_bands(scene_images(spark, sf_dir), 4)))
+
+
+def denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-local means in bands of 4 rows; smaller windows than by default, for the SQL's sake."""
+    return _pixel_rows(bands.joined(bands.denoise_bands(scene_images(spark, sf_dir), 4, template=3, search=5)))
+
+
+def upsample_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short side brought up to 16, bicubic, in bands of 5 rows."""
+    new_w, new_h, _ = boxes.upsample_dims(F.col("width"), F.col("height"), 16)
+    return _pixel_rows(bands.joined(bands.resize_bands(scene_images(spark, sf_dir), new_w, new_h, 5)))
+
+
+def normalize_textured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resized to 16 x 12, red first."""
+    return _pixel_rows(imgs.normalize_images(scene_images(spark, sf_dir), (16, 12)))
+
+
 def visual_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is not 0 of each image's 576 numbers."""
     found = feats.visual_features(texture_images(spark, sf_dir)).select("path", F.posexplode("visual").alias("place", "value"))
@@ -393,6 +432,7 @@ def visual_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
+        contrast, denoise, upsample_pixels, normalize_textured,
         geometric_features, visual_features, detect_two_stage_batched, store_incremental, store_truncate, index_versions, directory_scan, incremental_scan, index_photos,
         knn_report, index_swap, ensemble_partial, detect_plain, detect_two_stage, detect_ensemble, detect_persons, normalize_image, image_metadata, store_counts, bench_report,
         knn_batch, index_build, index_stats, table_counts, l2_normalize, fuse_features, box_filter, crop_bounds, map_back, upsample_dims, bench_summary, slowdown_ratio,
@@ -481,6 +521,56 @@ _TWO_STAGE = f"""WITH {_FLAT}, b AS (SELECT *, unnest(range(0, 3))::INT AS i FRO
             SELECT path, round(2.5 * (r - l) + 5 * l, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, l AS bbox_0, 0.0::DOUBLE AS bbox_1, r - l AS bbox_2, h::DOUBLE AS bbox_3, round(light, 6) AS overall_confidence, i AS person_id FROM d"""
 
 
+_SCENE = f"""{_FEATURES}, p AS (SELECT pose_id, k // 12 AS y, k % 12 AS x, {', '.join(f"{_PIXEL.format(k='k', c=c)} AS c{c}" for c in range(3))} FROM (SELECT pose_id, v, unnest(range(0, 120)) AS k FROM f))"""
+
+
+def _resize_sql(width: int, height: int, names: tuple[str, str, str]) -> str:
+    def taps(name: str, n_in: int, n_out: int) -> str:
+        near, far = "((1.25::DOUBLE * t - 2.25::DOUBLE) * t * t + 1)", "(((-0.75::DOUBLE * t + 3.75::DOUBLE) * t - 6) * t + 3)"
+        return f"""{name} AS (SELECT o, least(greatest(i, 0), {n_in - 1}) AS i, CASE WHEN t <= 1 THEN {near} WHEN t < 2 THEN {far} ELSE 0 END AS w
+          FROM (SELECT o, i, abs(z - i) AS t FROM (SELECT o, z, floor(z)::INT + unnest([-1, 0, 1, 2]) AS i FROM (SELECT o, (o + 0.5::DOUBLE) * {n_in} / {n_out} - 0.5::DOUBLE AS z FROM (SELECT unnest(range(0, {n_out})) AS o)))))"""
+
+    rows = ", ".join(f"sum(c{c} * w) AS c{c}" for c in range(3))
+    out = ", ".join(f"greatest(0, least(255, round_even(sum(c{c} * w), 0)))::BIGINT AS {names[c]}" for c in range(3))
+    return f"""WITH {_SCENE}, {taps('ty', 10, height)}, {taps('tx', 12, width)}, r AS (SELECT pose_id, ty.o AS y, x, {rows} FROM p JOIN ty ON ty.i = p.y GROUP BY ALL)
+    SELECT 'vector/' || pose_id AS path, y, tx.o AS x, {out} FROM r JOIN tx ON tx.i = r.x GROUP BY pose_id, y, tx.o"""
+
+
+def _denoise_sql() -> str:
+    mirrored = lambda at, n: f"CASE WHEN {at} < 0 THEN -1 - {at} WHEN {at} >= {n} THEN {2 * n - 1} - {at} ELSE {at} END"
+    squares = " + ".join(f"(a.c{c} - b.c{c}) ** 2" for c in range(3))
+    out = ", ".join(f"round_even(sum(k * c{c}) / sum(k), 0)::BIGINT AS c{c}" for c in range(3))
+    return f"""WITH {_SCENE}, g AS (SELECT yy, xx, {mirrored('yy', 10)} AS y, {mirrored('xx', 12)} AS x FROM (SELECT unnest(range(-3, 13)) AS yy) CROSS JOIN (SELECT unnest(range(-3, 15)) AS xx)),
+      w AS (SELECT pose_id, yy, xx, c0, c1, c2 FROM p JOIN g USING (y, x)), o AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx)),
+      d AS (SELECT a.pose_id, a.yy, a.xx, dy, dx, {squares} AS d FROM w a CROSS JOIN o JOIN w b ON b.pose_id = a.pose_id AND b.yy = a.yy + dy AND b.xx = a.xx + dx WHERE a.yy BETWEEN -1 AND 10 AND a.xx BETWEEN -1 AND 12),
+      s AS (SELECT pose_id, yy + unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) AS y, xx + unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) AS x, dy, dx, d FROM d),
+      k AS (SELECT pose_id, y, x, dy, dx, exp(-sum(d) / 27 / 9) AS k FROM s WHERE y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 11 GROUP BY ALL)
+    SELECT 'vector/' || k.pose_id AS path, y, x, {out} FROM k JOIN w ON w.pose_id = k.pose_id AND w.yy = y + dy AND w.xx = x + dx GROUP BY k.pose_id, y, x"""
+
+
+def _contrast_sql() -> str:
+    white, xyz = (0.950456, 1.0, 1.088754), ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+    back = np.linalg.inv(np.array(xyz)).tolist()
+    n = lambda v: f"({v!r})::DOUBLE"
+    linear = ", ".join(f"CASE WHEN c{c} / 255 > {n(0.04045)} THEN pow((c{c} / 255 + {n(0.055)}) / {n(1.055)}, {n(2.4)}) ELSE c{c} / 255 / {n(12.92)} END AS l{c}" for c in range(3))
+    t = ", ".join(f"({n(m[0])} * l2 + {n(m[1])} * l1 + {n(m[2])} * l0) / {n(w)} AS t{i}" for i, (m, w) in enumerate(zip(xyz, white, strict=True)))
+    f = ", ".join(f"CASE WHEN t{i} > {n(0.008856)} THEN cbrt(t{i}) ELSE {n(7.787)} * t{i} + 16::DOUBLE / 116 END AS f{i}" for i in range(3))
+    undone = ", ".join(f"CASE WHEN {e} > {n(0.206893)} THEN pow({e}, 3) ELSE ({e} - 16::DOUBLE / 116) / {n(7.787)} END * {n(w)} AS u{i}" for i, (e, w) in enumerate(zip(("(g + a / 500)", "g", "(g - b / 200)"), white, strict=True)))
+    light = ", ".join(f"greatest(0, least(1, {n(m[0])} * u0 + {n(m[1])} * u1 + {n(m[2])} * u2)) AS r{i}" for i, m in enumerate(back))
+    out = ", ".join(f"greatest(0, least(255, round_even(255 * CASE WHEN r{i} > {n(0.0031308)} THEN {n(1.055)} * pow(r{i}, 1 / {n(2.4)}) - {n(0.055)} ELSE {n(12.92)} * r{i} END, 0)))::BIGINT AS c{2 - i}" for i in range(3))
+    return f"""WITH {_SCENE}, l AS (SELECT *, {linear} FROM p), t AS (SELECT *, {t} FROM l), f3 AS (SELECT *, {f} FROM t),
+      m AS (SELECT pose_id, y, x, 500 * (f0 - f1) AS a, 200 * (f1 - f2) AS b, greatest(0, least(255, round_even((116 * f1 - 16) * {n(2.55)}, 0)))::INT AS q FROM f3),
+      g AS (SELECT yy // 2 AS ty, xx // 2 AS tx, CASE WHEN yy < 10 THEN yy ELSE 18 - yy END AS y, CASE WHEN xx < 12 THEN xx ELSE 22 - xx END AS x FROM (SELECT unnest(range(0, 16)) AS yy) CROSS JOIN (SELECT unnest(range(0, 16)) AS xx)),
+      h AS (SELECT pose_id, ty, tx, list(DISTINCT q) AS levels FROM m JOIN g USING (y, x) GROUP BY ALL),
+      i AS (SELECT *, (y + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS zy, (x + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS zx FROM m),
+      j AS (SELECT *, greatest(0, least(7, floor(zy)::INT)) AS y0, greatest(0, least(7, floor(zx)::INT)) AS x0 FROM i),
+      e AS (SELECT *, greatest(0, least(1, zy - y0)) AS fy, greatest(0, least(1, zx - x0)) AS fx FROM j),
+      w AS (SELECT e.*, least(7, y0 + dy) AS ty, least(7, x0 + dx) AS tx, (CASE dy WHEN 1 THEN fy ELSE 1 - fy END) * (CASE dx WHEN 1 THEN fx ELSE 1 - fx END) AS share FROM e CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS dy, unnest([0, 1, 0, 1]) AS dx)),
+      s AS (SELECT w.pose_id, y, x, a, b, sum(share * (len(list_filter(levels, lambda z: z <= q)) + least(q + 1, 4 - len(levels))) * 255 / 4) AS v FROM w JOIN h ON h.pose_id = w.pose_id AND h.ty = w.ty AND h.tx = w.tx GROUP BY ALL),
+      o AS (SELECT pose_id, y, x, a, b, (greatest(0, least(255, round_even(v, 0))) / {n(2.55)} + 16) / 116 AS g FROM s), u AS (SELECT *, {undone} FROM o), r AS (SELECT *, {light} FROM u)
+    SELECT 'vector/' || pose_id AS path, y, x, {out} FROM r"""
+
+
 def _batch_sql(measure: str, order: str) -> str:
     return f"""WITH {_FEATURES}, s AS (SELECT q.pose_id AS query_id, f.pose_id, {measure} AS score FROM f, f AS q WHERE q.pose_id % 100 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, pose_id) AS rank FROM s) SELECT query_id, rank, pose_id, round(score, 9) AS similarity_score FROM r WHERE rank <= {K}"""
@@ -495,6 +585,10 @@ def _pixels_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "contrast": _contrast_sql(),
+        "denoise": _denoise_sql(),
+        "upsample_pixels": _resize_sql(19, 16, ("c0", "c1", "c2")),
+        "normalize_textured": _resize_sql(16, 12, ("c2", "c1", "c0")),
         "knn_pruned": _batch_sql("list_inner_product(q.v, f.v)", "DESC"),
         "knn_pruned_cosine": _batch_sql("list_cosine_similarity(q.v, f.v)", "DESC"),
         "knn_pruned_l2": _batch_sql("list_distance(q.v, f.v)", "ASC"),
