@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -637,6 +638,9 @@ def test_minimum_cut_is_least():
         least = min(map(cost, itertools.product((False, True), repeat=n)))
         assert abs(cost(html_extract.minimum_cut(scores, edges)) - least) < 1e-9
     assert html_extract.minimum_cut([], []) == []
+    chain = [(i, i + 1, 0.7) for i in range(29_999)]
+    assert html_extract.minimum_cut([1.0, -1.0] * 15_000, chain) == [True] + [False] * 29_999
+    assert html_extract.minimum_cut([0.01] * 29_999 + [-5.0], chain) == [True] * 29_999 + [False]  # flow from afar
 
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -674,6 +678,48 @@ def test_names_that_only_sound_like_boilerplate_keep_their_text(name):
     assert html_extract.main_text(f'<article><p class="{name}">{one}</p><div class="{name}"><p>{two}</p></div></article>') == f"{one} {two}"
 
 
+TEXTS = ("The first paragraph of the article has enough words to be kept.", "The second paragraph of the article has enough words as well.")
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<main><div class="cookie-recipe">', "</div></main>"), ('<main><div id="newsletter-2024">', "</div></main>"), ('<div class="post"><div class="ad-free-text">', "</div></div>"),
+        ('<main><section class="discussion"><h2>Discussion</h2>', "</section></main>"), ('<main><div class="reply-to-critics">', "</div></main>"), ('<article><div class="guide-to-cookies">', "</div></article>"),
+    ],
+)
+def test_names_are_judged_by_all_their_parts(start, end):
+    got = html_extract.main_text(f"<body>{start}<p>{TEXTS[0]}</p><p>{TEXTS[1]}</p>{end}</body>")
+    assert got.removeprefix("Discussion ") == " ".join(TEXTS)
+
+
+@pytest.mark.parametrize(
+    "name", ["cookie-notice", "cookie-consent-banner", "newsletter-signup", "ad-slot-3", "footer-content", "theme-navbar", "mw-navigation", "sidebar_left", "articleComments", "comment-list", "commentBody", "post-comments", "promo2", "share-buttons", "sidebar-widget"]
+)
+def test_boilerplate_names_are_known_by_their_heads(name):
+    assert html_extract.main_text(f'<body><article><p>{TEXTS[0]}</p></article><div class="{name}"><p>{TEXTS[1]}</p></div></body>') == TEXTS[0]
+
+
+def test_what_nothing_speaks_against_is_kept():
+    assert html_extract.main_text("<body><p>Hello world</p></body>") == "Hello world"
+    assert html_extract.main_text("<nav><a href=/>Home</a></nav><p>Hello world</p><footer>imprint</footer>") == "Hello world"
+    assert html_extract.main_text("<nav><a href=/>Home</a></nav><footer>imprint</footer>") == ""
+    assert len(html_extract.main_text("<body>" + "<p>words without a stop</p>" * 2000 + "</body>").split()) == 8000
+    listed = "<ul><li><a href=/1>one source</a></li><li><a href=/2>another source</a></li><li><a href=/3>a third source</a></li></ul>"
+    assert html_extract.main_text(f"<article><p>{TEXTS[0]}</p>{listed}<p>{TEXTS[1]}</p></article>") == f"{TEXTS[0]} one source another source a third source {TEXTS[1]}"
+
+
+def test_large_and_deep_pages_take_time_in_proportion():
+    began = time.perf_counter()
+    page = "".join(f"<p>{TEXTS[i % 2]}</p><div class=ad>Buy it now.</div>" for i in range(20_000))
+    assert html_extract.main_text(f"<body>{page}</body>").startswith(TEXTS[0])
+    deep = "<div>" * 20_000 + TEXTS[0] + "</span>" * 20_000 + "</div>" * 20_000 + "<p>" + TEXTS[1]
+    assert html_extract.main_text(deep) == " ".join(TEXTS)
+    inline = "".join("<b><p>" + TEXTS[i % 2] for i in range(10_000)) + "</i>" * 20_000
+    assert len(html_extract.page_blocks(inline)) == 10_000
+    assert time.perf_counter() - began < 20  # seconds on a loaded machine; quadratic work takes minutes
+
+
 #: Pages by hand: mark-up, and what a reader would call the article.
 LABELLED = [
     ('<nav><a href=/>Home</a></nav><main><h1>Rain</h1><p>It rained all of Monday, and the river rose.</p></main><aside><h3>More</h3><p>Sun on Tuesday, says the paper.</p></aside>', "Rain It rained all of Monday, and the river rose."),
