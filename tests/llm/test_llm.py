@@ -519,6 +519,73 @@ def test_long_texts_are_cut_at_shared_runs():
     assert near_dedup.within(short, limits).tolist() == [edit_distance(x.tolist(), y.tolist()) <= n for (x, y), n in zip(short, limits, strict=True)]
 
 
+def test_long_texts_without_shared_runs_are_aligned_exactly():
+    """With k words replaced by new ones, the distance is k: a limit of k is met, one of k - 1 is not."""
+    rng = np.random.default_rng(37)
+    for n, step in ((8000, 8), (9000, 8), (20_000, 8), (12_000, 5)):
+        a = rng.integers(0, 5000, n)
+        b = a.copy()
+        b[::step] = np.arange(len(b[::step])) + 10_000
+        k = len(b[::step])
+        assert near_dedup.within([(a, b)], np.array([k])).tolist() == [True]
+        if n == 8000:
+            assert near_dedup.within([(a, b), (b, a)], np.array([k - 1, k - 1])).tolist() == [False, False]
+    a = rng.integers(0, 5000, 3000)
+    b = np.r_[rng.integers(6000, 9000, 300), a[:-250]]  # moved on by more than a narrow band
+    b[400::9] = 77_777
+    k = 300 + 250 + len(b[400::9])
+    got = [bool(near_dedup.within([(a, b)], np.array([limit]))[0]) for limit in (k, k - 60)]
+    assert got == [True, False]
+
+
+def test_grams_rule_out_only_what_cannot_be():
+    rng = np.random.default_rng(38)
+    for _ in range(200):
+        a = rng.integers(0, 40, int(rng.integers(1, 60)))
+        b = edited_numbers(rng, a, int(rng.integers(0, len(a) + 1))) if rng.random() < 0.7 else rng.permutation(a)
+        d = edit_distance(a.tolist(), b.tolist())
+        assert near_dedup.may_be_within(a, b, d)
+    assert not near_dedup.may_be_within(np.arange(1000), rng.permutation(1000), 200)
+
+
+def test_all_members_of_a_small_bucket_meet(spark):
+    """One bucket of six unrelated texts and two near copies, none of which is a hub."""
+    rng = np.random.default_rng(39)
+    text = lambda: [f"w{x}" for x in rng.integers(10**6, size=40)]
+    one = text()
+    words_ = {i: text() for i in range(6)} | {6: one, 7: ["new", *one[1:]]}
+    texts = spark.createDataFrame([(i, [zlib.crc32(v.encode()) for v in w]) for i, w in words_.items()], "id long, wh array<long>")
+    shared = texts.select(F.lit(4).cast("long").alias("key"), "id", F.size("wh").alias("n"), F.lit(0).cast("long").alias("hub"), F.lit(40).alias("hub_n"))
+    assert {r["node"]: r["label"] for r in near_dedup._compared(shared, texts, 0.8).collect()} == {6: 6, 7: 6}
+
+
+def test_recall_where_words_are_changed_at_even_distances(spark):
+    """Every fifth, sixth and seventh word changed, as templates with a field every few words are."""
+    rng = np.random.default_rng(40)
+    for n in (90, 300, 1000):
+        pairs, steps = [], []
+        for step, _ in itertools.product((5, 6, 7), range(60)):
+            a = [f"w{x}" for x in rng.integers(10**6, size=n)]
+            pairs.append((a, [f"x{rng.integers(10**6)}" if i % step == step - 1 else v for i, v in enumerate(a)]))
+            steps.append(step)
+        found = collections.Counter(step for step, hit in zip(steps, found_pairs(spark, pairs), strict=True) if hit)
+        assert min(found.values()) >= 52 and sum(found.values()) >= 0.95 * len(pairs), (n, found)
+
+
+def test_an_id_with_two_texts_is_one_document_of_one_text(spark):
+    rng = np.random.default_rng(41)
+    one, two = ([f"w{x}" for x in rng.integers(10**6, size=100)] for _ in range(2))
+    change = lambda w, at: " ".join(["new", *w[1:]] if at else w)
+    chosen = min((one, two), key=lambda w: hashlib.md5(" ".join(w).encode()).hexdigest())
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, change(one, 1)), (3, change(two, 1)), (4, " ".join(one)), (5, " ".join(two)), (1, " ".join(two))]
+    linked = {2, 4} if chosen is one else {3, 5}
+    want = {(i, 1 if i == 1 or i in linked else min({2, 3, 4, 5} - linked)) for i in range(1, 6)}
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert {(r["doc_id"], r["class_id"]) for r in got} == want and len(got) == 7
+        assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()) == sorted([1, 1, 1, min({2, 3, 4, 5} - linked)])
+
+
 def edited_numbers(rng, x, changed):
     y = x.copy()
     y[rng.choice(len(x), changed, replace=False)] = rng.integers(10_000, 20_000, changed)
