@@ -198,10 +198,10 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     by_hub = compared.select("id", F.filter(F.transform("same", lambda x, i: F.when(x, F.col("lo") + i)), lambda s: s.isNotNull()).alias("starts")).where(F.size("starts") > 0)
 
     pending = compared.where("several").select("id", "anchor", "lo", F.posexplode(F.arrays_zip("digests", "same")).alias("i", "w")).where("not w.same")
-    keyed = pending.select(F.xxhash64("anchor", "w.digests").alias("key"), "id", (F.col("lo") + F.col("i")).alias("start"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("key", "least")
+    keyed = pending.select("anchor", F.col("w.digests").alias("digest"), "id", (F.col("lo") + F.col("i")).alias("start"))
+    least = keyed.groupBy("anchor", "digest").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("anchor", "digest", "least")
     least = written(least, "least")
-    by_rest = keyed.join(least, "key").where("id > least").select("id", F.array("start").alias("starts"))
+    by_rest = keyed.join(least, ["anchor", "digest"]).where("id > least").select("id", F.array("start").alias("starts"))
     removed = by_hub.unionByName(by_rest).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     cut_schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<`from`:int,`to`:int>>"

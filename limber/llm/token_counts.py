@@ -43,7 +43,7 @@ from limber.llm.common import written
 WORD_START = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_NODES = 1_000_000
-#: Longer words are scored beside the trie, and count in the estimate with their best segmentation alone.
+#: Longer words are scored beside the trie, and enter the estimate one letter after the other: other buffers, the same numbers.
 LONG = 48
 #: Rounds of the estimate, and the uses that every piece has besides those found.
 ROUNDS, PRIOR = 2, 0.1
@@ -114,29 +114,48 @@ class ForwardTrie:
             last.appendleft((best, tokens))
         return last[0][1]
 
-    def pieces_of(self, word: str) -> list[str]:
-        """The pieces of the best segmentation, unknown letters left out. Eight bytes a letter are kept."""
-        last: deque[float] = deque([0.0], maxlen=self.longest)
-        came, suffixes = array("i", [0]), self.suffixes
+    def uses_of(self, word: str) -> dict[str, float]:
+        """How often each piece is used, over all segmentations by their probability; as :func:`expected_uses`, one letter after the other. Eight bytes a letter are kept.
+
+        Forward chances are scaled to 1 at each place; the scales are what is
+        kept. Going back, what a piece adds to the chance at its start is how
+        often it is used there.
+        """
+        suffixes, longest = self.suffixes, self.longest
+        unknown, scale = math.exp(self.unknown), array("d", [1.0])
         for end, letter in enumerate(word, 1):
-            best, length = -math.inf, 1
-            for back, total in enumerate(last, 1):
+            total, step = 0.0, 1.0
+            for back in range(1, min(end, longest) + 1):
+                if back > 1:
+                    step *= scale[end - back + 1]
                 piece = word[end - back : end]
                 if piece not in suffixes:
                     break
                 score = suffixes[piece]
-                if score is not None and total + score >= best:
-                    best, length = total + score, back
-            if suffixes.get(letter) is None and last[0] + self.unknown > best:
-                best, length = last[0] + self.unknown, 0
-            last.appendleft(best)
-            came.append(length)
-        found, end = [], len(word)
-        while end:
-            if came[end]:
-                found.append(word[end - came[end] : end])
-            end -= max(1, came[end])
-        return found
+                if score is not None:
+                    total += math.exp(score) / step
+            if suffixes.get(letter) is None:
+                total += unknown
+            scale.append(max(total, 1e-300))
+        uses: dict[str, float] = {}
+        after: deque[float] = deque([1.0] + [0.0] * longest)  # chances at end, end - 1, ...
+        for end in range(len(word), 0, -1):
+            here, step = after[0], 1.0
+            for back in range(1, min(end, longest) + 1):
+                step *= scale[end - back + 1]
+                piece = word[end - back : end]
+                if piece not in suffixes:
+                    break
+                score = suffixes[piece]
+                if score is not None:
+                    share = math.exp(score) * here / step
+                    uses[piece] = uses.get(piece, 0.0) + share
+                    after[back] += share
+            if suffixes.get(word[end - 1]) is None:
+                after[1] += unknown * here / scale[end]
+            after.popleft()
+            after.append(0.0)
+        return uses
 
     def _grow(self, word: str, end: int, path: list[int]) -> int:
         best, tokens, suffixes = -math.inf, 0, self.suffixes
@@ -278,8 +297,8 @@ def estimated_scores(df: DataFrame, initial: dict[str, float], text_col: str = "
                     if len(w) > LONG:
                         long = long or ForwardTrie(table.value)
                         place = place or {p: i for i, p in enumerate(pieces.pieces)}
-                        for p in long.pieces_of(w):
-                            total[place[p]] += n
+                        for p, share in long.uses_of(w).items():
+                            total[place[p]] += n * share
                         continue
                     words, counts = waiting.setdefault(len(w), ([], []))
                     words.append(w)

@@ -12,17 +12,17 @@ The labels belong to whole documents, of which a few windows are toxic. So the
 network is trained in rounds on the most telling windows of the toxic
 documents: at first those with the words or letter n-grams that set toxic
 documents apart, then those that the network itself scores highest. A quarter
-of the sample is held back from it to fit the last layer, unless that quarter
-has too few toxic documents.
+of the sample is held back from it to fit the last layer.
 
-The model is fitted on the driver from a sample that is bounded (``SAMPLE``
-documents of each label, picked by a hash of the id, ``TRAIN_WINDOWS`` windows
-of each). Scoring is one map over all documents and all their windows.
+The model is fitted on the driver from a sample of labelled documents that is
+bounded (``SAMPLE`` of each label, picked by a hash of the id), with all their
+words and windows. Scoring is one map over all documents and all their windows.
 
 Edge cases: null and empty texts are one window without words; a null id is not
 held out and never trained on; labels that are null are ignored, of several for
 one id the largest counts; without labels of both kinds every score is the
-share of toxic ones, or 0; an empty table gives an empty result; repeated rows
+share of toxic ones, or 0; a quarter of the sample without documents of both
+labels fits the last layer together with the rest; an empty table gives an empty result; repeated rows
 give repeated results; other columns are ignored.
 """
 
@@ -47,13 +47,11 @@ LETTER_ROWS, GRAM_SIZES = 8192, (3, 4, 5)
 PIECE, OVERLAP = 32, max(GRAM_SIZES) - 1
 #: N-grams whose vectors are summed at once; bounds the arrays.
 CHUNK_GRAMS = 1 << 19
-#: A word gets a vector of its own if it is in so many sampled documents; of more such words than MAX_WORDS the most frequent. All others are known by their letters.
-MAX_WORDS, MIN_DOCUMENTS = 20_000, 4
-#: Most documents of each label that the model is fitted on, and most windows of each of them.
-SAMPLE, TRAIN_WINDOWS = 1500, 24
+#: A word gets a vector of its own if it is in so many sampled documents; all others are known by their letters.
+MIN_DOCUMENTS = 4
+#: Most documents of each label that the model is fitted on.
+SAMPLE = 1500
 ROUNDS, BATCH, RATE = 6, 64, 0.008
-#: Fewest held-back documents of either label that the last layer is fitted on alone.
-MIN_HELD = 30
 #: Words whose projections a task keeps; beyond it the cache starts anew.
 MAX_CACHED = 300_000
 FOLDS = 5
@@ -220,7 +218,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
     frequency: Counter[str] = Counter()
     for ws in words:
         frequency.update({bare(w) for w in ws})
-    frequent = [w for w, n in sorted(frequency.items(), key=lambda x: (-x[1], x[0])) if n >= MIN_DOCUMENTS][:MAX_WORDS]
+    frequent = [w for w, n in sorted(frequency.items(), key=lambda x: (-x[1], x[0])) if n >= MIN_DOCUMENTS]
     known = {w: i + 1 for i, w in enumerate(frequent)}
     distinct: dict[str, int] = {}
     rows = [np.array([distinct.setdefault(w, len(distinct)) for w in ws], dtype=np.int64) for ws in words]
@@ -231,8 +229,6 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
     base = np.r_[0, np.cumsum([len(r) for r in rows])]
     for i, r in enumerate(rows):
         s = window_starts(len(r))
-        if len(s) > TRAIN_WINDOWS:
-            s = np.sort(rng.choice(s, TRAIN_WINDOWS, replace=False))
         doc += [i] * len(s)
         start += list(base[i] + s)
         end += [base[i + 1]] * len(s)
@@ -282,7 +278,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
         p[k] = np.ascontiguousarray(p[k])
     first = np.flatnonzero(np.r_[True, doc_[1:] != doc_[:-1]])
     x = text_features(all_logits(), first)
-    use = held if min((y[held] == 0).sum(), (y[held] == 1).sum()) >= MIN_HELD else np.ones(len(y), dtype=bool)
+    use = held if len(set(y[held])) == 2 else np.ones(len(y), dtype=bool)
     mean, scale = x[use].mean(axis=0), x[use].std(axis=0) + 1e-6
     share = float(y[use].mean())
     weight = np.where(y[use] == 1, toxic_share / share, (1 - toxic_share) / (1 - share))

@@ -215,8 +215,10 @@ def test_long_words_need_little_memory():
     for n in (token_counts.LONG, token_counts.LONG + 1, 90):
         word = "▁" + "".join(rng.choice(list("abc"), size=n))
         assert trie.tokens_of(word) == brute_tokens(word, scores)
-        pieces = trie.pieces_of(word)
-        assert len(pieces) + sum(len(c.encode()) for c in word if c not in scores) >= trie.tokens_of(word) and all(p in scores for p in pieces)
+        table = token_counts.PieceTable(scores)
+        uses = trie.uses_of(word)
+        assert np.allclose([uses.get(p, 0.0) for p in table.pieces], token_counts.expected_uses(table, [word], np.ones(1)))
+    assert math.isclose(sum(u * len(p) for p, u in trie.uses_of("ab" * 20_000).items()), 40_000, rel_tol=1e-6)
     trie.clear()
     trie.tokens_of("▁" + "ab" * 100_000)
     assert len(trie.best) == 1
