@@ -357,6 +357,31 @@ def test_scales_fill_each_slice():
         assert math.isclose(np.minimum(weight[mine] * scale[s], cap[mine]).sum(), brute_scale(weight[mine], cap[mine], want[s]), rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("budget", [None, 0.5])
+def test_raking_in_spark_comes_to_the_same(spark, monkeypatch, budget):
+    """Cells that are too many for the driver, tempered and by explicit targets, against the driver's raking."""
+    rng = np.random.default_rng(44)
+    rows = []
+    for i in range(600):
+        source, lang = f"s{int(rng.choice(4, p=[0.4, 0.3, 0.2, 0.1]))}", ["en", "de", None, "fr"][int(rng.choice(4, p=[0.4, 0.3, 0.1, 0.2]))]
+        rows.append((i, "word " * int(rng.integers(0, 80)), lang, None if i % 97 == 0 else source, ["a", "b"][i % 2]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    targets = {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.2, "nowhere": 0.2}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"a": 0.6, "b": 0.4}}  # what can be met: else where raking ends depends on its way
+    for given in (None, targets):
+        monkeypatch.setattr(mixing, "BROADCAST", 200_000)
+        want = {r["doc_id"]: r for r in mixing.mixing_weights(df, given, topic_col="topic", budget=budget).collect()}
+        monkeypatch.setattr(mixing, "BROADCAST", 0)
+        got = {r["doc_id"]: r for r in mixing.mixing_weights(df, given, topic_col="topic", budget=budget).collect()}
+        assert set(got) == set(want) and all(got[i]["n_tokens"] == r["n_tokens"] for i, r in want.items())
+        off = max(abs(got[i]["probability"] - r["probability"]) for i, r in want.items())
+        assert off < 0.01, (given is None, off)
+    assert mixing.mixing_weights(df.limit(0), budget=budget).count() == 0
+    assert mixing.mixing_weights(df.withColumn("text", F.lit("")), topic_col="topic", budget=budget).where("probability <> 1").count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST", 200_000)
+    doubled = mixing.mixing_weights(df.withColumn("t", F.lit(3)), tokens=F.col("t"), budget=budget)
+    assert {r["n_tokens"] for r in doubled.collect()} == {3}
+
+
 def test_a_rare_source_does_not_empty_the_mixture(spark):
     rows = [(i, "w " * 100, "en", f"s{i % 2}") for i in range(2000)] + [(9000, "w " * 3, "en", "rare")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
