@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.
+
+Edge cases: null and empty texts fail the quality rules; rows of one id and one
+text are copies, of which one stays; rows of one id with different texts are
+one document to near dedup, and all of them stay if it does; a null id takes no part in near
+dedup and stays; null sources and languages are values that no target lists;
+texts of any length are cleaned, compared, weighed and packed whole; extra
+columns, whatever their names, are kept until packing, whose rows have its own
+columns; an empty table gives no rows.
 """
 
 from __future__ import annotations

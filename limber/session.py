@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -47,6 +48,8 @@ def share_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _shared:
         package = Path(__file__).resolve().parent
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / package.name), "zip", root_dir=package.parent, base_dir=package.name)
+        folder = tempfile.mkdtemp()  # the driver serves the archive from there until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = shutil.make_archive(str(Path(folder) / package.name), "zip", root_dir=package.parent, base_dir=package.name)
         spark.sparkContext.addPyFile(archive)
         _shared.add(app)
