@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limber.functions import vectors
-from limber.operators import bench, boxes, cells, detect, ensemble, index, knn
+from limber.operators import bench, boxes, cells, detect, ensemble, index, knn, models
 from limber.operators import features as feats
 from limber.plans import indexing
 from limber.session import own_folder
-from limber.sources import bands, store
+from limber.sources import bands, store, versions
 from limber.sources import images as imgs
 
 K = 5
@@ -367,6 +367,51 @@ def index_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [*runs, stats])
 
 
+def index_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of an index, old ones cleared, then all: how many versions there are and what the newest holds."""
+    f, path = features(spark, sf_dir), _own(spark, "index")
+    shown = []
+
+    def look(step: str) -> None:
+        numbers = versions.versions(spark, path)
+        held = index.read_index(spark, path) if numbers else f.limit(0)
+        kept = held.count()  # before the next step takes it away
+        shown.append(f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), F.lit(len(numbers)).cast("long").alias("n_versions"), F.lit(kept).cast("long").alias("n_total"), "n"))
+
+    for remainder in (0, 1):
+        index.build_index(f.where(F.col("pose_id") % 2 == remainder), path, force_rebuild=True)
+    index.build_index(f, path, force_rebuild=True)
+    look("built")
+    index.clear_old_versions(spark, path)
+    look("old ones cleared")
+    index.clear_index(spark, path)
+    look("cleared")
+    index.build_index(f.where("pose_id % 2 = 0"), path)
+    look("built anew")
+    return reduce(DataFrame.unionByName, shown)
+
+
+def detect_model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector whose file, made of the table, is brought to the executors: brightness of at least the parts' mean."""
+    images, where = flat_images(spark, sf_dir), _own(spark, "model")
+    mean = table(spark, sf_dir, "part").agg(F.format_string("%.6f", F.avg((F.col("p_partkey") % 256) / 255)).alias("value"))
+    mean.coalesce(1).write.text(where)
+    name = next(n for n in versions.names(spark, where) if n.startswith("part-"))
+
+    def load(path: str) -> float:
+        with open(path) as f:
+            return float(f.read())
+
+    return _shown_poses(detect.detect(images, models.model_factory(models.share_model(spark, f"{where}/{name}"), load, detect.brightness_detector)))
+
+
+def bench_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two detectors over a folder of images, without the times."""
+    variants = {"all": lambda x: detect.detect(x, detect.figure_detector), "bright": lambda x: detect.detect(x, partial(detect.figure_detector, 0.5))}
+    found = indexing.benchmark(spark, _photos(spark, sf_dir), variants, glob="*.bmp")
+    return found.select("variant", "n_images", "n_detected", F.round("avg_confidence", 8).alias("avg_confidence"))
+
+
 def geometric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 52 numbers of each pose, a row each; keypoints of little visibility are left out."""
     f = features(spark, sf_dir)
@@ -432,6 +477,7 @@ def visual_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
+        index_cleared, detect_model_file, bench_photos,
         contrast, denoise, upsample_pixels, normalize_textured,
         geometric_features, visual_features, detect_two_stage_batched, store_incremental, store_truncate, index_versions, directory_scan, incremental_scan, index_photos,
         knn_report, index_swap, ensemble_partial, detect_plain, detect_two_stage, detect_ensemble, detect_persons, normalize_image, image_metadata, store_counts, bench_report,
@@ -585,6 +631,12 @@ def _pixels_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "index_cleared": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 2 = 0) AS even FROM embeddings),
+            x AS (SELECT n, unnest([{'s': 'built', 'v': 3, 'k': n}, {'s': 'old ones cleared', 'v': 1, 'k': n}, {'s': 'cleared', 'v': 0, 'k': 0}, {'s': 'built anew', 'v': 1, 'k': even}]) AS x FROM n) SELECT x.s AS step, x.v::BIGINT AS n_versions, x.k::BIGINT AS n_total, n FROM x""",
+        "detect_model_file": f"""WITH {_FLAT}, m AS (SELECT printf('%.6f', avg((p_partkey % 256) / 255))::DOUBLE AS least FROM part)
+            SELECT path, round(2.5 * w, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3, round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p, m WHERE light >= least""",
+        "bench_photos": f"""WITH {_FEATURES}, b AS (SELECT pose_id, avg({_PIXEL.format(k='k', c='c')}) / 255 AS light FROM (SELECT pose_id, v, unnest(range(0, 64)) AS k FROM f) CROSS JOIN (SELECT unnest(range(0, 3)) AS c) WHERE pose_id % 2 = 0 GROUP BY pose_id)
+            SELECT 'all' AS variant, count(*) AS n_images, count(*) AS n_detected, round(avg(light), 8) AS avg_confidence FROM b UNION ALL SELECT 'bright', count(*), count(*) FILTER (light >= 0.5), round(coalesce(avg(light) FILTER (light >= 0.5), 0), 8) FROM b""",
         "contrast": _contrast_sql(),
         "denoise": _denoise_sql(),
         "upsample_pixels": _resize_sql(19, 16, ("c0", "c1", "c2")),
