@@ -108,7 +108,12 @@ def _write_batch(rows: DataFrame, base: Snapshot, folder: str) -> bool:
     """Write what ``base`` lacks of the rows; whether that is anything. Only what a commit names counts."""
     spark = rows.sparkSession
     path = f"{base.root}/data/{folder}"
-    lacking = lambda part, name: part.join(base.read(spark, name).select("id"), "id", "left_anti")
+
+    def lacking(part: DataFrame, name: str) -> DataFrame:
+        """The rows whose id the store lacks. What it has is met with the batch first, so that ids of a large store need no shuffle where the batch can be broadcast."""
+        known = base.read(spark, name).select("id").join(part.select("id"), "id", "left_semi")
+        return part.join(known, "id", "left_anti")
+
     fresh = lacking(rows.withColumnRenamed("pose_id", "id"), "pose_detections").withColumnRenamed("id", "pose_id")
     fresh.write.parquet(f"{path}/rows")
     fresh = spark.read.schema(fresh.schema).parquet(f"{path}/rows")
