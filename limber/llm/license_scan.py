@@ -32,13 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limber.llm.license_texts import WHOLE
+
 CONTAINMENT = 0.8
 STRETCH = 1.5
 
 #: Phrases and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-#: Short grants and well-known passages of public licenses, by label.
+#: Short grants and well-known passages of public licenses, and whole texts and notices, by label.
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Released under the MIT License"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -52,6 +54,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    *WHOLE,
 ]
 
 #: Bytes to bytes: A-Z to lower case, every other ASCII byte that is no letter or digit to a space.

@@ -167,7 +167,8 @@ p AS (SELECT r, doc_id, len(w) AS n_words, {' || '.join(places)} AS places FROM
 t(number, label, words, size, need, room) AS (VALUES {', '.join(rows)}),
 tw AS (SELECT number, room, need, unnest(words) AS word FROM t),
 u AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
-hits AS (SELECT r, number, i, word, room, need FROM u JOIN tw USING (word)),
+every AS (SELECT r, number, i, word, room, need FROM u JOIN tw USING (word)),
+hits AS (SELECT * FROM every SEMI JOIN (SELECT r, number FROM every GROUP BY r, number, need HAVING count(DISTINCT word) >= need) USING (r, number)),
 windows AS (SELECT a.r, a.number, a.i, count(DISTINCT b.word) AS c FROM hits a JOIN hits b ON a.r = b.r AND a.number = b.number AND b.i > a.i - a.room AND b.i <= a.i GROUP BY a.r, a.number, a.i, a.need HAVING count(DISTINCT b.word) >= a.need),
 blocks AS (SELECT r, list(DISTINCT label) AS labels, max(c::DOUBLE / size) AS share FROM windows JOIN t USING (number) GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,
