@@ -265,8 +265,8 @@ def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_two_stage_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As detect_two_stage, with the crops of many images in one batch of the pose model."""
-    return _shown_poses(detect.two_stage_batched(flat_images(spark, sf_dir), detect.thirds_detector, detect.brightness_detector))
+    """Persons' crops of many images in one batch of the pose model, over textured images."""
+    return _shown_poses(detect.two_stage_batched(scene_images(spark, sf_dir), detect.thirds_detector, detect.brightness_detector))
 
 
 def _pruned(metric: str) -> Query:
@@ -392,9 +392,9 @@ def index_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detector whose file, made of the table, is brought to the executors: brightness of at least the parts' mean."""
-    images, where = flat_images(spark, sf_dir), _own(spark, "model")
-    mean = table(spark, sf_dir, "part").agg(F.format_string("%.6f", F.avg((F.col("p_partkey") % 256) / 255)).alias("value"))
+    """A detector whose file, made of the table, is brought to the executors: brightness of at least a level that the vectors' mean sets."""
+    images, where = scene_images(spark, sf_dir), _own(spark, "model")
+    mean = features(spark, sf_dir).agg(F.format_string("%.6f", 0.5 + F.avg(F.get("feature_vector", F.lit(0)).cast("double"))).alias("value"))
     mean.coalesce(1).write.text(where)
     name = next(n for n in versions.names(spark, where) if n.startswith("part-"))
 
@@ -633,8 +633,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "index_cleared": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 2 = 0) AS even FROM embeddings),
             x AS (SELECT n, unnest([{'s': 'built', 'v': 3, 'k': n}, {'s': 'old ones cleared', 'v': 1, 'k': n}, {'s': 'cleared', 'v': 0, 'k': 0}, {'s': 'built anew', 'v': 1, 'k': even}]) AS x FROM n) SELECT x.s AS step, x.v::BIGINT AS n_versions, x.k::BIGINT AS n_total, n FROM x""",
-        "detect_model_file": f"""WITH {_FLAT}, m AS (SELECT printf('%.6f', avg((p_partkey % 256) / 255))::DOUBLE AS least FROM part)
-            SELECT path, round(2.5 * w, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3, round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p, m WHERE light >= least""",
+        "detect_model_file": f"""WITH {_SCENE}, m AS (SELECT printf('%.6f', 0.5::DOUBLE + avg(v[1]))::DOUBLE AS least FROM f), l AS (SELECT pose_id, sum(c0 + c1 + c2) / 360 / 255 AS light FROM p GROUP BY pose_id)
+            SELECT 'vector/' || pose_id AS path, 30.0::DOUBLE AS sum_x, 25.0::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, 12.0::DOUBLE AS bbox_2, 10.0::DOUBLE AS bbox_3, round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM l, m WHERE light >= least""",
         "bench_photos": f"""WITH {_FEATURES}, b AS (SELECT pose_id, avg({_PIXEL.format(k='k', c='c')}) / 255 AS light FROM (SELECT pose_id, v, unnest(range(0, 64)) AS k FROM f) CROSS JOIN (SELECT unnest(range(0, 3)) AS c) WHERE pose_id % 2 = 0 GROUP BY pose_id)
             SELECT 'all' AS variant, count(*) AS n_images, count(*) AS n_detected, round(avg(light), 8) AS avg_confidence FROM b UNION ALL SELECT 'bright', count(*), count(*) FILTER (light >= 0.5), round(coalesce(avg(light) FILTER (light >= 0.5), 0), 8) FROM b""",
         "contrast": _contrast_sql(),
@@ -670,7 +670,10 @@ def oracle_sql() -> dict[str, str]:
         "detect_plain": f"""WITH {_FLAT} SELECT path, round(2.5 * w, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3,
             round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p WHERE light >= 0.25""",
         "detect_two_stage": _TWO_STAGE,
-        "detect_two_stage_batched": _TWO_STAGE,
+        "detect_two_stage_batched": f"""WITH {_SCENE}, b AS (SELECT i, i * 3.0::DOUBLE AS x1, i * 3.0::DOUBLE + 6 AS x2 FROM (SELECT unnest([1, 2])::INT AS i)),
+            k AS (SELECT i, trunc(greatest(0::DOUBLE, x1 - (x2 - x1) * 0.1::DOUBLE)) AS l, trunc(least(12::DOUBLE, x2 + (x2 - x1) * 0.1::DOUBLE)) AS r FROM b)
+            SELECT 'vector/' || pose_id AS path, round(2.5 * (r - l) + 5 * l, 6)::DOUBLE AS sum_x, 25.0::DOUBLE AS sum_y, l AS bbox_0, 0.0::DOUBLE AS bbox_1, r - l AS bbox_2, 10.0::DOUBLE AS bbox_3,
+              round(sum(c0 + c1 + c2) / count(*) / 3 / 255, 6) AS overall_confidence, i AS person_id FROM p JOIN k ON x >= l AND x < r GROUP BY pose_id, i, l, r""",
         "detect_ensemble": f"""WITH {_FLAT} SELECT path, round(2.5 * w + CASE WHEN light >= 0.5 THEN 2.5 ELSE 0 END, 6)::DOUBLE AS sum_x, round(2.5 * h, 6)::DOUBLE AS sum_y, 0.0::DOUBLE AS bbox_0, 0.0::DOUBLE AS bbox_1, w::DOUBLE AS bbox_2, h::DOUBLE AS bbox_3,
             round(light, 6) AS overall_confidence, NULL::INT AS person_id FROM p WHERE light >= 0.25""",
         "detect_persons": f"""WITH {_FLAT}, b AS (SELECT *, unnest(range(0, 3)) AS box_idx FROM p)
