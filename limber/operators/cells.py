@@ -182,7 +182,7 @@ def _over(spark: SparkSession, rows: DataFrame, numbers: np.ndarray, asked: pa.A
     read = rows.where(F.col("cell").isin(cells)) if cells else rows.limit(0)
     if metric == "cosine":
         read = read.where(knn.usable("v", metric))
-    return read.select("id", "v", "cell").coalesce(knn.SCANS_A_SLOT * spark.sparkContext.defaultParallelism).mapInArrow(lambda it: _search(it, shared.value, k, metric), types)
+    return read.select("id", "v", "cell").coalesce(knn.SCANS).mapInArrow(lambda it: _search(it, shared.value, k, metric), types)
 
 
 def _first_cells(low: np.ndarray, high: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

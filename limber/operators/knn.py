@@ -31,8 +31,8 @@ from limber.functions.vectors import MAPPINGS, METRICS
 BLOCK, CHUNK = 4096, 16_384
 #: Bytes of a block of queries that is broadcast, at most.
 BLOCK_BYTES = 128 << 20
-#: Tasks that scan an index, for each of the cluster's slots; what they keep does not grow with the index.
-SCANS_A_SLOT = 4
+#: Tasks that scan an index, at most; so what they keep does not grow with it.
+SCANS = 4096
 #: Queries whose scores with a chunk are held at once.
 AT_ONCE = 256
 
@@ -206,7 +206,7 @@ def search_similar_batch(
         spark = index.sparkSession
         block = spark.sparkContext.broadcast(collected(asked))
         tasks = thin if a["n"] else thin.limit(0)
-        found = tasks.coalesce(SCANS_A_SLOT * spark.sparkContext.defaultParallelism).mapInArrow(lambda it: _scan(it, block.value, k, metric), types)
+        found = tasks.coalesce(SCANS).mapInArrow(lambda it: _scan(it, block.value, k, metric), types)
         return ranked(found, k, metric, id_col, mapping, scale)
     b = sizes(thin)
     if b["n"] and (b["least"], b["most"]) != (a["least"], a["least"]):
