@@ -14,10 +14,12 @@ its pieces over all its segmentations (a map; as many rows as there are pieces
 come to the driver). The rounds start from Zipf's law over the ranks.
 
 Counting is one map over the documents: no shuffle, and the vocabulary is the
-only broadcast (its size is that of the tokenizer). A task's trie is emptied
-whenever it outgrows ``max_nodes``, and words of more than ``LONG`` letters are
-scored beside it in a buffer of the longest piece, which changes memory and
-never a count.
+only broadcast (its size is that of the tokenizer). A task gathers the words it
+has no count for yet, sorts them, and scores their trie level by level: the
+words of one prefix lie together, so a level is a few array operations over its
+nodes. Counts are forgotten when they are more than ``max_words``, tries hold
+``LOT`` words at most, and words of more than ``LONG`` letters are scored singly
+in a buffer of the longest piece; none of these changes a count.
 
 Edge cases: null and empty texts have no words and no tokens; a character the
 vocabulary lacks costs one byte token for each UTF-8 byte; without any words
@@ -42,7 +44,8 @@ from limber.llm.common import written
 #: The mark of a word's start in the vocabulary's pieces.
 WORD_START = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_NODES = 1_000_000
+#: Counts of words that a task keeps, words of a trie, and words of texts that are looked at together.
+MAX_WORDS, LOT, GROUP = 1_000_000, 100_000, 500_000
 #: Longer words are scored beside the trie, and enter the estimate one letter after the other: other buffers, the same numbers.
 LONG = 48
 #: Rounds of the estimate, and the uses that every piece has besides those found.
@@ -65,39 +68,97 @@ def unigram_scores(model_file: str = TOKENIZER) -> dict[str, float]:
 
 
 class ForwardTrie:
-    """Nodes are prefixes; each holds the best score of its prefix and the tokens of that segmentation.
+    """Nodes are prefixes of a sorted list of words; each has the best score of its prefix and the tokens of that segmentation.
 
-    A new node looks only at the pieces that end where it ends: their suffixes
-    are known, so the search stops at the first suffix that no piece has.
+    A node looks only at the pieces that end where it ends, found by the hash of
+    their letters from the last one on, and the search stops at the first suffix
+    that no piece has.
     """
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.longest = max(map(len, scores), default=1)
-        self.suffixes: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))} | scores
-        self.clear()
+        by_length: dict[int, list[str]] = {}
+        for piece in scores:
+            by_length.setdefault(len(piece), []).append(piece)
+        hashes, found = [np.zeros(1, dtype=np.uint64)], [np.full(1, np.nan)]
+        for n, pieces in by_length.items():
+            letters = np.array([list(map(ord, p)) for p in pieces], dtype=np.uint64)
+            h = np.zeros(len(pieces), dtype=np.uint64)
+            for back in range(1, n + 1):
+                h = _next(h, letters[:, n - back])
+                hashes.append(h)
+                found.append(np.array([scores[p] for p in pieces]) if back == n else np.full(len(pieces), np.nan))
+        every, score = np.concatenate(hashes), np.concatenate(found)
+        order = np.lexsort((np.isnan(score), every))  # of a suffix that is a piece too, the piece
+        first = np.r_[True, every[order][1:] != every[order][:-1]]
+        self.hashes, self.scores = every[order][first], score[order][first]
 
-    def clear(self) -> None:
-        self.edges: dict[int, int] = {}  # (node, letter) in one number
-        self.best = array("d", [0.0])
-        self.tokens = array("q", [0])
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are those of a piece's suffix, and the scores of the pieces, NaN where there is none."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        known = self.hashes[at] == h
+        return known, np.where(known, self.scores[at], np.nan)
+
+    def tokens_of(self, words: list[str]) -> np.ndarray:
+        """Tokens of the best segmentation of each of the sorted, distinct words; of equally good ones that whose last piece is longest, and so on."""
+        n, length = len(words), np.array(list(map(len, words)), dtype=np.int64)
+        width = int(length.max(initial=0))
+        letters = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), dtype=np.uint32).reshape(n, width).astype(np.uint64)
+        shared = np.full(n, -1, dtype=np.int64)  # letters that a word has in common with the one before it
+        if n > 1:
+            shared[1:] = (letters[1:] != letters[:-1]).argmax(axis=1)
+        out = np.zeros(n, dtype=np.int64)
+        levels = deque([(np.zeros(n, dtype=np.int64), np.zeros(1), np.zeros(1, dtype=np.int64))], maxlen=self.longest)  # node of each word, best score and tokens of each node
+        for depth in range(1, width + 1):
+            at = np.flatnonzero(length >= depth)
+            new = shared[at] < depth
+            new[:1] = True
+            node = np.full(n, -1, dtype=np.int64)
+            node[at] = np.cumsum(new) - 1
+            word = at[new]  # one of each node's words
+            best, tokens = np.full(len(word), -np.inf), np.zeros(len(word), dtype=np.int64)
+            h, alive = np.zeros(len(word), dtype=np.uint64), np.arange(len(word))
+            plain = np.zeros(len(word), dtype=bool)
+            for back in range(1, min(depth, self.longest) + 1):
+                h = _next(h, letters[word[alive], depth - back])
+                known, score = self.find(h)
+                is_piece = ~np.isnan(score)
+                if back == 1:
+                    plain = is_piece
+                of = alive[is_piece]
+                nodes, scores, counts = levels[-back]
+                before = nodes[word[of]]
+                total = scores[before] + score[is_piece]
+                better = total >= best[of]
+                best[of[better]], tokens[of[better]] = total[better], counts[before[better]] + 1
+                h, alive = h[known], alive[known]
+                if not len(alive):
+                    break
+            odd = np.flatnonzero(~plain)
+            if len(odd):
+                nodes, scores, counts = levels[-1]
+                before = nodes[word[odd]]
+                total, letter = scores[before] + self.unknown, letters[word[odd], depth - 1]
+                better = total > best[odd]
+                n_bytes = 1 + (letter >= 0x80) + (letter >= 0x800) + (letter >= 0x10000)
+                best[odd[better]], tokens[odd[better]] = total[better], (counts[before] + n_bytes)[better]
+            levels.append((node, best, tokens))
+            ends = at[length[at] == depth]
+            out[ends] = tokens[node[ends]]
+        return out
+
+
+class LongWords:
+    """The same for single words of any length, in buffers of the longest piece."""
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        self.unknown = min(scores.values(), default=0.0) - 10.0
+        self.longest = max(map(len, scores), default=1)
+        self.suffixes: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))} | scores
 
     def tokens_of(self, word: str) -> int:
-        """Tokens of the best segmentation; of equally good ones that whose last piece is longest, and so on."""
-        if len(word) > LONG:
-            return self._tokens_of_long(word)
-        path, node, edges = [0], 0, self.edges
-        for end, letter in enumerate(word, 1):
-            edge = node << 21 | ord(letter)
-            nxt = edges.get(edge)
-            if nxt is None:
-                edges[edge] = nxt = self._grow(word, end, path)
-            node = nxt
-            path.append(node)
-        return self.tokens[node]
-
-    def _tokens_of_long(self, word: str) -> int:
-        """The same without the trie: only the last prefixes, as many as the longest piece has letters, are kept."""
+        """Only the last prefixes, as many as the longest piece has letters, are kept."""
         last: deque[tuple[float, int]] = deque([(0.0, 0)], maxlen=self.longest)  # of prefixes end - 1, end - 2, ...
         suffixes = self.suffixes
         for end, letter in enumerate(word, 1):
@@ -157,22 +218,6 @@ class ForwardTrie:
             after.append(0.0)
         return uses
 
-    def _grow(self, word: str, end: int, path: list[int]) -> int:
-        best, tokens, suffixes = -math.inf, 0, self.suffixes
-        for start in range(end - 1, -1, -1):
-            piece = word[start:end]
-            if piece not in suffixes:
-                break
-            score = suffixes[piece]
-            if score is not None and (total := self.best[path[start]] + score) >= best:
-                best, tokens = total, self.tokens[path[start]] + 1
-        letter = word[end - 1]
-        if suffixes.get(letter) is None and (total := self.best[path[end - 1]] + self.unknown) > best:
-            best, tokens = total, self.tokens[path[end - 1]] + len(letter.encode())
-        self.best.append(best)
-        self.tokens.append(tokens)
-        return len(self.best) - 1
-
 
 class PieceTable:
     """Pieces and their prefixes by the 64-bit hash of their letters, with the pieces' probabilities."""
@@ -288,14 +333,14 @@ def estimated_scores(df: DataFrame, initial: dict[str, float], text_col: str = "
         def used(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
             pieces = PieceTable(table.value)
             total = np.zeros(len(pieces.pieces))
-            long: ForwardTrie | None = None
+            long: LongWords | None = None
             place: dict[str, int] = {}
             waiting: dict[int, tuple[list[str], list[float]]] = {}  # words by length, until there are enough to be taken at once
             for batch in batches:
                 for w, n in zip(batch["word"].tolist(), batch["n"].tolist(), strict=True):
                     w = WORD_START + w
                     if len(w) > LONG:
-                        long = long or ForwardTrie(table.value)
+                        long = long or LongWords(table.value)
                         place = place or {p: i for i, p in enumerate(pieces.pieces)}
                         for p, share in long.uses_of(w).items():
                             total[place[p]] += n * share
@@ -322,15 +367,26 @@ def estimated_scores(df: DataFrame, initial: dict[str, float], text_col: str = "
 
 
 class TerminalCounts(dict):
-    """Word (UTF-8) to tokens; a word asked for the first time is inserted in the trie."""
+    """Word (UTF-8) to tokens."""
 
-    def __init__(self, trie: ForwardTrie) -> None:
+    def __init__(self, scores: dict[str, float], lot: int = LOT) -> None:
         super().__init__()
-        self.trie = trie
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = self.trie.tokens_of(WORD_START + word.decode())
-        return n
+        self.trie, self.lot, self.scores, self.long = ForwardTrie(scores), lot, scores, None
+
+    def learn(self, words: set[bytes]) -> None:
+        """Take in words that have no count yet."""
+        short: dict[str, bytes] = {}
+        for w in words:
+            marked = WORD_START + w.decode()
+            if len(marked) <= LONG:
+                short[marked] = w
+            else:
+                self.long = self.long or LongWords(self.scores)
+                self[w] = self.long.tokens_of(marked)
+        ordered = sorted(short)
+        for lo in range(0, len(ordered), self.lot):
+            part = ordered[lo : lo + self.lot]
+            self.update(zip(map(short.__getitem__, part), self.trie.tokens_of(part).tolist(), strict=True))
 
 
 def word_lists(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -345,27 +401,39 @@ def word_lists(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = to
 
 
-def token_counts(df: DataFrame, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = MAX_NODES) -> DataFrame:
+def token_counts(df: DataFrame, scores: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, lot: int = LOT, group: int = GROUP) -> DataFrame:
     """One row per input row: the id, n_words and n_tokens (long). Without ``scores`` they are estimated from ``df``."""
     vocabulary = df.sparkSession.sparkContext.broadcast(scores if scores is not None else estimated_scores(df, unigram_scores(), text_col))
     id_type = df.schema[id_col].dataType.simpleString()
     thin = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))  # pandas would round large ids beside nulls
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = ForwardTrie(vocabulary.value)
-        terminal = TerminalCounts(trie)
+        terminal = TerminalCounts(vocabulary.value, lot)
         for batch in batches:
-            n_words, n_tokens = [], []
-            for text in batch["text"]:
-                found = tokens = 0
+            n_words, n_tokens = [0] * len(batch), [0] * len(batch)
+            waiting: list[tuple[int, list[bytes]]] = []
+            new: set[bytes] = set()
+
+            def settle(waiting=waiting, new=new, n_tokens=n_tokens) -> None:
+                terminal.learn(new)
+                for i, ws in waiting:
+                    n_tokens[i] += sum(map(terminal.__getitem__, ws))
+                waiting.clear()
+                new.clear()
+                if len(terminal) > max_words:
+                    terminal.clear()
+
+            held = 0
+            for i, text in enumerate(batch["text"]):
                 for ws in word_lists(text):
-                    found += len(ws)
-                    tokens += sum(map(terminal.__getitem__, ws))
-                    if len(trie.best) > max_nodes:
-                        trie.clear()
-                        terminal.clear()
-                n_words.append(found)
-                n_tokens.append(tokens)
+                    n_words[i] += len(ws)
+                    held += len(ws)
+                    waiting.append((i, ws))
+                    new.update(w for w in ws if w not in terminal)
+                    if held > group:
+                        settle()
+                        held = 0
+            settle()
             yield pd.DataFrame({"id": batch["id"], "n_words": n_words, "n_tokens": n_tokens})
 
     out = thin.mapInPandas(counted, "id string, n_words long, n_tokens long")

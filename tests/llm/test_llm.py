@@ -203,7 +203,7 @@ def test_token_counts(spark, corpus):
     got = token_counts.token_counts(frame(spark, corpus), scores).collect()
     expected = collections.Counter((i, len(split(t)), sum(brute_tokens("▁" + w, scores) for w in split(t))) for i, t in corpus)
     assert collections.Counter(map(tuple, got)) == expected
-    small = token_counts.token_counts(frame(spark, corpus), scores, max_nodes=50).collect()
+    small = token_counts.token_counts(frame(spark, corpus), scores, max_words=50, lot=7, group=90).collect()
     assert collections.Counter(map(tuple, small)) == expected
     assert token_counts.token_counts(frame(spark, corpus).limit(0), scores).count() == 0
 
@@ -211,17 +211,25 @@ def test_token_counts(spark, corpus):
 def test_long_words_need_little_memory():
     rng = np.random.default_rng(19)
     scores = {"".join(rng.choice(list("ab▁"), size=n)): -float(rng.random()) * n for n in (1, 2, 3, 5) for _ in range(12)}
-    trie = token_counts.ForwardTrie(scores)
+    trie, long = token_counts.ForwardTrie(scores), token_counts.LongWords(scores)
     for n in (token_counts.LONG, token_counts.LONG + 1, 90):
         word = "▁" + "".join(rng.choice(list("abc"), size=n))
-        assert trie.tokens_of(word) == brute_tokens(word, scores)
+        assert long.tokens_of(word) == brute_tokens(word, scores) == trie.tokens_of([word])[0]
         table = token_counts.PieceTable(scores)
-        uses = trie.uses_of(word)
+        uses = long.uses_of(word)
         assert np.allclose([uses.get(p, 0.0) for p in table.pieces], token_counts.expected_uses(table, [word], np.ones(1)))
-    assert math.isclose(sum(u * len(p) for p, u in trie.uses_of("ab" * 20_000).items()), 40_000, rel_tol=1e-6)
-    trie.clear()
-    trie.tokens_of("▁" + "ab" * 100_000)
-    assert len(trie.best) == 1
+    assert math.isclose(sum(u * len(p) for p, u in long.uses_of("ab" * 20_000).items()), 40_000, rel_tol=1e-6)
+    assert long.tokens_of("▁" + "ab" * 100_000) > 0
+
+
+def test_trie_of_many_words():
+    """Shared prefixes, words that are prefixes of others, letters of one to four bytes, ties."""
+    rng = np.random.default_rng(20)
+    for letters in ("ab", "abcé字𝄞x"):
+        scores = {"".join(rng.choice(list(letters + "▁"), size=n)): -float(rng.integers(1, 6)) for n in (1, 1, 2, 3, 4) for _ in range(8)}
+        words_ = sorted({"▁" + "".join(rng.choice(list(letters), size=int(rng.integers(0, 12)))) for _ in range(400)})
+        assert token_counts.ForwardTrie(scores).tokens_of(words_).tolist() == [brute_tokens(w, scores) for w in words_]
+    assert token_counts.ForwardTrie({"a": -1.0}).tokens_of([]).tolist() == []
 
 
 def brute_uses(word, scores):
