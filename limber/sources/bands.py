@@ -30,6 +30,8 @@ from limber.sources.images import as_array
 
 #: Rows of a band.
 ROWS = 256
+#: Bytes of bands that a task hands on at once, about, and bands whose histograms it does.
+OUT_BYTES, COUNTED = 16 << 20, 64
 BAND = "path string, height int, width int, band int, data binary"
 _STRUCTURE = ("path", "height", "width", "n_channels", "band", "first", "n_rows", "top", "data")
 
@@ -66,15 +68,24 @@ def joined(bands: DataFrame) -> DataFrame:
 def _mapped(bands: DataFrame, change: Callable[[np.ndarray, dict], np.ndarray], extra: tuple[str, ...] = ()) -> DataFrame:
     """Each band's own rows after ``change`` of the rows it has; height and width become those of the result."""
 
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["path", "height", "width", "band", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
+            out, held = [], 0
+            for i in range(batch.num_rows):  # a row at a time: as Python numbers, maps are many times their size
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                r = {c: v.values.to_numpy() if isinstance(v, pa.ListScalar) else v.as_py() for c, v in r.items()}
                 lines = len(r["data"]) // (r["width"] * r["n_channels"])
                 x = change(as_array(r["data"], lines, r["width"], r["n_channels"]), r)
                 out.append((r["path"], r.get("new_height") or r["height"], x.shape[1], r["band"], np.ascontiguousarray(x).tobytes()))
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["path", "height", "width", "band", "data"])
+                held += x.size
+                if held >= OUT_BYTES:
+                    yield made(out)
+                    out, held = [], 0
+            if out:
+                yield made(out)
 
     return bands.select(*_STRUCTURE, *extra).mapInArrow(run, BAND)
 
@@ -94,11 +105,13 @@ def tile_maps(images: DataFrame, rows: int = ROWS, clip_limit: float = pixels.CL
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                plane = pixels.lightness(as_array(r["data"], r["n_rows"], r["width"], r["n_channels"]))
-                found.append(pixels.tile_histograms(plane, r["height"], r["first"], tiles).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("height"), batch.column("width"), pa.array(found, pa.list_(pa.int64()))], names=["path", "height", "width", "counts"])
+            for lo in range(0, batch.num_rows, COUNTED):
+                part, found = batch.slice(lo, COUNTED), []
+                for r in part.to_pylist():
+                    plane = pixels.lightness(as_array(r["data"], r["n_rows"], r["width"], r["n_channels"]))
+                    found.append(pixels.tile_histograms(plane, r["height"], r["first"], tiles).ravel())
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * tiles * tiles * 256), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("height"), part.column("width"), counts], names=["path", "height", "width", "counts"])
 
     def levelled(group: pa.Table) -> pa.Table:
         total = np.zeros(tiles * tiles * 256, dtype=np.int64)
@@ -119,7 +132,7 @@ def enhance_bands(images: DataFrame, rows: int = ROWS, with_denoise: bool = Fals
     bands = bands_of(images, rows, halo).join(maps, F.col("path").eqNullSafe(F.col("of_path")))
 
     def change(x: np.ndarray, r: dict) -> np.ndarray:
-        levels = np.array(r["maps"]).reshape(tiles, tiles, 256)
+        levels = r["maps"].reshape(tiles, tiles, 256)
         out = pixels.relight(x, lambda plane: pixels.apply_levels(plane, levels, r["height"], r["top"]))
         return _own(pixels.denoise(out) if with_denoise else out, r)
 

@@ -25,6 +25,10 @@ from limber.session import delete_path
 from limber.sources import versions
 
 
+#: Bytes of changed images that a task hands on at once, about: small images may become large ones.
+OUT_BYTES = 32 << 20
+
+
 def scan_images(spark: SparkSession, directory: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Decoded images of a directory; files that are no images are left out."""
     reader = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", str(recursive).lower())
@@ -144,17 +148,24 @@ def _mapped(images: DataFrame, change: Callable[[np.ndarray], tuple[np.ndarray,
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*carried).schema)
     schema = f"{kept}, height int, width int, n_channels int, data binary, scale_x double, scale_y double"
 
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[*carried, "height", "width", "n_channels", "data", "scale_x", "scale_y"])
+        return out.astype({c: "Int32" for c in ("height", "width", "n_channels")})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for r in batch.to_dict("records"):
+                if held >= OUT_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
                 if not has_pixels(r):
                     rows.append((*(r[c] for c in carried), *(None if r[c] != r[c] else r[c] for c in ("height", "width", "n_channels")), None, 1.0, 1.0))
                     continue
                 x, scale_x, scale_y = change(as_array(r["data"], *(int(r[c]) for c in ("height", "width", "n_channels"))))
                 rows.append((*(r[c] for c in carried), x.shape[0], x.shape[1], 3, np.ascontiguousarray(x).tobytes(), scale_x, scale_y))
-            out = pd.DataFrame(rows, columns=[*carried, "height", "width", "n_channels", "data", "scale_x", "scale_y"])
-            yield out.astype({c: "Int32" for c in ("height", "width", "n_channels")})
+                held += x.size
+            yield made(rows)
 
     return images.select(*carried, "height", "width", "n_channels", "data").mapInPandas(run, schema)
 
