@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from limber.functions.pixels import bgr_to_rgb
 from limber.operators.boxes import CROP_PADDING, MIN_PERSON_CONF, PERSON, map_back
 from limber.operators.ensemble import EnsembleConfig, fuse_poses
+from limber.session import own_folder
 from limber.sources.images import as_array, has_pixels
 
+#: Poses of an ensemble's models that a task fuses, about.
+POSES_A_TASK = 20_000
+
 Pose = dict
 Factory = Callable[[], Callable[[np.ndarray], list[Pose]]]
 
@@ -248,11 +253,19 @@ def model_poses(images: DataFrame, models: list[Factory], weights: tuple[float |
 
 
 def ensemble(images: DataFrame, models: list[Factory], config: EnsembleConfig | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """At most one fused pose per image."""
+    """At most one fused pose per image.
+
+    The models' poses are written to the shared folder first: models run once,
+    and the number of tasks that fuse follows from the number of poses, not
+    from how many tasks the images came in.
+    """
     config = config or EnsembleConfig()
-    found = model_poses(images, models, config.weights, carry)
+    spark = images.sparkSession
+    found, path = model_poses(images, models, config.weights, carry).where("det_idx = 0"), f"{own_folder(spark)}/poses-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    poses = spark.read.schema(found.schema).parquet(path)
     kept = {c: F.min(c) for c in (*carry, "elapsed_s")}
-    return fuse_poses(found, config.fusion_method, "path", kept).withColumn("det_idx", F.lit(0))
+    return fuse_poses(poses, config.fusion_method, "path", kept, 1 + poses.count() // POSES_A_TASK).withColumn("det_idx", F.lit(0))
 
 
 def detect(images: DataFrame, poses: Factory, persons: Factory | None = None, models: list[Factory] | None = None, config: EnsembleConfig | None = None, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -58,15 +58,19 @@ def fused_points(poses: DataFrame, method: str, image_col: str = "image_id") ->
     )
 
 
-def fuse_poses(poses: DataFrame, method: str = "confidence_weighted", image_col: str = "image_id", carry: dict[str, Column] | None = None) -> DataFrame:
+def fuse_poses(poses: DataFrame, method: str = "confidence_weighted", image_col: str = "image_id", carry: dict[str, Column] | None = None, tasks: int | None = None) -> DataFrame:
     """At most one pose per image: keypoints, visibility, bbox, overall_confidence, person_id. Models must agree on the number of keypoints.
 
-    ``carry`` adds columns, each an aggregate over the image's first poses.
+    ``carry`` adds columns, each an aggregate over the image's first poses. With
+    ``tasks`` the images are dealt over so many tasks, which do all that follows:
+    the number of poses a task holds is then the caller's choice.
     """
     carry = carry or {}
+    poses = poses.withColumn("of", F.struct(F.col(image_col).alias("image")))  # never null itself, so that it deals and joins rows of a null image too
+    poses = poses if tasks is None else poses.repartition(tasks, "of")
     first = first_poses(poses)
-    points = fused_points(poses, method, image_col).groupBy(image_col).agg(F.array_sort(F.collect_list(F.struct("k", "coords", "visibility"))).alias("points"))
-    about = first.groupBy(image_col).agg(
+    points = fused_points(poses, method, "of").groupBy("of").agg(F.array_sort(F.collect_list(F.struct("k", "coords", "visibility"))).alias("points"))
+    about = first.groupBy("of").agg(
         F.min_by(F.struct("bbox", "person_id"), "model_idx").alias("base"),
         F.avg("overall_confidence").alias("mean_confidence"),
         F.min(F.size("keypoints")).alias("fewest"),
@@ -78,9 +82,9 @@ def fuse_poses(poses: DataFrame, method: str = "confidence_weighted", image_col:
     mean_visibility = F.try_divide(F.aggregate(visibility, F.lit(0.0), lambda a, x: a + x), F.size("points"))
     return (
         about.where(agreed)
-        .join(points.withColumnRenamed(image_col, "points_of"), F.col(image_col).eqNullSafe(F.col("points_of")))
+        .join(points.hint("merge"), "of")
         .select(
-            image_col,
+            F.col("of.image").alias(image_col),
             F.transform("points", lambda p: p["coords"]).alias("keypoints"),
             visibility.alias("visibility"),
             F.col("base.bbox").alias("bbox"),

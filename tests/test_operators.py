@@ -339,3 +339,15 @@ def test_image_scan(spark, tmp_path):
     assert imgs.image_metadata(imgs.scan_images(spark, str(tmp_path))).head()["width"] == 8
 
 
+
+
+def test_poses_of_an_ensemble_are_fused_by_tasks_of_few(spark, monkeypatch):
+    """However few tasks the images came in, a task fuses about so many poses; images of a null path are one."""
+    monkeypatch.setattr(detect, "POSES_A_TASK", 10)
+    rows = [(None if i < 2 else f"p{i}", 4, 5, 3, bytes([40 * (i % 6)]) * 60) for i in range(60)]
+    images = spark.createDataFrame(rows, "path string, height int, width int, n_channels int, data binary").coalesce(1)
+    models = [detect.brightness_detector, partial(detect.brightness_detector, 0.0, 1.0)]
+    fused = detect.detect(images, models[0], models=models)
+    got = {r["path"]: r for r in fused.collect()}
+    assert len(got) == 59 and None in got and fused.rdd.getNumPartitions() == 13
+    assert all(len(r["keypoints"]) == 5 and r["bbox"] == [0.0, 0.0, 5.0, 4.0] for r in got.values())
