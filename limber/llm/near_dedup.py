@@ -69,8 +69,14 @@ BROADCAST_PAIRS = 100_000
 PAIRS_A_TASK = 100
 #: Members of a bucket that are all compared with each other.
 FEW = 24
-#: A larger bucket is left when so many hubs in a row have joined none of its classes.
-PATIENCE = 2
+#: Runs of so many words that members of larger buckets have in common if they are links; longer ones are taken where fewer classes have them.
+SIZES = (4, 2, 1)
+#: Such runs are counted in 2^BIN_BITS bins.
+BIN_BITS = 20
+#: Texts a task cuts into such runs, about.
+TEXTS_A_TASK = 1000
+#: Words of a block of texts that are met with all texts of another, about.
+BLOCK_WORDS = 1 << 18
 #: Words handled at once by the sketching code; bounds its arrays.
 CHUNK_WORDS = 1 << 18
 #: Texts of more than SHORT words are first aligned through shared runs of RUN words, which settles most near copies.
@@ -404,7 +410,6 @@ def _compared(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     """
     kind = shared.schema["id"].dataType.simpleString()
     labels = shared.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
-    none = shared.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     checked = None
 
     def labelled(rows: DataFrame, of: str = "id", name: str = "label") -> DataFrame:
@@ -441,31 +446,159 @@ def _compared(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     for stage in range(len(STAGES) + 1):
         compare(shared.where(F.col("key").bitwiseAND(3) == stage))
 
-    members = written(labelled(shared.select("key", "id", "n", (F.col("id") == F.col("hub")).alias("used"))), "members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    compare(_all_pairs(members.join(sizes.where((F.col("size") > 2) & (F.col("size") <= FEW)).select("key"), "key")))
-
-    now = members.join(sizes.where(F.col("size") > FEW).select("key"), "key")
-    before = None
-    while True:
-        by_class = now.groupBy("key", "label").agg(F.min("used").alias("used"))
-        mixed = by_class.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.count_if(~F.col("used")).alias("open")).where("open > 1").select("key", "classes")
-        if before is None:
-            mixed = mixed.withColumn("idle", F.lit(0))
-        else:  # a bucket goes on while its classes grow fewer
-            idle = F.when(F.col("classes") < F.col("were"), 0).otherwise(F.col("idle") + 1)
-            mixed = mixed.join(before.withColumnRenamed("classes", "were"), "key").select("key", "classes", idle.alias("idle")).where(F.col("idle") < PATIENCE)
-        before = written(mixed, "mixed")
-        if before.isEmpty():
-            return labels
-        linked = none if checked is None else checked.where("linked")
-        degrees = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        open_ = written(now.join(before.select("key"), "key").join(degrees, "id", "left"), "open")
-        best = open_.where("not used").groupBy("key").agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), "id", "n")).alias("best"))
-        hubs = written(best.select("key", F.col("best.id").alias("hub"), F.col("best.n").alias("hub_n")), "hubs")  # written, as above
-        met = written(open_.join(hubs, "key").select("key", "id", "n", "used", "hub", "hub_n"), "rest")
-        compare(met.where("not used"))
-        now = written(labelled(met.select("key", "id", "n", (F.col("used") | (F.col("id") == F.col("hub"))).alias("used"))), "members")
+    # An id gets its class before it is put in its buckets: most buckets are of one class by now.
+    rows = labelled(shared.groupBy("id", "n").agg(F.collect_list("key").alias("keys"))).select("id", "n", "label", F.explode("keys").alias("key"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most and size > 2")
+    members = written(rows.join(written(mixed.select("key", "size"), "mixed"), "key"), "members")
+    compare(_all_pairs(members.where(F.col("size") <= FEW)))
+    rest = labelled(members.where(F.col("size") > FEW).select("id", "n").distinct()).join(texts, "id")
+    rest = written(rest, "rest")
+    if not rest.isEmpty():
+        compare(_across(rest, similarity))
+    return labels
+
+
+def _grams(x: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the runs of q words, one a place."""
+    h = np.full(max(0, len(x) - q + 1), q, dtype=np.uint64)
+    for j in range(q):
+        h = _mix(h * np.uint64(0x100000001B3) + x[j : j + len(h)].view(np.uint64) + np.uint64(1))
+    return h
+
+
+def _bins(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts (wh) of a task have a run, by bins of the runs' hashes."""
+    counts = np.zeros(1 << BIN_BITS, dtype=np.int64)
+    for batch in batches:
+        values, ends = _flat(batch.column("wh"))
+        for i in range(batch.num_rows):
+            for q in SIZES:
+                counts[np.unique(_bins(_grams(values[ends[i] : ends[i + 1]], q)))] += 1
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bin", "n"])
+
+
+def segments(x: np.ndarray, n_segments: int, usual: np.ndarray) -> tuple[float, int, list[int]]:
+    """In how many texts so many runs of one size that do not overlap are by ``usual`` (by bin), the size and the places; of all sizes those that are in fewest."""
+    best = None
+    for q in SIZES:
+        weights = usual[_bins(_grams(x, q))]
+        free, found, total = bytearray(b"\1") * len(x), [], 0.0
+        for i in np.argsort(weights, kind="stable").tolist():
+            if len(found) == n_segments:
+                break
+            if free[i] and free[i + q - 1]:
+                free[i : i + q] = bytes(q)
+                found.append(i)
+                total += weights[i]
+        if len(found) == n_segments and (best is None or total < best[0]):
+            best = (total, q, found)
+    return best or (float("inf"), 1, [])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], similarity: float, usual: np.ndarray | None = None, most: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (seg, id, label, n, place) of all runs of a text's words or, with ``usual``, of as many chosen ones as one edit more than a link has can touch.
+
+    Where more than ``most`` texts have those, there is one row with a place of -1.
+    """
+    for batch in batches:
+        values, ends = _flat(batch.column("wh"))
+        of, segs, places, held = [], [], [], 0
+        for i in range(batch.num_rows):
+            x = values[ends[i] : ends[i + 1]]
+            if usual is None:
+                parts = [(_grams(x, q), np.arange(max(0, len(x) - q + 1))) for q in SIZES]
+            else:
+                total, q, at = segments(x, int((1 - similarity) * len(x) + 1e-9) + 1, usual)
+                parts = [(_grams(x, q)[at], np.array(at))] if total <= most else [(np.zeros(1, dtype=np.uint64), np.array([-1]))]
+            for h, at in parts:
+                of.append(np.full(len(h), i))
+                segs.append(h.view(np.int64))
+                places.append(at.astype(np.int32))
+                held += len(h)
+            if held >= CHUNK_WORDS or i + 1 == batch.num_rows:
+                took = pa.array(np.concatenate(of))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(segs)), *(batch.column(c).take(took) for c in ("id", "label", "n")), pa.array(np.concatenate(places))], names=["seg", "id", "label", "n", "place"])
+                of, segs, places, held = [], [], [], 0
+
+
+def _across(rest: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (id, n, hub, hub_n) of texts (id, n, label, wh) of different classes that may be links: no link is left out.
+
+    A link has d edits at most, d being what the longer text's length allows, and
+    an edit touches one of several runs of words that do not overlap. Of d + 1
+    such runs of the longer text one at least is in the other, and no more than d
+    places away. Which runs are taken changes only how many pairs come out: those
+    that few classes have, as counted by bins of hashes. A text all of whose runs
+    are so frequent that they would lead to more pairs than there are texts is
+    met with all texts of fitting length instead (:func:`_in_blocks`).
+    """
+    kind = rest.schema["id"].dataType.simpleString()
+    usual = np.zeros(1 << BIN_BITS, dtype=np.float32)
+    source = rest.select("id", "label", "n", "wh").repartition(1 + rest.count() // TEXTS_A_TASK)  # files of texts are few
+    counts = source.where("id = label").select("wh").mapInArrow(_counted, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    usual[counts["bin"].to_numpy()] = counts["n"].to_numpy()
+    most = rest.count() // 4
+    schema = f"seg long, id {kind}, label {kind}, n int, place int"
+    chosen = written(source.mapInArrow(lambda it: _runs(it, similarity, usual, most), schema).toDF("seg", "hub", "hub_label", "hub_n", "hub_place"), "segments")
+    hubs = chosen.where("hub_place >= 0")
+    runs = source.mapInArrow(lambda it: _runs(it, similarity), schema)
+    runs = written(runs.join(hubs.select("seg").distinct(), "seg"), "runs")
+    # Classes meet first, so that the members of one class never do.
+    classes = hubs.select("seg", "hub_label").distinct().join(runs.select("seg", "label").distinct(), "seg").where("label <> hub_label")
+    pairs = written(classes, "across").join(hubs, ["seg", "hub_label"]).join(runs, ["seg", "label"])
+    near = F.abs(F.col("place") - F.col("hub_place")) <= F.floor(F.lit(1 - similarity) * F.col("hub_n") + F.lit(1e-9))
+    found = pairs.where((F.col("n") <= F.col("hub_n")) & _may_link(F.col("n"), F.col("hub_n"), similarity) & near).select("id", "n", "hub", "hub_n")
+    return found.unionByName(_in_blocks(rest.join(chosen.where("hub_place < 0").select(F.col("hub").alias("id")), "id", "left_semi"), rest, similarity))
+
+
+def _in_blocks(longer: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (id, n, hub, hub_n) of ``longer`` (the hubs) and texts of ``rest`` no longer than they are, of other classes, that have as many words in common as a link.
+
+    A grid of blocks: bands of lengths, and of each so many parts that a block has
+    BLOCK_WORDS words, about. The work is that of all pairs, a task's memory is not.
+    """
+    kind = rest.schema["id"].dataType.simpleString()
+    step = -np.log(max(similarity, 0.01))
+    banded = lambda df: df.withColumn("band", F.floor(F.log(F.col("n")) / step + 1e-9))
+    longer, shorter = banded(longer), banded(rest).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    blocks = lambda df, name: df.groupBy("band").agg((1 + F.floor(F.sum("n") / BLOCK_WORDS)).alias(name))
+    grid = written(blocks(longer, "rows").join(blocks(shorter, "columns"), "band"), "grid")
+    keys = ("band", "row", "column")
+    part = lambda of: F.pmod(F.xxhash64("id"), F.col(of))
+    all_ = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    x = longer.join(grid, "band").select("band", part("rows").alias("row"), all_("columns").alias("column"), "id", "label", "n", "wh").toDF(*keys, "hub", "hub_label", "hub_n", "hub_wh")
+    y = shorter.join(grid, "band").select("band", all_("rows").alias("row"), part("columns").alias("column"), "id", "label", "n", "wh")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        (xs, x_ends), (ys, y_ends) = (_flat(c.combine_chunks()) for c in (left["hub_wh"], right["wh"]))
+        n, m = np.diff(x_ends), np.diff(y_ends)
+        labels, others = left["hub_label"].to_pylist(), np.array(right["label"].to_pylist())
+        bin_of = lambda values: (_mix(values.view(np.uint64)) >> np.uint64(54)).astype(np.int64)
+        held = np.zeros((len(m), 1024), dtype=np.int32)
+        np.add.at(held, (np.repeat(np.arange(len(m)), m), bin_of(ys)), 1)
+        out_x, out_y = [], []
+        for i in range(len(n)):
+            x = xs[x_ends[i] : x_ends[i + 1]]
+            limit = int((1 - similarity) * n[i] + 1e-9)
+            at = np.flatnonzero((m <= n[i]) & (m >= n[i] - limit) & (others != labels[i]))
+            own = np.bincount(bin_of(x), minlength=1024).astype(np.int32)
+            at = at[np.minimum(held[at], own).sum(axis=1) >= n[i] - limit]
+            for few in np.array_split(at, 1 + len(at) // 256):
+                if len(few):
+                    y = np.concatenate([ys[y_ends[j] : y_ends[j + 1]] for j in few])
+                    same = shared_words(np.tile(x, len(few)), np.arange(len(few) + 1) * len(x), y, np.r_[0, np.cumsum(m[few])])
+                    few = few[same >= n[i] - limit]
+                    out_x += [i] * len(few)
+                    out_y += few.tolist()
+        take = lambda t, rows, c: t[c].take(pa.array(rows, pa.int64()))
+        return pa.table({"id": take(right, out_y, "id"), "n": take(right, out_y, "n"), "hub": take(left, out_x, "hub"), "hub_n": take(left, out_x, "hub_n")})
+
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(meet, f"id {kind}, n int, hub {kind}, hub_n int")
 
 
 def near_duplicates(

@@ -954,3 +954,31 @@ def test_every_source_is_tempered(spark):
     fitted = (listed["factor"] * listed["n_tokens"]).groupby(listed["source"]).sum()
     want = actual**mixing.TEMPERATURE
     assert np.allclose(fitted / fitted.sum(), want / want.sum(), atol=1e-6)
+
+
+def test_all_links_of_a_large_bucket_are_found(spark):
+    """One bucket of thirty pairs of near copies, none of which links with the bucket's hub or with another pair."""
+    rng = np.random.default_rng(41)
+    passage = [f"p{x}" for x in range(30)]
+    words_ = {}
+    for i in range(30):
+        one = passage + [f"w{x}" for x in rng.integers(10**6, size=20)]
+        words_ |= {2 * i: one, 2 * i + 1: [f"new{i}", *one[1:-1], "more"]}
+    texts = spark.createDataFrame([(i, [zlib.crc32(v.encode()) for v in w]) for i, w in words_.items()], "id long, wh array<long>")
+    shared = texts.select(F.lit(4).cast("long").alias("key"), "id", F.size("wh").alias("n"), F.lit(0).cast("long").alias("hub"), F.lit(50).alias("hub_n"))
+    assert {r["node"]: r["label"] for r in near_dedup._compared(shared, texts, 0.8).collect()} == {i: i - i % 2 for i in range(60)}
+
+
+def test_no_link_is_left_out_by_runs_or_blocks(spark, monkeypatch):
+    """All pairs by brute force, of texts that share a passage of more or less of their words, drawn from few words."""
+    monkeypatch.setattr(near_dedup, "BLOCK_WORDS", 500)
+    rng = np.random.default_rng(42)
+    passage = rng.integers(0, 30, 40)
+    texts = [np.r_[passage[: int(rng.integers(20, 41))], rng.integers(0, 30, int(rng.integers(2, 20)))] for _ in range(60)]
+    texts += [edited_numbers(rng, t, int(rng.integers(1, 9))) for t in texts[:30]]
+    rest = spark.createDataFrame([(i, i - i % 3, len(t), [int(v) for v in t]) for i, t in enumerate(texts)], "id long, label long, n int, wh array<long>")
+    links = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if i // 3 != j // 3 and edit_distance(texts[i].tolist(), texts[j].tolist()) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)}
+    assert len(links) > 50
+    for found in (near_dedup._across(rest, 0.8), near_dedup._in_blocks(rest, rest, 0.8)):
+        got = [(r["id"], r["n"], r["hub"], r["hub_n"]) for r in found.collect()]
+        assert links <= {(min(a, b), max(a, b)) for a, _, b, _ in got} and all(n <= m and a // 3 != b // 3 for a, n, b, m in got)
