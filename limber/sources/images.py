@@ -27,6 +27,8 @@ from limber.sources import versions
 
 #: Bytes of changed images that a task hands on at once, about: small images may become large ones.
 OUT_BYTES = 32 << 20
+#: Files whose names a task writes down, about.
+FILES_A_TASK = 100_000
 
 
 def scan_images(spark: SparkSession, directory: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
@@ -45,8 +47,11 @@ def _decoded(loaded: DataFrame) -> DataFrame:
 
 
 def _changed(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Files that are not known, or are by another length or time."""
-    return files.join(known, ["path", "length", "modificationTime"], "left_anti")
+    """Files that are not known, or are by another length or time.
+
+    Files come in many small tasks, so what is known is dealt out by key too, not held whole in each.
+    """
+    return files.join(known.hint("merge"), ["path", "length", "modificationTime"], "left_anti")
 
 
 def scan_new_images(spark: SparkSession, directory: str, state: str, recursive: bool = False, glob: str | None = None) -> tuple[DataFrame, Callable[[], int]]:
@@ -64,7 +69,7 @@ def scan_new_images(spark: SparkSession, directory: str, state: str, recursive:
     _, content = versions.read_version(spark, state)
     known = spark.read.schema(files.schema).parquet(*[f"{state}/data/{f}" for f in content["folders"]]) if content else files.limit(0)
     folder = f"{state}/data/files-{uuid.uuid4().hex}"
-    _changed(files, known).coalesce(1 + files.count() // 1_000_000).write.parquet(folder)
+    _changed(files, known).repartition(1 + files.count() // FILES_A_TASK).write.parquet(folder)  # dealt anew: to merge the tasks would have one compare all files
     fresh = spark.read.schema(files.schema).parquet(folder)
     paths = [r["path"] for r in fresh.select("path").toLocalIterator()]
 

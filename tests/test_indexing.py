@@ -144,3 +144,14 @@ def test_images_without_pixels(spark):
         assert len(got) == 5 and len(got["a"]["data"]) == 48 and got["null"]["data"] is None and got["null"]["height"] is None and got["empty"]["width"] == 0 and got["odd"]["scale_x"] == 1.0
     assert sorted(str(r["path"]) for r in detect.detect(df, detect.figure_detector).collect()) == ["None", "a"]
     assert detect.detect(df, detect.figure_detector, persons=detect.thirds_detector).select("path").distinct().count() == 2
+
+
+def test_files_are_compared_in_the_tasks_that_list_them(spark, photos, tmp_path):
+    """No task takes in all parts of the listing, and what is known is not held whole by each."""
+    files = imgs.scan_files(spark, photos)
+    known = files.where(F.col("path").endswith("p1.bmp")).localCheckpoint()
+    changed = imgs._changed(files, known)
+    plan = changed._jdf.queryExecution().executedPlan().toString()
+    assert changed.count() == 4 and "SortMergeJoin" in plan and "Broadcast" not in plan
+    imgs.scan_new_images(spark, photos, f"{tmp_path}/state")[1]()
+    assert imgs.scan_new_images(spark, photos, f"{tmp_path}/state")[1]() == 0
