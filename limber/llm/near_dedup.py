@@ -73,6 +73,10 @@ FEW = 24
 SIZES = (4, 2, 1)
 #: Such runs are counted in 2^BIN_BITS bins.
 BIN_BITS = 20
+#: Texts of so many words and more, up to the next number, are a band: runs meet by the band of the text and by where they stand in it.
+BANDS = [1]
+while BANDS[-1] < 1 << 31:
+    BANDS.append(BANDS[-1] * 5 // 4 + 1)
 #: Texts a task cuts into such runs, about.
 TEXTS_A_TASK = 1000
 #: Words of a block of texts that are met with all texts of another, about.
@@ -500,30 +504,65 @@ def segments(x: np.ndarray, n_segments: int, usual: np.ndarray) -> tuple[float,
     return best or (float("inf"), 1, [])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], similarity: float, usual: np.ndarray | None = None, most: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows (seg, id, label, n, place) of all runs of a text's words or, with ``usual``, of as many chosen ones as one edit more than a link has can touch.
+def cell_widths(similarity: float) -> list[int]:
+    """Words of a cell of a text, by its band: as many as the edits of a link, about."""
+    return [max(1, int((1 - similarity) * most)) for most in BANDS[1:]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """All runs of a text's words: rows (seg, band, cell, id, label, n, lo, hi), one for all places from lo to hi where a cell of the text has the run."""
+    widths = cell_widths(similarity)
+    for batch in batches:
+        values, ends = _flat(batch.column("wh"))
+        of, parts, held = [], [], 0
+        for i in range(batch.num_rows):
+            x = values[ends[i] : ends[i + 1]]
+            band = int(np.searchsorted(BANDS, len(x), side="right")) - 1
+            for q in SIZES:
+                h = _grams(x, q).view(np.int64)
+                cells = np.arange(len(h)) // widths[band]
+                order = np.lexsort((cells, h))  # stable: places ascend
+                h, cells = h[order], cells[order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (cells[1:] != cells[:-1])]) if len(h) else order
+                of.append(np.full(len(first), i))
+                parts.append((h[first], np.full(len(first), band), cells[first], order[first], order[np.r_[first[1:], len(h)] - 1] if len(h) else order))
+                held += len(first)
+            if held >= CHUNK_WORDS or i + 1 == batch.num_rows:
+                took = pa.array(np.concatenate(of))
+                seg, *ints = (np.concatenate(c) for c in zip(*parts, strict=True))
+                band, cell, lo, hi = (pa.array(c.astype(np.int32)) for c in ints)
+                yield pa.RecordBatch.from_arrays([pa.array(seg), band, cell, *(batch.column(c).take(took) for c in ("id", "label", "n")), lo, hi], names=["seg", "band", "cell", "id", "label", "n", "lo", "hi"])
+                of, parts, held = [], [], 0
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], similarity: float, usual: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (seg, id, label, n, place, least_band, band) of as many runs of a text's words as one edit more than a link has can touch, with the bands of texts that it can be linked to and that are no longer.
 
     Where more than ``most`` texts have those, there is one row with a place of -1.
     """
     for batch in batches:
         values, ends = _flat(batch.column("wh"))
-        of, segs, places, held = [], [], [], 0
+        of, segs, places, bands, held = [], [], [], [], 0
         for i in range(batch.num_rows):
             x = values[ends[i] : ends[i + 1]]
-            if usual is None:
-                parts = [(_grams(x, q), np.arange(max(0, len(x) - q + 1))) for q in SIZES]
+            total, q, at = segments(x, int((1 - similarity) * len(x) + 1e-9) + 1, usual)
+            if total > most:
+                h, at = np.zeros(1, dtype=np.uint64), [-1]
             else:
-                total, q, at = segments(x, int((1 - similarity) * len(x) + 1e-9) + 1, usual)
-                parts = [(_grams(x, q)[at], np.array(at))] if total <= most else [(np.zeros(1, dtype=np.uint64), np.array([-1]))]
-            for h, at in parts:
-                of.append(np.full(len(h), i))
-                segs.append(h.view(np.int64))
-                places.append(at.astype(np.int32))
-                held += len(h)
+                h = _grams(x, q)[at]
+            of.append(np.full(len(h), i))
+            segs.append(h.view(np.int64))
+            places.append(np.array(at, dtype=np.int32))
+            least = max(1, int(np.ceil((similarity - 1e-9) * len(x))))
+            bands.append(np.tile(np.searchsorted(BANDS, [least, len(x)], side="right").astype(np.int32) - 1, (len(h), 1)))
+            held += len(h)
             if held >= CHUNK_WORDS or i + 1 == batch.num_rows:
-                took = pa.array(np.concatenate(of))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(segs)), *(batch.column(c).take(took) for c in ("id", "label", "n")), pa.array(np.concatenate(places))], names=["seg", "id", "label", "n", "place"])
-                of, segs, places, held = [], [], [], 0
+                took, bands = pa.array(np.concatenate(of)), np.concatenate(bands)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(segs)), *(batch.column(c).take(took) for c in ("id", "label", "n")), pa.array(np.concatenate(places)), pa.array(bands[:, 0]), pa.array(bands[:, 1])],
+                    names=["seg", "id", "label", "n", "place", "least_band", "band"],
+                )
+                of, segs, places, bands, held = [], [], [], [], 0
 
 
 def _across(rest: DataFrame, similarity: float) -> DataFrame:
@@ -531,11 +570,14 @@ def _across(rest: DataFrame, similarity: float) -> DataFrame:
 
     A link has d edits at most, d being what the longer text's length allows, and
     an edit touches one of several runs of words that do not overlap. Of d + 1
-    such runs of the longer text one at least is in the other, and no more than d
-    places away. Which runs are taken changes only how many pairs come out: those
-    that few classes have, as counted by bins of hashes. A text all of whose runs
-    are so frequent that they would lead to more pairs than there are texts is
-    met with all texts of fitting length instead (:func:`_in_blocks`).
+    such runs of the longer text one at least is in the other too, at a place
+    that leaves no more than d edits for the words before it and after it: so
+    runs meet only in texts of fitting length and near the place they have there
+    (by bands of lengths and cells of places, which are dealt out with the runs).
+    Which runs are taken changes only how many pairs come out: those that few
+    classes have, as counted by bins of hashes. A text all of whose runs are so
+    frequent that they would lead to more pairs than there are texts is met with
+    all texts of fitting length instead (:func:`_in_blocks`).
     """
     kind = rest.schema["id"].dataType.simpleString()
     usual = np.zeros(1 << BIN_BITS, dtype=np.float32)
@@ -543,16 +585,32 @@ def _across(rest: DataFrame, similarity: float) -> DataFrame:
     counts = source.where("id = label").select("wh").mapInArrow(_counted, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     usual[counts["bin"].to_numpy()] = counts["n"].to_numpy()
     most = rest.count() // 4
-    schema = f"seg long, id {kind}, label {kind}, n int, place int"
-    chosen = written(source.mapInArrow(lambda it: _runs(it, similarity, usual, most), schema).toDF("seg", "hub", "hub_label", "hub_n", "hub_place"), "segments")
+    chosen = source.mapInArrow(lambda it: _chosen(it, similarity, usual, most), f"seg long, id {kind}, label {kind}, n int, place int, least_band int, band int")
+    chosen = written(chosen.toDF("seg", "hub", "hub_label", "hub_n", "hub_place", "least_band", "most_band"), "segments")
     hubs = chosen.where("hub_place >= 0")
-    runs = source.mapInArrow(lambda it: _runs(it, similarity), schema)
+    runs = source.mapInArrow(lambda it: _runs(it, similarity), f"seg long, band int, cell int, id {kind}, label {kind}, n int, lo int, hi int")
     runs = written(runs.join(hubs.select("seg").distinct(), "seg"), "runs")
+
+    several = runs.groupBy("seg").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("seg")
+    edits = F.floor(F.lit(1 - similarity) * F.col("hub_n") + F.lit(1e-9)).cast("int")
+    hubs = hubs.join(several, "seg").withColumn("edits", edits).withColumn("band", F.explode(F.sequence("least_band", "most_band")))
+    width = F.get(F.array(*(F.lit(w) for w in cell_widths(similarity))), F.col("band"))
+    cell_of = lambda place: F.floor(F.greatest(place, F.lit(0)) / width).cast("int")
+    cells = F.sequence(cell_of(F.col("hub_place") - F.col("edits")), cell_of(F.col("hub_place") + F.floor(F.col("edits") / 2)))
+    hubs = hubs.withColumn("cell", F.explode(cells)).drop("least_band", "most_band")
+
     # Classes meet first, so that the members of one class never do.
-    classes = hubs.select("seg", "hub_label").distinct().join(runs.select("seg", "label").distinct(), "seg").where("label <> hub_label")
-    pairs = written(classes, "across").join(hubs, ["seg", "hub_label"]).join(runs, ["seg", "label"])
-    near = F.abs(F.col("place") - F.col("hub_place")) <= F.floor(F.lit(1 - similarity) * F.col("hub_n") + F.lit(1e-9))
-    found = pairs.where((F.col("n") <= F.col("hub_n")) & _may_link(F.col("n"), F.col("hub_n"), similarity) & near).select("id", "n", "hub", "hub_n")
+    key = ["seg", "band", "cell"]
+    classes = runs.groupBy(*key, "label").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("lo").alias("from"), F.max("hi").alias("to"))
+    shorter = F.greatest(F.col("hub_n") - F.col("n_most"), F.lit(0))  # by so many words at least
+    fits = (F.col("n_least") <= F.col("hub_n")) & (shorter <= F.col("edits"))
+    fits &= (2 * (F.col("from") - F.col("hub_place")) <= F.col("edits") - shorter) & (2 * (F.col("hub_place") - F.col("to")) <= F.col("edits") + F.col("hub_n") - F.col("n_least"))
+    across = hubs.join(classes, key).where((F.col("label") != F.col("hub_label")) & fits)
+    across = written(across.select(*key, "hub", "hub_n", "hub_place", "edits", "label"), "across")
+    fewer = F.col("hub_n") - F.col("n")
+    moved = F.greatest(F.col("lo") - F.col("hub_place"), F.col("hub_place") - fewer - F.col("hi"), F.lit(0))
+    near = (fewer >= 0) & (fewer + 2 * moved <= F.col("edits"))
+    found = across.join(runs, [*key, "label"]).where(near & _may_link(F.col("n"), F.col("hub_n"), similarity)).select("id", "n", "hub", "hub_n")
     return found.unionByName(_in_blocks(rest.join(chosen.where("hub_place < 0").select(F.col("hub").alias("id")), "id", "left_semi"), rest, similarity))
 
 

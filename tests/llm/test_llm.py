@@ -982,3 +982,38 @@ def test_no_link_is_left_out_by_runs_or_blocks(spark, monkeypatch):
     for found in (near_dedup._across(rest, 0.8), near_dedup._in_blocks(rest, rest, 0.8)):
         got = [(r["id"], r["n"], r["hub"], r["hub_n"]) for r in found.collect()]
         assert links <= {(min(a, b), max(a, b)) for a, _, b, _ in got} and all(n <= m and a // 3 != b // 3 for a, n, b, m in got)
+
+
+def test_runs_meet_wherever_a_link_puts_them(spark, monkeypatch):
+    """Texts with as many edits as a link may have, at the front, at the end or anywhere, found by runs alone."""
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda longer, rest, similarity: longer.select("id", "n", F.col("id").alias("hub"), F.col("n").alias("hub_n")).limit(0))
+    rng = np.random.default_rng(43)
+    texts = []
+    for i in range(160):
+        longer = rng.integers(10**6, size=int(rng.integers(5, 140)))
+        d = int(0.2 * len(longer) + 1e-9)
+        front, middle = (0, d, d // 2)[i % 3], longer.copy()
+        if i % 2:  # words taken out move what follows them; words put in for others do not
+            changed = middle[front : len(middle) - (d - front)]
+        else:
+            middle[rng.choice(len(middle), d, replace=False)] = -1
+            changed = middle
+        texts += [longer, changed] if i % 5 else [changed, longer]
+    rest = spark.createDataFrame([(i, i, len(t), [int(v) for v in t]) for i, t in enumerate(texts)], "id long, label long, n int, wh array<long>")
+    got = {(min(r["id"], r["hub"]), max(r["id"], r["hub"])) for r in near_dedup._across(rest, 0.8).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(160)}
+
+
+def test_classes_meet_only_where_a_link_may_be(spark, monkeypatch):
+    """Five texts a group have the same runs of words, but all except two have them too far away: no rows are made for those."""
+    made, write = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(44)
+    texts = []
+    for _ in range(60):
+        text = rng.integers(10**6, size=60)
+        texts += [*(np.roll(text, by) for by in (0, 15, 30, 45)), np.r_[text[:30], -1, text[31:]]]
+    rest = spark.createDataFrame([(i, i, len(t), [int(v) for v in t]) for i, t in enumerate(texts)], "id long, label long, n int, wh array<long>")
+    got = {(min(r["id"], r["hub"]), max(r["id"], r["hub"])) for r in near_dedup._across(rest, 0.8).collect()}
+    assert got == {(5 * i, 5 * i + 4) for i in range(60)}
+    assert made["across"].count() <= 60 * 2 * 13  # 13 runs of each of the two
