@@ -591,21 +591,25 @@ def _across(rest: DataFrame, similarity: float) -> DataFrame:
     runs = source.mapInArrow(lambda it: _runs(it, similarity), f"seg long, band int, cell int, id {kind}, label {kind}, n int, lo int, hi int")
     runs = written(runs.join(hubs.select("seg").distinct(), "seg"), "runs")
 
-    several = runs.groupBy("seg").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("seg")
+    least, most_ = F.min("label").alias("least"), F.max("label").alias("most")
+    span = F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("lo").alias("from"), F.max("hi").alias("to")
+    shorter = F.greatest(F.col("hub_n") - F.col("n_most"), F.lit(0))  # by so many words at least
+    fits = (F.col("n_least") <= F.col("hub_n")) & (shorter <= F.col("edits"))
+    fits &= (2 * (F.col("from") - F.col("hub_place")) <= F.col("edits") - shorter) & (2 * (F.col("hub_place") - F.col("to")) <= F.col("edits") + F.least(F.col("hub_n") - F.col("n_least"), F.col("edits")))
+
+    # Most runs are in texts of one class, or too far away: these are left before rows are made for bands and cells.
     edits = F.floor(F.lit(1 - similarity) * F.col("hub_n") + F.lit(1e-9)).cast("int")
-    hubs = hubs.join(several, "seg").withColumn("edits", edits).withColumn("band", F.explode(F.sequence("least_band", "most_band")))
+    hubs = hubs.join(runs.groupBy("seg").agg(least, most_).where("least < most").select("seg"), "seg")
+    hubs = hubs.withColumn("edits", edits).withColumn("band", F.explode(F.sequence("least_band", "most_band")))
+    hubs = hubs.join(runs.groupBy("seg", "band").agg(least, most_, *span), ["seg", "band"]).where(fits & ((F.col("least") != F.col("hub_label")) | (F.col("most") != F.col("hub_label"))))
     width = F.get(F.array(*(F.lit(w) for w in cell_widths(similarity))), F.col("band"))
-    cell_of = lambda place: F.floor(F.greatest(place, F.lit(0)) / width).cast("int")
-    cells = F.sequence(cell_of(F.col("hub_place") - F.col("edits")), cell_of(F.col("hub_place") + F.floor(F.col("edits") / 2)))
-    hubs = hubs.withColumn("cell", F.explode(cells)).drop("least_band", "most_band")
+    cell_of = lambda place: F.floor(place / width).cast("int")
+    cells = F.sequence(cell_of(F.greatest(F.col("hub_place") - F.col("edits"), F.col("from"))), cell_of(F.least(F.col("hub_place") + F.floor(F.col("edits") / 2), F.col("to"))), F.lit(1))
+    hubs = hubs.select("seg", "band", "hub", "hub_label", "hub_n", "hub_place", "edits", F.explode(cells).alias("cell"))
 
     # Classes meet first, so that the members of one class never do.
     key = ["seg", "band", "cell"]
-    classes = runs.groupBy(*key, "label").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("lo").alias("from"), F.max("hi").alias("to"))
-    shorter = F.greatest(F.col("hub_n") - F.col("n_most"), F.lit(0))  # by so many words at least
-    fits = (F.col("n_least") <= F.col("hub_n")) & (shorter <= F.col("edits"))
-    fits &= (2 * (F.col("from") - F.col("hub_place")) <= F.col("edits") - shorter) & (2 * (F.col("hub_place") - F.col("to")) <= F.col("edits") + F.col("hub_n") - F.col("n_least"))
-    across = hubs.join(classes, key).where((F.col("label") != F.col("hub_label")) & fits)
+    across = hubs.join(runs.groupBy(*key, "label").agg(*span), key).where((F.col("label") != F.col("hub_label")) & fits)
     across = written(across.select(*key, "hub", "hub_n", "hub_place", "edits", "label"), "across")
     fewer = F.col("hub_n") - F.col("n")
     moved = F.greatest(F.col("lo") - F.col("hub_place"), F.col("hub_place") - fewer - F.col("hi"), F.lit(0))
