@@ -80,8 +80,8 @@ def index_directory(
     not changed since are not opened.
     """
     own = texture and visual is None
-    scanned, mark = images.scan_new_images(spark, directory, state, recursive, glob) if state else (images.scan_images(spark, directory, recursive, glob), lambda: 0)
-    rows = described(detected_in(_sized(scanned), poses, texture=own, **how), geometric, visual, own)
+    look = lambda scanned: described(detected_in(_sized(scanned), poses, texture=own, **how), geometric, visual, own)
+    rows, mark = images.scan_new_images(spark, directory, state, recursive, glob, look) if state else (look(images.scan_images(spark, directory, recursive, glob)), lambda: 0)
     stored = store.store_detections(rows, root)
     mark()
     return stored.agg(F.count(F.lit(1)).alias("poses_indexed"))

@@ -353,9 +353,9 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     where, state = _photos(spark, sf_dir), _own(spark, "state")
     tail, runs = F.regexp_extract("path", r"((?:more/)?v\d+\.bmp)$", 1).alias("file"), []
     for i, recursive in enumerate((False, True, True)):
-        found, mark = imgs.scan_new_images(spark, where, state, recursive, "*.bmp")
+        found, mark = imgs.scan_new_images(spark, where, state, recursive, "*.bmp", lambda images: images.select(tail, F.sha2("data", 256).alias("pixels")))
         mark()
-        runs.append(found.select(F.lit(i).cast("long").alias("run"), tail, F.sha2("data", 256).alias("pixels")))
+        runs.append(found.select(F.lit(i).cast("long").alias("run"), "file", "pixels"))
     return reduce(DataFrame.unionByName, runs)
 
 

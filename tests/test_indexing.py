@@ -155,3 +155,50 @@ def test_files_are_compared_in_the_tasks_that_list_them(spark, photos, tmp_path)
     assert changed.count() == 4 and "SortMergeJoin" in plan and "Broadcast" not in plan
     imgs.scan_new_images(spark, photos, f"{tmp_path}/state")[1]()
     assert imgs.scan_new_images(spark, photos, f"{tmp_path}/state")[1]() == 0
+
+
+NAMES = ("a.bmp", "b c.bmp", "d%20.bmp", "e[1].bmp", "f{x}.bmp", "g*?.bmp", ".h.bmp", "_i.bmp", "_i=1.bmp", "j._COPYING_", "_metadata.bmp", "more/k.bmp", "more/deep/l.bmp", "_metadata/m.bmp", "_x/n.bmp", ".y/o.bmp", "p.png")
+
+
+@pytest.fixture
+def odd_files(tmp_path):
+    """Images, some of names that Spark passes over or takes for patterns, an empty file, a link and a link to nothing."""
+    where, rng = tmp_path / "odd", np.random.default_rng(3)
+    for name in NAMES:
+        (where / name).parent.mkdir(parents=True, exist_ok=True)
+        (where / name).write_bytes(bmp(rng.integers(0, 255, (6, 8, 3), dtype=np.uint8)))
+    (where / "empty.bmp").touch()
+    (where / "link.bmp").symlink_to(where / "none")
+    (where / "link2.bmp").symlink_to(where / "a.bmp")
+    return str(where)
+
+
+def test_tasks_list_what_the_reader_lists(spark, odd_files, tmp_path):
+    for i, (recursive, glob) in enumerate([(False, None), (True, None), (True, "*.bmp"), (True, "{a,k,p}.*"), (False, "[!a]*.b?p")]):
+        listed = imgs._listed(spark, odd_files, f"{tmp_path}/{i}", recursive, glob)
+        assert sorted(listed.collect()) == sorted(imgs.scan_files(spark, odd_files, recursive, glob).collect())
+    one = imgs._listed(spark, f"{odd_files}/a.bmp", f"{tmp_path}/one")
+    assert one.collect() == imgs.scan_files(spark, f"{odd_files}/a.bmp").collect() and one.count() == 1
+    assert imgs._listed(spark, f"{odd_files}/m*", f"{tmp_path}/some").collect() == imgs.scan_files(spark, f"{odd_files}/m*").collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        imgs._listed(spark, f"{odd_files}/none", f"{tmp_path}/none")
+
+
+def test_the_driver_never_holds_the_paths_of_all_files(spark, odd_files, tmp_path, monkeypatch):
+    loaded, load = [], imgs._loaded
+    monkeypatch.setattr(imgs, "_loaded", lambda session, paths: loaded.append(len(paths)) or load(session, paths))
+    whole, mark = imgs.scan_new_images(spark, odd_files, f"{tmp_path}/whole", recursive=True)
+    n = whole.count()
+    assert n == mark() == 12 and loaded == [12]
+    monkeypatch.setattr(imgs, "FILES_AT_ONCE", 5)
+    monkeypatch.setattr(imgs, "scan_files", None)  # Spark's own listing is not called
+    loaded.clear()
+    parts, mark = imgs.scan_new_images(spark, odd_files, f"{tmp_path}/parts", recursive=True)
+    assert sorted(parts.collect()) == sorted(whole.collect()) and mark() == n and loaded == [5, 5, 2]
+    made, _ = imgs.scan_new_images(spark, odd_files, f"{tmp_path}/made", recursive=True, made=lambda images: images.select("path", F.length("data").alias("n")))
+    assert sorted(made.collect()) == sorted(whole.select("path", F.length("data").alias("n")).collect())
+    assert imgs.scan_new_images(spark, odd_files, f"{tmp_path}/parts", recursive=True)[0].count() == 0
+    index = partial(indexing.index_directory, spark, odd_files, f"{tmp_path}/store", detect.figure_detector, state=f"{tmp_path}/state", recursive=True)
+    assert [index().head()[0] for _ in range(2)] == [12, 0]
+    state = imgs._for_many_files(spark).conf
+    assert state.get("spark.sql.session.timeZone") == "UTC" and spark.conf.get("spark.sql.files.openCostInBytes") != state.get("spark.sql.files.openCostInBytes")
