@@ -587,9 +587,17 @@ def _across(rest: DataFrame, similarity: float) -> DataFrame:
     most = rest.count() // 4
     chosen = source.mapInArrow(lambda it: _chosen(it, similarity, usual, most), f"seg long, id {kind}, label {kind}, n int, place int, least_band int, band int")
     chosen = written(chosen.toDF("seg", "hub", "hub_label", "hub_n", "hub_place", "least_band", "most_band"), "segments")
-    hubs = chosen.where("hub_place >= 0")
+    edits = F.floor(F.lit(1 - similarity) * F.col("hub_n") + F.lit(1e-9)).cast("int")
+    hubs = chosen.where("hub_place >= 0").withColumn("edits", edits)
     runs = source.mapInArrow(lambda it: _runs(it, similarity), f"seg long, band int, cell int, id {kind}, label {kind}, n int, lo int, hi int")
-    runs = written(runs.join(hubs.select("seg").distinct(), "seg"), "runs")
+    # Of a run the places are kept that are of another class than some hub with it, and of a length and at a place that suit one.
+    asked = hubs.groupBy("seg").agg(
+        F.min("hub_label").alias("hub_least"), F.max("hub_label").alias("hub_most"), F.min(F.col("hub_n") - F.col("edits")).alias("fewest"), F.max("hub_n").alias("longest"),
+        F.min(F.col("hub_place") - F.col("edits")).alias("first"), F.max(F.col("hub_place") + F.floor(F.col("edits") / 2)).alias("last"),
+    )
+    suits = F.col("n").between(F.col("fewest"), F.col("longest")) & (F.col("lo") <= F.col("last")) & (F.col("hi") >= F.col("first"))
+    suits &= (F.col("label") != F.col("hub_least")) | (F.col("label") != F.col("hub_most"))
+    runs = written(runs.join(asked, "seg").where(suits).select(*runs.columns), "runs")
 
     least, most_ = F.min("label").alias("least"), F.max("label").alias("most")
     span = F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("lo").alias("from"), F.max("hi").alias("to")
@@ -598,10 +606,10 @@ def _across(rest: DataFrame, similarity: float) -> DataFrame:
     fits &= (2 * (F.col("from") - F.col("hub_place")) <= F.col("edits") - shorter) & (2 * (F.col("hub_place") - F.col("to")) <= F.col("edits") + F.least(F.col("hub_n") - F.col("n_least"), F.col("edits")))
 
     # Most runs are in texts of one class, or too far away: these are left before rows are made for bands and cells.
-    edits = F.floor(F.lit(1 - similarity) * F.col("hub_n") + F.lit(1e-9)).cast("int")
-    hubs = hubs.join(runs.groupBy("seg").agg(least, most_).where("least < most").select("seg"), "seg")
-    hubs = hubs.withColumn("edits", edits).withColumn("band", F.explode(F.sequence("least_band", "most_band")))
-    hubs = hubs.join(runs.groupBy("seg", "band").agg(least, most_, *span), ["seg", "band"]).where(fits & ((F.col("least") != F.col("hub_label")) | (F.col("most") != F.col("hub_label"))))
+    others = (F.col("least") != F.col("hub_label")) | (F.col("most") != F.col("hub_label"))
+    hubs = hubs.join(runs.groupBy("seg").agg(least, most_), "seg").where(others).drop("least", "most")
+    hubs = hubs.withColumn("band", F.explode(F.sequence("least_band", "most_band")))
+    hubs = hubs.join(runs.groupBy("seg", "band").agg(least, most_, *span), ["seg", "band"]).where(fits & others)
     width = F.get(F.array(*(F.lit(w) for w in cell_widths(similarity))), F.col("band"))
     cell_of = lambda place: F.floor(place / width).cast("int")
     cells = F.sequence(cell_of(F.greatest(F.col("hub_place") - F.col("edits"), F.col("from"))), cell_of(F.least(F.col("hub_place") + F.floor(F.col("edits") / 2), F.col("to"))), F.lit(1))

@@ -1017,3 +1017,18 @@ def test_classes_meet_only_where_a_link_may_be(spark, monkeypatch):
     got = {(min(r["id"], r["hub"]), max(r["id"], r["hub"])) for r in near_dedup._across(rest, 0.8).collect()}
     assert got == {(5 * i, 5 * i + 4) for i in range(60)}
     assert made["across"].count() <= 60 * 2 * 13  # 13 runs of each of the two
+
+
+def test_runs_that_no_other_class_asks_for_are_not_kept(spark, monkeypatch):
+    """Classes of two texts, and a third text that has their runs of words too far away: no run is left to meet."""
+    made, write = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(45)
+    rows = []
+    for i in range(0, 120, 3):
+        text = rng.integers(10**6, size=60)
+        rows += [(i, i, text), (i + 1, i, np.r_[text[:30], -1, text[31:]]), (i + 2, i + 2, np.roll(text, 30))]
+    rest = spark.createDataFrame([(i, label, len(t), [int(v) for v in t]) for i, label, t in rows], "id long, label long, n int, wh array<long>")
+    assert near_dedup._across(rest, 0.8).count() == 0
+    assert made["segments"].where("hub_place >= 0").count() == 120 * 13
+    assert made["runs"].count() < 120  # 3 x 13 of each group, at the least, have a run that some text asks for
